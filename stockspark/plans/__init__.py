@@ -1,6 +1,6 @@
 """Registered queries. Importing this package fills the registry."""
 
-from stockspark.plans import moveup_queries  # noqa: F401
+from stockspark.plans import compare_queries, moveup_queries  # noqa: F401
 from stockspark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
