@@ -31,13 +31,16 @@ def move_up_result(spark, sf_dir):
     return mu.move_up(inv, CANDIDATE_ROOMS, aliases=fx.ROOM_ALIASES)
 
 
-@register("move_up", with_views(f"""
+MU_SQL = f"""
 select {OUT_SQL} from work c
 where trim(room) in ({sql_list(CANDIDATE_ROOMS)})
   and not exists (select 1 from work f
                   where lower(trim(f.room)) in ({FLOOR_LIST})
                     and f.brand = c.brand and f.product_name = c.product_name)
-""", "work"))
+"""
+
+
+@register("move_up", with_views(MU_SQL, "work"))
 def q_move_up(spark, sf_dir):
     return move_up_result(spark, sf_dir).select(*OUT_COLS)
 
