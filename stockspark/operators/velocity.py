@@ -28,12 +28,14 @@ from stockspark.schema import (VELOCITY_FAST_THRESHOLD, VELOCITY_QTY_WEIGHT,
 SNAP = "snapshot_date"
 
 
-def snapshot_build(inv: DataFrame, snapshot_col: Column | None = None) -> DataFrame:
+def snapshot_build(inv: DataFrame, snapshot_col: Column | None = None,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """Snapshot entries of an inventory: barcode trimmed and non-empty,
     room lower-cased and trimmed, integer qty, received date."""
     from stockspark.functions.parse import to_qty
     bc = F.trim(F.col("package_barcode").cast("string"))
     out = inv.select(
+        *keep,
         *([snapshot_col.alias(SNAP)] if snapshot_col is not None else []),
         bc.alias("barcode"),
         F.lower(F.trim(F.col("room"))).alias("room"),

@@ -2,7 +2,8 @@
 
 from stockspark.plans import (compare_queries, expiry_sample_queries, ingest_queries,  # noqa: F401
                               moveup_queries,
-                              history_queries, state_queries, velocity_queries)
+                              history_queries, state_queries, streaming_queries,
+                              velocity_queries)
 from stockspark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -44,7 +44,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fresh local folder is created and registered.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="stockspark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
