@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockspark.functions.rooms import alias_room
+from stockspark.functions.tables import literal_table
 from stockspark.schema import SALES_FLOOR_ALIASES
 
 
@@ -107,7 +108,7 @@ def effective_filters(df: DataFrame, saved_rooms: Sequence[str], saved_brands: S
     spark = df.sparkSession
 
     def saved(kind: str, values: Sequence[str]) -> DataFrame:
-        return spark.createDataFrame([(kind, v) for v in values] or [], "filter string, value string")
+        return literal_table(spark, [(kind, v) for v in values], "filter string, value string")
 
     rooms_now = list_values(df, "room", aliases).select(F.col("room").alias("value"))
     brands_now = list_values(df, "brand").select(F.col("brand").alias("value"))
@@ -117,8 +118,8 @@ def effective_filters(df: DataFrame, saved_rooms: Sequence[str], saved_brands: S
     kept_types = saved("types", saved_types).join(types_now, "value", "left_semi")
     fallback_rooms = default_rooms(df, aliases).select(F.lit("rooms").alias("filter"),
                                                        F.col("room").alias("value"))
-    all_b = spark.createDataFrame([("brands", "ALL")], "filter string, value string")
-    all_t = spark.createDataFrame([("types", "ALL")], "filter string, value string")
+    all_b = literal_table(spark, [("brands", "ALL")], "filter string, value string")
+    all_t = literal_table(spark, [("types", "ALL")], "filter string, value string")
     # every filter keeps its saved values if any survive, else its fallback:
     # rank the two sources and keep the best rank per filter (equi join)
     cands = (kept_rooms.withColumn("_src", F.lit(0))

@@ -17,6 +17,9 @@ def get_session(master: str | None = None, app: str = "stockspark",
       only when the runtime size of a side is below the threshold.
     * session time zone UTC so dates and timestamps compare with the oracle.
     * UI off: no web server is started.
+    * ``codegen.hugeMethodLimit`` = 8000: a whole-stage method larger than
+      the JIT's huge-method limit would run interpreted; Spark then falls
+      back to per-operator code for that stage only.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -27,6 +30,7 @@ def get_session(master: str | None = None, app: str = "stockspark",
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
+          .config("spark.sql.codegen.hugeMethodLimit", "8000")
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
