@@ -23,7 +23,7 @@ def _rooms_fold(rooms: Column) -> Column:
     non-empty and not a substring of the text so far."""
     return F.aggregate(
         F.slice(rooms, 2, F.greatest(F.size(rooms) - 1, F.lit(0))),
-        F.element_at(rooms, 1),
+        F.try_element_at(rooms, F.lit(1)),
         lambda acc, r: F.when((r != "") & ~acc.contains(r), F.concat(acc, F.lit(", "), r)).otherwise(acc))
 
 

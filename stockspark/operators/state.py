@@ -91,7 +91,7 @@ def default_rooms(df: DataFrame, aliases: dict | None = None, keys: Sequence[str
 
     def last_match(name: str) -> Column:
         m = F.filter("_rooms", lambda r: lower_of(r) == name)
-        return F.element_at(m, -1)
+        return F.try_element_at(m, F.lit(-1))
 
     has_both = (F.size(F.filter("_rooms", lambda r: lower_of(r) == "incoming deliveries")) > 0) & \
                (F.size(F.filter("_rooms", lambda r: lower_of(r) == "backstock")) > 0)
