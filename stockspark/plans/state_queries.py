@@ -335,3 +335,66 @@ def q_smart_sort(spark, sf_dir):
     return ls.number_rows(inv.select("package_barcode", "size", *fx.ORD_COLS),
                           [key.asc_nulls_last(), F.lower(v), *fx.ORD_COLS], "pos").select(
         "package_barcode", "size", "pos")
+
+
+# ------------------------------------------------------------------ display + sinks
+
+@register("display_velocity", with_views("""
+select v.barcode, v.velocity_label, v.sell_rate, v.qty_delta, v.room_changes, v.stock_age_days,
+       v.qty_unchanged_streak, v.velocity_score,
+       v.velocity_label as "Status", v.sell_rate as "Sells/Day", v.qty_delta as "Qty Change",
+       v.room_changes as "Room Moves", v.stock_age_days as "Age (Days)",
+       v.qty_unchanged_streak as "Unchanged Imports", v.velocity_score as "Score"
+from vel v""", "current_items", extra=[("hb", _HB), ("vel", _VEL)]))
+def q_display_velocity(spark, sf_dir):
+    """Velocity rows with their friendly column names."""
+    from stockspark.operators.display import display_projection, with_friendly_names
+    h = fx.snapshot_entry(spark, sf_dir)
+    vel = vl.velocity_metrics(fx.current_items(spark, sf_dir, h), h, fx.VELOCITY_AS_OF, T)
+    shown = display_projection(vel, ["barcode", "velocity_label"],
+                               ["sell_rate", "qty_delta", "room_changes", "stock_age_days",
+                                "qty_unchanged_streak", "velocity_score", "received_date"])
+    return with_friendly_names(shown)
+
+
+def _scratch(spark, name):
+    import os
+    import uuid
+
+    from stockspark.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("csv_export", _sql(f"select {OUT_SQL} from inventory where trim(package_barcode) in (select barcode from prio)"))
+def q_csv_export(spark, sf_dir):
+    """The priority list written as CSV (listed columns, header) to the
+    shared folder and read back with its schema."""
+    from stockspark.sources.history_io import write_csv
+    inv = _inv(spark, sf_dir)
+    rows = st.rows_in_set(inv, fx.priority_barcodes(inv)).select(*OUT_COLS)
+    path = _scratch(spark, "csv-export")
+    write_csv(rows, path, OUT_COLS)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@register("report_export", _sql(f"""
+select 'priority' as sheet, count(*) as rows_written from inventory
+where trim(package_barcode) in (select barcode from prio)
+union all
+select 'move_up', count(*) from mu where trim(package_barcode) not in (select barcode from prio)""",
+                                "work", extra=[("mu", MU_SQL)]))
+def q_report_export(spark, sf_dir):
+    """A multi-result report (one folder per named result) and the rows
+    each result holds when read back."""
+    from stockspark.sources.history_io import write_report
+    inv = _inv(spark, sf_dir)
+    prio = fx.priority_barcodes(inv)
+    results = {"priority": st.rows_in_set(inv, prio).select(*OUT_COLS),
+               "move_up": st.export_rows(move_up_result(spark, sf_dir).select(*OUT_COLS), prio)}
+    path = _scratch(spark, "report")
+    write_report(results, path)
+    parts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("sheet")) for n in results]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy("sheet").agg(F.count(F.lit(1)).alias("rows_written"))
