@@ -52,16 +52,29 @@ def history_span_days(history: DataFrame) -> Column:
     return span.scalar()
 
 
-def snapshot_summaries(history: DataFrame) -> DataFrame:
-    """Step 1: one row per (barcode, snapshot)."""
-    w = Window.partitionBy("barcode", SNAP).orderBy("entry_idx")
+SEGMENT_ROWS = 100_000
+
+
+def _segment(segment_rows: int) -> Column:
+    """Sortable long: (snapshot day, entry block) -> day * 2**40 + block."""
+    day = F.datediff(F.col(SNAP), F.lit("1970-01-01").cast("date")).cast("long")
+    return day * (1 << 40) + F.floor(F.col("entry_idx") / segment_rows).cast("long")
+
+
+def snapshot_summaries(history: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Step 1: one row per (barcode, segment); a segment is a block of at most
+    ``segment_rows`` consecutive entries of one snapshot, so even a barcode
+    holding a large share of a snapshot is split into bounded window groups."""
+    w = Window.partitionBy("barcode", "_seg").orderBy("entry_idx")
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     h = (history.where(F.col("barcode").isNotNull() & (F.col("barcode") != ""))
                 .select("barcode", SNAP, "entry_idx", "room", "qty")
+                .withColumn("_seg", _segment(segment_rows))
                 .withColumn("_prev_room", F.lag("room").over(w))
                 .withColumn("_rn", F.row_number().over(w))
                 .withColumn("_last_qty", F.last("qty").over(wall)))
-    return h.groupBy("barcode", SNAP).agg(
+    return h.groupBy("barcode", "_seg").agg(
+        F.min(SNAP).alias(SNAP),
         F.count(F.lit(1)).alias("n_s"),
         F.count_if(F.col("_prev_room").isNotNull() & (F.col("room") != F.col("_prev_room")))
          .alias("changes_s"),
@@ -70,24 +83,25 @@ def snapshot_summaries(history: DataFrame) -> DataFrame:
         F.min_by("qty", "entry_idx").alias("first_qty_s"),
         F.max_by("qty", "entry_idx").alias("last_qty_s"),
         (F.count(F.lit(1)) - F.coalesce(F.max(F.when(F.col("qty") != F.col("_last_qty"), F.col("_rn"))),
-                                        F.lit(0))).alias("tail_s"),
-        F.min("entry_idx").alias("first_entry_s"))
+                                        F.lit(0))).alias("tail_s"))
 
 
-def barcode_history(history: DataFrame) -> DataFrame:
+def barcode_history(history: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Step 2: one row per barcode: entries, room changes (W1), first qty,
-    last qty, unchanged-qty streak (W4), first snapshot."""
-    s = snapshot_summaries(history)
-    w = Window.partitionBy("barcode").orderBy(SNAP)
+    last qty, unchanged-qty streak (W4), first snapshot. Windows here run
+    over the segment summaries of one barcode (bounded by snapshots x
+    blocks), never over its raw entries."""
+    s = snapshot_summaries(history, segment_rows)
+    w = Window.partitionBy("barcode").orderBy("_seg")
     wall = Window.partitionBy("barcode")
     s = (s.withColumn("_prev_last_room", F.lag("last_room_s").over(w))
-          .withColumn("_L", F.max_by("last_qty_s", SNAP).over(wall)))
+          .withColumn("_L", F.max_by("last_qty_s", "_seg").over(wall)))
     full = (F.col("tail_s") == F.col("n_s")) & (F.col("last_qty_s") == F.col("_L"))
-    # the newest snapshot that is not entirely equal to the last qty breaks the run
-    s = s.withColumn("_break", F.max(F.when(~full, F.col(SNAP))).over(wall))
-    after_break = F.sum(F.when(F.col("_break").isNull() | (F.col(SNAP) > F.col("_break")),
+    # the newest segment that is not entirely equal to the last qty breaks the run
+    s = s.withColumn("_break", F.max(F.when(~full, F.col("_seg"))).over(wall))
+    after_break = F.sum(F.when(F.col("_break").isNull() | (F.col("_seg") > F.col("_break")),
                                F.col("n_s")).otherwise(0))
-    at_break = F.coalesce(F.max(F.when((F.col(SNAP) == F.col("_break"))
+    at_break = F.coalesce(F.max(F.when((F.col("_seg") == F.col("_break"))
                                        & (F.col("last_qty_s") == F.col("_L")), F.col("tail_s"))),
                           F.lit(0))
     agg = s.groupBy("barcode").agg(
@@ -95,9 +109,9 @@ def barcode_history(history: DataFrame) -> DataFrame:
         (F.sum("changes_s") + F.count_if(F.col("_prev_last_room").isNotNull()
                                          & (F.col("first_room_s") != F.col("_prev_last_room"))))
         .cast("long").alias("room_changes"),
-        F.min_by("first_qty_s", SNAP).alias("first_qty"),
-        F.max_by("last_qty_s", SNAP).alias("last_qty"),
-        F.max_by("last_room_s", SNAP).alias("last_room"),
+        F.min_by("first_qty_s", "_seg").alias("first_qty"),
+        F.max_by("last_qty_s", "_seg").alias("last_qty"),
+        F.max_by("last_room_s", "_seg").alias("last_room"),
         F.min(SNAP).alias("first_snapshot"),
         F.max(SNAP).alias("last_snapshot"),
         (after_break + at_break).cast("long").alias("_run"))

@@ -58,3 +58,12 @@ def test_audit_numbers_are_1_to_n(spark):
     per = out.groupBy("group").agg(F.min("page").alias("p0"), F.max("page").alias("p1"),
                                    F.count(F.lit(1)).alias("n")).collect()
     assert all(r.p1 - r.p0 + 1 == -(-r.n // 35) for r in per)
+
+
+def test_velocity_segments_do_not_change_results(spark):
+    """Tiny segments (2 entries) split every (barcode, snapshot) group; the
+    cross-segment combine must give the same per-barcode history."""
+    h = fx.snapshot_entry(spark, SF0001)
+    big = vl.barcode_history(h)
+    small = vl.barcode_history(h, segment_rows=2)
+    assert big.exceptAll(small).count() == 0 and small.exceptAll(big).count() == 0
