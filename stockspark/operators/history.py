@@ -129,12 +129,12 @@ def import_log_from_history(history: DataFrame, floor_rooms: Sequence[str] = FLO
         F.create_map().cast("map<string,int>").alias("diag"),
         zero.alias("unique_brands"), zero.alias("unique_types"), "unique_rooms", "total_qty",
         "velocity_entries_count",
-        F.coalesce(F.col("floor_arrivals"), zero).alias("bisa_moveups"))
+        F.coalesce(F.col("floor_arrivals"), zero).alias("floor_moveups"))
 
 
 # ---- fixed values: trend metrics of the import log (order as displayed)
 TREND_METRICS = ["total_rows", "moveup_count", "unique_brands", "unique_types", "total_qty",
-                 "candidate_pool", "removed_as_on_sf", "bisa_moveups"]
+                 "candidate_pool", "removed_as_on_sf", "floor_moveups"]
 
 
 def import_trends(log: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ select cast(s.snapshot_date as timestamp) as timestamp,
        'snapshot_' || strftime(s.snapshot_date, '%Y%m%d') || '.csv' as file_name,
        total_rows, mapped_rows, 0::bigint as moveup_count,
        0::bigint as unique_brands, 0::bigint as unique_types, unique_rooms, total_qty,
-       velocity_entries_count, coalesce(a.floor_arrivals, 0)::bigint as bisa_moveups
+       velocity_entries_count, coalesce(a.floor_arrivals, 0)::bigint as floor_moveups
 from (select snapshot_date, count(*) as total_rows,
              count(*) filter (where barcode is not null and barcode <> '') as mapped_rows,
              count(distinct room) as unique_rooms, cast(coalesce(sum(qty), 0) as bigint) as total_qty,
