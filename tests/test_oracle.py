@@ -8,6 +8,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 from .conftest import SF0001
+from .test_plans import FORBIDDEN
 
 TABLES = ["lineitem", "part", "supplier", "events", "orders"]
 SLOW = {"ingest_raw", "stream_ingest", "stream_snapshots", "scan_text", "header_row", "column_map"}
@@ -40,6 +41,9 @@ def con():
 @pytest.mark.parametrize("key", sorted(k for k in oracle_sql() if k not in SLOW))
 def test_query_matches_oracle(spark, con, key):
     df = queries()[key](spark, SF0001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for pat in FORBIDDEN:
+        assert pat not in plan, f"{key}: {pat}"
     srows = [tuple(r) for r in df.collect()]
     res = con.execute(oracle_sql()[key])
     dcols = [d[0] for d in res.description]
