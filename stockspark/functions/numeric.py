@@ -46,3 +46,34 @@ def ratio_text(num: Column, den: Column, suffix: str = "x") -> Column:
     t = ratio_tenths(num, den)
     return F.concat(_idiv(t, F.lit(10)).cast("string"), F.lit("."),
                     (t % 10).cast("string"), F.lit(suffix))
+
+
+_SPLITTER = 134217729.0  # 2**27 + 1 (Veltkamp split of a double)
+
+
+def _split(a: Column):
+    c = a * _SPLITTER
+    hi = c - (c - a)
+    return hi, a - hi
+
+
+def py_round(x: Column, ndigits: int) -> Column:
+    """Python's ``round(x, ndigits)`` for a double column, JVM-side.
+
+    Python rounds the exact binary value of ``x`` half to even. The exact
+    product ``x * 10**ndigits`` is ``p + err`` (Dekker's error-free product,
+    no FMA needed); the fraction of ``p`` over its floor plus ``err`` decides
+    the direction, and the result is the double nearest to ``q / 10**ndigits``
+    as in Python. Valid for |x| * 10**ndigits < 2**52.
+    """
+    x = x.cast("double")
+    s = float(10 ** ndigits)
+    p = x * s
+    xh, xl = _split(x)
+    sh, sl = _split(F.lit(s))
+    err = (((xh * sh - p) + xh * sl) + xl * sh) + xl * sl
+    f = F.floor(p).cast("double")
+    d = (p - f - 0.5) + err
+    q = (F.when(d > 0, f + 1.0).when(d < 0, f)
+          .otherwise(F.when(F.pmod(f, F.lit(2.0)) == 0, f).otherwise(f + 1.0)))
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(q / s)

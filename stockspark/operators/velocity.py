@@ -13,6 +13,9 @@ Plan, built for a hot barcode (one package may own a large share of rows):
 2. per barcode over those summaries (at most one row per snapshot, bounded
    by the retention): boundary room changes, the global unchanged-qty
    streak, first qty, first snapshot.
+Scores and rates round like Python's ``round`` (exact binary value, ties to
+even) through ``functions.numeric.py_round``.
+
 3. a full outer join of the current rows (one per barcode) with (2) gives the
    tracked items and the sold-out ones. Both sides have one row per barcode.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockspark.functions.numeric import py_round
 from stockspark.schema import (VELOCITY_FAST_THRESHOLD, VELOCITY_QTY_WEIGHT,
                                VELOCITY_ROOM_WEIGHT, VELOCITY_SLOW_THRESHOLD)
 
@@ -154,7 +158,7 @@ def velocity_metrics(current: DataFrame, history: DataFrame, as_of, slow_thresho
     changes = F.coalesce(F.col("room_changes"), F.lit(0).cast("long"))
     room_score = F.least(changes / F.greatest(n - 1, F.lit(1)), F.lit(1.0))
     qty_score = F.least(F.abs(delta) / F.greatest(F.abs(first_qty), F.lit(1)), F.lit(1.0))
-    score = F.round(room_score * VELOCITY_ROOM_WEIGHT + qty_score * VELOCITY_QTY_WEIGHT, 3)
+    score = py_round(room_score * VELOCITY_ROOM_WEIGHT + qty_score * VELOCITY_QTY_WEIGHT, 3)
     streak = F.coalesce(F.col("qty_unchanged_streak"), F.lit(0).cast("long"))
     label = (F.when(n <= 1, "New")
               .when(streak >= slow_threshold * 2, "Stale")
@@ -166,8 +170,8 @@ def velocity_metrics(current: DataFrame, history: DataFrame, as_of, slow_thresho
         "barcode",
         changes.alias("room_changes"),
         F.when(tracked, delta).otherwise(-F.col("first_qty")).cast("long").alias("qty_delta"),
-        F.when(tracked, F.when(n >= 2, F.round(-delta / days, 2)).otherwise(F.lit(0.0)))
-         .otherwise(F.round(F.col("first_qty") / days, 2)).alias("sell_rate"),
+        F.when(tracked, F.when(n >= 2, py_round(-delta / days, 2)).otherwise(F.lit(0.0)))
+         .otherwise(py_round(F.col("first_qty") / days, 2)).alias("sell_rate"),
         F.when(tracked, age).otherwise(F.lit(0)).cast("long").alias("stock_age_days"),
         F.when(tracked, streak).otherwise(F.lit(0).cast("long")).alias("qty_unchanged_streak"),
         F.when(tracked, F.when(n <= 1, F.lit(0.0)).otherwise(score)).otherwise(F.lit(1.0))
@@ -227,7 +231,7 @@ def velocity_overview(vel: DataFrame, history: DataFrame) -> DataFrame:
         F.count_if(lab == "Stale").alias("stale_count"),
         F.count_if(lab == "New").alias("new_count"),
         F.count_if(lab == "Sold Out").alias("sold_out_count"),
-        F.round(F.avg(F.when(~lab.isin("New", "Sold Out"), F.col("sell_rate"))), 2).alias("avg_sell_rate"))
+        py_round(F.avg(F.when(~lab.isin("New", "Sold Out"), F.col("sell_rate"))), 2).alias("avg_sell_rate"))
     snaps = history.select(F.countDistinct(SNAP)).scalar()
     first = history.select(F.min(SNAP)).scalar()
     last = history.select(F.max(SNAP)).scalar()

@@ -9,7 +9,7 @@ from stockspark.operators import moveup as mu
 from stockspark.operators import velocity as vl
 from stockspark.plans.registry import register
 from stockspark.plans.moveup_queries import MU_SQL
-from stockspark.plans.views import with_views
+from stockspark.plans.views import py_round_sql, with_views
 
 AS_OF = fx.VELOCITY_AS_OF.isoformat()
 T = 3  # slow threshold (fixed fixture parameter)
@@ -35,9 +35,9 @@ from (
          cast(coalesce(hb.room_changes, 0) as bigint) as room_changes,
          cast(case when c.barcode is not null then c.qty - coalesce(hb.first_qty, c.qty)
                    else -hb.first_qty end as bigint) as qty_delta,
-         case when c.barcode is null then round(hb.first_qty / {_DAYS}, 2)
+         case when c.barcode is null then {py_round_sql(f"hb.first_qty / {_DAYS}", 2)}
               when coalesce(hb.n_entries, 0) >= 2
-                   then round(-(c.qty - coalesce(hb.first_qty, c.qty)) / {_DAYS}, 2)
+                   then {py_round_sql(f"-(c.qty - coalesce(hb.first_qty, c.qty)) / {_DAYS}", 2)}
               else 0.0 end as sell_rate,
          cast(case when c.barcode is null then 0
                    else coalesce(date_diff('day', hb.first_snapshot, date '{AS_OF}'), 0) end as bigint)
@@ -46,8 +46,8 @@ from (
                    else hb.run - 1 end as bigint) as qty_unchanged_streak,
          case when c.barcode is null then 1.0
               when coalesce(hb.n_entries, 0) <= 1 then 0.0
-              else round(least(coalesce(hb.room_changes, 0) / greatest(hb.n_entries - 1, 1), 1.0) * 0.3
-                         + least(abs(c.qty - hb.first_qty) / greatest(abs(hb.first_qty), 1), 1.0) * 0.7, 3)
+              else {py_round_sql("least(coalesce(hb.room_changes, 0) / greatest(hb.n_entries - 1, 1), 1.0) * 0.3"
+                                 " + least(abs(c.qty - hb.first_qty) / greatest(abs(hb.first_qty), 1), 1.0) * 0.7", 3)}
          end as velocity_score,
          hb.n_entries as n, hb.run as run, c.barcode as cb
   from current_items c full outer join hb on c.barcode = hb.barcode) v0,
@@ -149,7 +149,7 @@ def q_sold_out(spark, sf_dir):
     return vl.sold_out(vl.velocity_metrics(cur, h, fx.VELOCITY_AS_OF, T), h)
 
 
-@register("velocity_overview", _sql("""
+@register("velocity_overview", _sql(f"""
 select count(*) as total_tracked,
        count(*) filter (where velocity_label = 'Fast') as fast_count,
        count(*) filter (where velocity_label = 'Moderate') as moderate_count,
@@ -157,7 +157,8 @@ select count(*) as total_tracked,
        count(*) filter (where velocity_label = 'Stale') as stale_count,
        count(*) filter (where velocity_label = 'New') as new_count,
        count(*) filter (where velocity_label = 'Sold Out') as sold_out_count,
-       round(avg(sell_rate) filter (where velocity_label not in ('New', 'Sold Out')), 2) as avg_sell_rate,
+       {py_round_sql("avg(sell_rate) filter (where velocity_label not in ('New', 'Sold Out'))", 2)}
+         as avg_sell_rate,
        (select count(distinct snapshot_date) from snapshot_entry) as snapshot_count,
        (select min(snapshot_date) from snapshot_entry) as first_snapshot,
        (select max(snapshot_date) from snapshot_entry) as last_snapshot

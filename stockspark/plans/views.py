@@ -102,3 +102,23 @@ def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = Non
     ctes = [f"{n} as ({_DEFS[n]})" for n in order]
     ctes += [f"{n} as ({s})" for n, s in (extra or [])]
     return ("with " + ",\n".join(ctes) + "\n" + body) if ctes else body
+
+
+def py_round_sql(expr: str, ndigits: int) -> str:
+    """Python's round(x, ndigits) in DuckDB SQL (same error-free product as
+    functions.numeric.py_round); the split of the constant is done here."""
+    s = float(10 ** ndigits)
+    c = s * 134217729.0
+    sh = c - (c - s)
+    sl = s - sh
+    x = f"cast(({expr}) as double)"
+    p = f"({x} * {s!r})"
+    cx = f"({x} * 134217729.0)"
+    xh = f"({cx} - ({cx} - {x}))"
+    xl = f"({x} - {xh})"
+    err = f"(((({xh} * {sh!r}) - {p}) + ({xh} * {sl!r})) + ({xl} * {sh!r})) + ({xl} * {sl!r})"
+    f = f"floor({p})"
+    d = f"((({p} - {f}) - 0.5) + ({err}))"
+    q = (f"(case when {d} > 0 then {f} + 1.0 when {d} < 0 then {f} "
+         f"when {f} - 2.0 * floor({f} / 2.0) = 0 then {f} else {f} + 1.0 end)")
+    return f"(case when {x} is null or isnan({x}) then {x} else {q} / {s!r} end)"

@@ -98,3 +98,13 @@ def test_expiry_inclusive_cutoff(spark):
                 F.lit("r").alias("location"), "expiration_date")
     out = ex.expiring_items(df, dt.date(2001, 1, 1), 30, include_expired=True, include_missing=False)
     assert [r.days_to_expire for r in out.collect()] == [30]
+
+
+def test_py_round_matches_python(spark):
+    from stockspark.functions.numeric import py_round
+    vals = [2.675, 1.0005, 0.125, 0.375, 2.5, -2.5, 0.0175, 1.005, -0.045] + \
+        [k / 1000 + 0.0005 for k in range(-500, 500)] + [d / 29 for d in range(-60, 60)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for k in (2, 3):
+        rows = df.select("x", py_round(F.col("x"), k).alias("r")).collect()
+        assert all(r.r == round(r.x, k) for r in rows)
