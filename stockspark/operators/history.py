@@ -159,3 +159,30 @@ def retain_snapshots(history: DataFrame, cutoff) -> DataFrame:
     snapshot date this prunes whole partitions at the scan."""
     return history.where(F.col(SNAP) >= F.lit(cutoff).cast(history.schema[SNAP].dataType)
                          if not isinstance(cutoff, Column) else F.col(SNAP) >= cutoff)
+
+
+# ---- fixed values: retention defaults (days); 0 disables the purge
+DEFAULT_RETENTION_DAYS = 90
+PURGE_OLD_DAYS = 30
+
+
+def purge_older_than(history: DataFrame, days: int, as_of, ts_col: str = SNAP) -> DataFrame:
+    """T4: keep rows whose time is at or after ``as_of - days``; ``days`` <= 0
+    keeps everything (retention disabled)."""
+    if not days or days <= 0:
+        return history
+    cutoff = F.date_sub(F.lit(as_of).cast("date"), int(days))
+    col = F.col(ts_col)
+    return history.where(col >= (cutoff if dict(history.dtypes)[ts_col] == "date" else cutoff.cast("timestamp")))
+
+
+def purge_all(history: DataFrame) -> DataFrame:
+    """T4: the empty history (same schema)."""
+    return history.where(F.lit(False))
+
+
+def purged_count(history: DataFrame, kept: DataFrame, key: str = SNAP) -> DataFrame:
+    """How many snapshots (distinct ``key`` values) a purge removes."""
+    before = history.select(key).distinct().select(F.lit(1).alias("_one"), F.lit(1).alias("_b"))
+    after = kept.select(key).distinct().select(F.lit(1).alias("_one"), F.lit(-1).alias("_b"))
+    return before.unionByName(after).agg(F.sum("_b").cast("long").alias("removed"))

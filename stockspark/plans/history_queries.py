@@ -193,3 +193,26 @@ def q_import_log(spark, sf_dir):
     path = _scratch(spark, "import-log")
     hio.append_import_log(_log(spark, sf_dir), path)
     return hio.read_import_log(spark, path).drop("diag", "timestamp")
+
+
+@register("retention_default", with_views("""
+select * from snapshot_entry
+where snapshot_date >= (select max(snapshot_date) from snapshot_entry) - 30""", "snapshot_entry"))
+def q_retention_default(spark, sf_dir):
+    """T4, "purge old" variant: 30 days back from the newest snapshot (the
+    tool counts back from now; the fixture's clock is the last snapshot)."""
+    h = _hist(spark, sf_dir)
+    last = h.select(F.max("snapshot_date")).first()[0]
+    return hs.purge_older_than(h, hs.PURGE_OLD_DAYS, last)
+
+
+@register("retention_removed", with_views(f"""
+select cast(count(distinct snapshot_date) filter (
+         where snapshot_date < (select max(snapshot_date) from snapshot_entry) - {RETAIN_DAYS}) as bigint)
+       as removed
+from snapshot_entry""", "snapshot_entry"))
+def q_retention_removed(spark, sf_dir):
+    """T4: number of snapshots a retention purge removes."""
+    h = _hist(spark, sf_dir)
+    cutoff = F.date_sub(h.select(F.max("snapshot_date")).scalar(), RETAIN_DAYS)
+    return hs.purged_count(h, hs.retain_snapshots(h, cutoff))
