@@ -44,8 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster this is the folder named by ``spark.checkpoint.dir`` (a
-    shared file system). Only when the session has none (local tests) a
-    fresh local folder is created and registered.
+    shared file system); without one the call fails. Only a local-mode
+    session without the setting (tests) gets a fresh local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object "
+                               "storage); a machine-local folder is not usable on a cluster")
         d = tempfile.mkdtemp(prefix="stockspark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
