@@ -74,12 +74,15 @@ def snapshot_order(history: DataFrame) -> DataFrame:
     return snaps.withColumn("snap_pos", F.row_number().over(Window.orderBy(SNAP)))
 
 
-def floor_arrivals(history: DataFrame, floor_rooms: Sequence[str] = FLOOR_SET) -> DataFrame:
+def floor_arrivals(history: DataFrame, floor_rooms: Sequence[str] = FLOOR_SET,
+                   aliases: dict | None = None) -> DataFrame:
     """Per snapshot, barcodes whose room was off the floor in the
-    previous snapshot and is on it now (last entry per barcode wins)."""
+    previous snapshot and is on it now (rooms aliased, lower-cased; last
+    entry per barcode wins)."""
+    from stockspark.functions.rooms import alias_room
     floor = [r.strip().lower() for r in floor_rooms]
     last = history.groupBy("barcode", SNAP).agg(
-        F.lower(F.trim(F.max_by("room", "entry_idx"))).alias("room"))
+        F.lower(alias_room(F.max_by("room", "entry_idx"), aliases)).alias("room"))
     pos = snapshot_order(history)
     last = last.join(F.broadcast(pos), SNAP)
     prev = last.select("barcode", (F.col("snap_pos") + 1).alias("snap_pos"),
