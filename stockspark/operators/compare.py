@@ -237,7 +237,8 @@ def top_brands(pm: DataFrame, top: int = 20, keys: Sequence[str] = ("store",)) -
     The window runs over the brand table (one row per store and brand)."""
     per = category_breakdown(pm, "brand", keys)
     w = Window.partitionBy(*keys).orderBy(F.col("units").desc(), "brand")
-    return per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("avg_qty")
+    return (per.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+               .drop("avg_qty"))
 
 
 def low_stock(pm: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ select room as location, type as category, {METRC6_SQL} as metrc6, brand, produc
        package_barcode, expiration_date, qty_on_hand as available_qty
 from inventory"""
 _EX = f"""
-select *, date_diff('day', date '{AS_OF}', expiration_date) as days_to_expire from em
+select *, cast(date_diff('day', date '{AS_OF}', expiration_date) as integer) as days_to_expire from em
 where ((expiration_date is not null and expiration_date <= date '{AS_OF}' + {DAYS})
        or expiration_date is null)
   and not regexp_matches(lower(concat_ws(' | ', coalesce(category, ''), coalesce(metrc6, ''),

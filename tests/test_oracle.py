@@ -11,6 +11,8 @@ from .conftest import SF0001
 from .test_plans import FORBIDDEN
 
 TABLES = ["lineitem", "part", "supplier", "events", "orders"]
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "timestamp": "TIMESTAMP", "boolean": "BOOLEAN"}
 SLOW = {"ingest_raw", "stream_ingest", "stream_snapshots", "scan_text", "header_row", "column_map"}
 
 
@@ -48,6 +50,10 @@ def test_query_matches_oracle(spark, con, key):
     res = con.execute(oracle_sql()[key])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
+    duck = {d[0]: str(d[1]) for d in res.description}
+    for name, t in df.dtypes:
+        if t in SPARK_TO_DUCK:
+            assert SPARK_TO_DUCK[t] == duck[name], f"{key}.{name}: {t} vs {duck[name]}"
     assert _rows(df.columns, srows) == _rows(dcols, res.fetchall())
 
 
