@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from stockspark import fixtures as fx
 from stockspark.operators import history as hs
-from stockspark.operators import moveup as mu
 from stockspark.plans.registry import register
 from stockspark.plans.views import with_views
-from stockspark.session import checkpoint_dir
+from stockspark.plans.moveup_queries import MU_SQL
+from stockspark.session import scratch_path
 from stockspark.sources import history_io as hio
 
 # ---- fixed values: fixture parameters. In the event-derived history the
@@ -143,8 +140,7 @@ select count(*) as total_rows, count(*) as mapped_rows, (select count(*) from mu
        count(distinct room) as unique_rooms, cast(sum(qty_on_hand) as bigint) as total_qty,
        count(*) filter (where package_barcode is not null and trim(package_barcode) <> ''
                         and lower(trim(package_barcode)) <> 'nan') as velocity_entries_count
-from inventory""", "work", extra=[("mu", __import__("stockspark.plans.moveup_queries",
-                                                    fromlist=["MU_SQL"]).MU_SQL)]))
+from inventory""", "work", extra=[("mu", MU_SQL)]))
 def q_import_summary(spark, sf_dir):
     from stockspark.plans.moveup_queries import move_up_result
     return hs.import_summary(fx.inventory(spark, sf_dir), move_up_result(spark, sf_dir))
@@ -159,16 +155,12 @@ def q_retain_snapshots(spark, sf_dir):
     return hs.retain_snapshots(h, cutoff)
 
 
-def _scratch(spark, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 @register("snapshot_explode", with_views("select snapshot_date, entry_idx, barcode, room, qty from snapshot_entry",
                                          "snapshot_entry"))
 def q_snapshot_explode(spark, sf_dir):
     """S5 round trip: the history written in the nested JSON shape (bounded
     chunks) into the shared folder, read back and flattened."""
-    path = _scratch(spark, "snapshot-json")
+    path = scratch_path(spark, "snapshot-json")
     hio.write_snapshot_json(_hist(spark, sf_dir), path)
     flat = hio.read_snapshot_json(spark, path)
     return flat.select("snapshot_date", "entry_idx", "barcode", "room", "qty")
@@ -179,7 +171,7 @@ def q_snapshot_explode(spark, sf_dir):
 def q_snapshot_store(spark, sf_dir):
     """Append every snapshot to the partitioned Parquet history twice
     (a replay) and read it back: the replay must not duplicate entries."""
-    path = _scratch(spark, "snapshots")
+    path = scratch_path(spark, "snapshots")
     h = _hist(spark, sf_dir)
     hio.append_snapshots(h, path)
     hio.append_snapshots(h, path)
@@ -190,7 +182,7 @@ def q_snapshot_store(spark, sf_dir):
                                    extra=[("arr", _ARR), ("log", _LOG)]))
 def q_import_log(spark, sf_dir):
     """Import-log rows appended to the shared folder and read back."""
-    path = _scratch(spark, "import-log")
+    path = scratch_path(spark, "import-log")
     hio.append_import_log(_log(spark, sf_dir), path)
     return hio.read_import_log(spark, path).drop("diag", "timestamp")
 

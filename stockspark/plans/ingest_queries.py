@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from stockspark import fixtures as fx
 from stockspark.functions import parse as ps
 from stockspark.plans.registry import register
 from stockspark.plans.views import with_views
-from stockspark.session import checkpoint_dir
+from stockspark.session import scratch_path
 from stockspark.sources import ingest as ig
 from stockspark.sources.raw_export import write_raw_exports
 
@@ -20,7 +17,7 @@ _COLS = ["type", "brand", "product_name", "package_barcode", "room", "qty_on_han
 
 
 def _exports(spark, sf_dir) -> str:
-    path = os.path.join(checkpoint_dir(spark), f"raw-exports-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "raw-exports")
     write_raw_exports(fx.inventory(spark, sf_dir), path)
     return path
 

@@ -15,6 +15,7 @@ from stockspark.plans.registry import register
 from stockspark.plans.velocity_queries import _HB, _VEL, T
 from stockspark.plans.views import room_alias_sql, sql_list, with_views
 from stockspark.schema import SALES_FLOOR_ALIASES
+from stockspark.session import scratch_path
 
 # ---- fixed values: fixture parameters (user selections)
 DISTRIBUTORS = ["Supplier#000000001", "Supplier#000000002", "Supplier#000000003"]
@@ -357,14 +358,6 @@ def q_display_velocity(spark, sf_dir):
     return with_friendly_names(shown)
 
 
-def _scratch(spark, name):
-    import os
-    import uuid
-
-    from stockspark.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 @register("csv_export", _sql(f"select {OUT_SQL} from inventory where trim(package_barcode) in (select barcode from prio)"))
 def q_csv_export(spark, sf_dir):
     """The priority list written as CSV (listed columns, header) to the
@@ -372,7 +365,7 @@ def q_csv_export(spark, sf_dir):
     from stockspark.sources.history_io import write_csv
     inv = _inv(spark, sf_dir)
     rows = st.rows_in_set(inv, fx.priority_barcodes(inv)).select(*OUT_COLS)
-    path = _scratch(spark, "csv-export")
+    path = scratch_path(spark, "csv-export")
     write_csv(rows, path, OUT_COLS)
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
@@ -391,7 +384,7 @@ def q_report_export(spark, sf_dir):
     prio = fx.priority_barcodes(inv)
     results = {"priority": st.rows_in_set(inv, prio).select(*OUT_COLS),
                "move_up": st.export_rows(move_up_result(spark, sf_dir).select(*OUT_COLS), prio)}
-    path = _scratch(spark, "report")
+    path = scratch_path(spark, "report")
     write_report(results, path)
     parts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("sheet")) for n in results]
     u = parts[0]

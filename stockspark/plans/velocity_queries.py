@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from stockspark import fixtures as fx
-from stockspark.operators import moveup as mu
 from stockspark.operators import velocity as vl
 from stockspark.plans.registry import register
 from stockspark.plans.moveup_queries import MU_SQL
