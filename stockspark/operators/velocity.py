@@ -158,26 +158,33 @@ def velocity_metrics(current: DataFrame, history: DataFrame, as_of, slow_thresho
     changes = F.coalesce(F.col("room_changes"), F.lit(0).cast("long"))
     room_score = F.least(changes / F.greatest(n - 1, F.lit(1)), F.lit(1.0))
     qty_score = F.least(F.abs(delta) / F.greatest(F.abs(first_qty), F.lit(1)), F.lit(1.0))
-    score = py_round(room_score * VELOCITY_ROOM_WEIGHT + qty_score * VELOCITY_QTY_WEIGHT, 3)
+    raw_score = room_score * VELOCITY_ROOM_WEIGHT + qty_score * VELOCITY_QTY_WEIGHT
     streak = F.coalesce(F.col("qty_unchanged_streak"), F.lit(0).cast("long"))
-    label = (F.when(n <= 1, "New")
-              .when(streak >= slow_threshold * 2, "Stale")
-              .when(streak >= slow_threshold, "Slow")
-              .when(score >= VELOCITY_FAST_THRESHOLD, "Fast")
-              .otherwise("Moderate"))
     tracked = F.col("_in_cur").isNotNull()
-    out = j.select(
-        "barcode",
+    # raw values first, rounded in a second projection: py_round refers to
+    # its input many times, so the input must be a column, not an expression
+    raw = j.select(
+        "barcode", tracked.alias("_tracked"), n.alias("_n"),
         changes.alias("room_changes"),
         F.when(tracked, delta).otherwise(-F.col("first_qty")).cast("long").alias("qty_delta"),
-        F.when(tracked, F.when(n >= 2, py_round(-delta / days, 2)).otherwise(F.lit(0.0)))
-         .otherwise(py_round(F.col("first_qty") / days, 2)).alias("sell_rate"),
+        F.when(tracked, -delta / days).otherwise(F.col("first_qty") / days).alias("_rate"),
         F.when(tracked, age).otherwise(F.lit(0)).cast("long").alias("stock_age_days"),
         F.when(tracked, streak).otherwise(F.lit(0).cast("long")).alias("qty_unchanged_streak"),
-        F.when(tracked, F.when(n <= 1, F.lit(0.0)).otherwise(score)).otherwise(F.lit(1.0))
-         .alias("velocity_score"),
-        F.when(tracked, label).otherwise(F.lit("Sold Out")).alias("velocity_label"))
-    return out
+        raw_score.alias("_score"))
+    n_, tr = F.col("_n"), F.col("_tracked")
+    score = py_round(F.col("_score"), 3)
+    st = F.col("qty_unchanged_streak")
+    label = (F.when(n_ <= 1, "New")
+              .when(st >= slow_threshold * 2, "Stale")
+              .when(st >= slow_threshold, "Slow")
+              .when(score >= VELOCITY_FAST_THRESHOLD, "Fast")
+              .otherwise("Moderate"))
+    return raw.select(
+        "barcode", "room_changes", "qty_delta",
+        F.when(tr & (n_ < 2), F.lit(0.0)).otherwise(py_round(F.col("_rate"), 2)).alias("sell_rate"),
+        "stock_age_days", "qty_unchanged_streak",
+        F.when(tr, F.when(n_ <= 1, F.lit(0.0)).otherwise(score)).otherwise(F.lit(1.0)).alias("velocity_score"),
+        F.when(tr, label).otherwise(F.lit("Sold Out")).alias("velocity_label"))
 
 
 def room_movement(history: DataFrame) -> DataFrame:

@@ -29,26 +29,27 @@ _VEL = f"""
 select barcode, room_changes, qty_delta, sell_rate, stock_age_days, qty_unchanged_streak,
        velocity_score, velocity_label
 from (
-  select coalesce(c.barcode, hb.barcode) as barcode,
-         cast(coalesce(hb.room_changes, 0) as bigint) as room_changes,
-         cast(case when c.barcode is not null then c.qty - coalesce(hb.first_qty, c.qty)
-                   else -hb.first_qty end as bigint) as qty_delta,
-         case when c.barcode is null then {py_round_sql(f"hb.first_qty / {_DAYS}", 2)}
-              when coalesce(hb.n_entries, 0) >= 2
-                   then {py_round_sql(f"-(c.qty - coalesce(hb.first_qty, c.qty)) / {_DAYS}", 2)}
-              else 0.0 end as sell_rate,
-         cast(case when c.barcode is null then 0
-                   else coalesce(date_diff('day', hb.first_snapshot, date '{AS_OF}'), 0) end as bigint)
-           as stock_age_days,
-         cast(case when c.barcode is null or coalesce(hb.n_entries, 0) < 2 then 0
-                   else hb.run - 1 end as bigint) as qty_unchanged_streak,
-         case when c.barcode is null then 1.0
-              when coalesce(hb.n_entries, 0) <= 1 then 0.0
-              else {py_round_sql("least(coalesce(hb.room_changes, 0) / greatest(hb.n_entries - 1, 1), 1.0) * 0.3"
-                                 " + least(abs(c.qty - hb.first_qty) / greatest(abs(hb.first_qty), 1), 1.0) * 0.7", 3)}
-         end as velocity_score,
-         hb.n_entries as n, hb.run as run, c.barcode as cb
-  from current_items c full outer join hb on c.barcode = hb.barcode) v0,
+  select barcode, room_changes, qty_delta, stock_age_days, qty_unchanged_streak, n, run, cb,
+         case when cb is not null and coalesce(n, 0) < 2 then 0.0
+              else {py_round_sql("rate_raw", 2)} end as sell_rate,
+         case when cb is null then 1.0 when coalesce(n, 0) <= 1 then 0.0
+              else {py_round_sql("score_raw", 3)} end as velocity_score
+  from (
+    select coalesce(c.barcode, hb.barcode) as barcode,
+           cast(coalesce(hb.room_changes, 0) as bigint) as room_changes,
+           cast(case when c.barcode is not null then c.qty - coalesce(hb.first_qty, c.qty)
+                     else -hb.first_qty end as bigint) as qty_delta,
+           case when c.barcode is null then hb.first_qty / {_DAYS}
+                else -(c.qty - coalesce(hb.first_qty, c.qty)) / {_DAYS} end as rate_raw,
+           cast(case when c.barcode is null then 0
+                     else coalesce(date_diff('day', hb.first_snapshot, date '{AS_OF}'), 0) end as bigint)
+             as stock_age_days,
+           cast(case when c.barcode is null or coalesce(hb.n_entries, 0) < 2 then 0
+                     else hb.run - 1 end as bigint) as qty_unchanged_streak,
+           least(coalesce(hb.room_changes, 0) / greatest(hb.n_entries - 1, 1), 1.0) * 0.3
+             + least(abs(c.qty - hb.first_qty) / greatest(abs(hb.first_qty), 1), 1.0) * 0.7 as score_raw,
+           hb.n_entries as n, hb.run as run, c.barcode as cb
+    from current_items c full outer join hb on c.barcode = hb.barcode) v0) v1,
 lateral (select case when cb is null then 'Sold Out'
                      when coalesce(n, 0) <= 1 then 'New'
                      when run - 1 >= {2 * T} then 'Stale'
