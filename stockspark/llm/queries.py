@@ -27,3 +27,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are 0.8 similar."""
     from stockspark.llm.minhash import near_duplicates
     return near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+# ------------------------------------------------------------------ operator 8
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(PIECE_MODEL)
+
+
+@register("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact ids of every whole text, and the text decoded from them."""
+    from stockspark.llm.spm import encode_digests
+    return encode_digests(read(spark, sf_dir, "documents"), piece_model())
