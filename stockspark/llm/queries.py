@@ -43,3 +43,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact ids of every whole text, and the text decoded from them."""
     from stockspark.llm.spm import encode_digests
     return encode_digests(read(spark, sf_dir, "documents"), piece_model())
+
+
+# ------------------------------------------------------------------ operator 9
+from stockspark.llm import mixing  # noqa: E402
+
+
+@register("op9_source_mixing", mixing.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
