@@ -53,3 +53,11 @@ from stockspark.llm import mixing  # noqa: E402
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ operator 5
+@register("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text."""
+    from stockspark.llm.toxicity import toxicity
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
