@@ -61,3 +61,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole text."""
     from stockspark.llm.toxicity import toxicity
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+# ------------------------------------------------------------------ operator 6
+@register("op6_pii_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its entities replaced by surrogates."""
+    from stockspark.llm.pii import replace_pii
+    return replace_pii(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")

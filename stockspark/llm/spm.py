@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ class Codec:
         self._matcher.make_automaton()
         self._pair: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        self._segment: dict[str, tuple[str, int, str]] = {}
+        self._segment: dict[str, tuple[str, int, str, np.ndarray]] = {}
 
     # ------------------------------------------------------------ encoding
     def merge(self, text: str) -> list[str]:
@@ -167,11 +168,12 @@ class Codec:
             out += self._known(segment[start:])
         return out
 
-    def _entry(self, segment: str) -> tuple[str, int, str]:
+    def _entry(self, segment: str) -> tuple[str, int, str, np.ndarray]:
+        """Ids of a segment as text, their number, the text they decode to, and as an array."""
         got = self._segment.get(segment)
         if got is None:
             ids = self._ids(segment)
-            got = ",".join(map(str, ids)), len(ids), self.surface(ids)
+            got = ",".join(map(str, ids)), len(ids), self.surface(ids), np.array(ids, dtype=np.int32)
             if len(segment) <= KEPT_LENGTH:
                 if len(self._segment) >= KEPT_SEGMENTS:
                     self._segment.clear()
@@ -199,10 +201,13 @@ class Codec:
             if run:
                 yield SPACE * run
 
-    def encode(self, text: str) -> list[int]:
+    def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        return [i for s in self._segments(text) for i in self._ids(s)]
+            return np.zeros(0, dtype=np.int32)
+        return np.concatenate([self._entry(s)[3] for s in self._segments(text)])
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_array(text).tolist()
 
     # ------------------------------------------------------------ decoding
     def surface(self, ids: list[int]) -> str:
@@ -271,10 +276,20 @@ def _digests(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatc
 def _ids(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]:
     codec = _codec(vocab.value)
     for batch in batches:
-        ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
+        ids = [codec.encode_array(t) for t in batch.column("text").to_pylist()]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
-             pa.array([codec.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+            names=["doc_id", "ids"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]:
+    codec = _codec(vocab.value)
+    for batch in batches:
+        text = [codec.decode(x or []) for x in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())],
+                                         names=["doc_id", "text"])
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -282,10 +297,16 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """``doc_id, ids, decoded`` of every row of ``docs(doc_id, text)``."""
+    """``doc_id, ids`` of every row of ``docs(doc_id, text)``."""
     vocab = docs.sparkSession.sparkContext.broadcast(load(model_file))
-    return _inputs(docs).mapInArrow(functools.partial(_ids, vocab=vocab),
-                                    "doc_id long, ids array<int>, decoded string")
+    return _inputs(docs).mapInArrow(functools.partial(_ids, vocab=vocab), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, model_file: str) -> DataFrame:
+    """``doc_id, text`` of every row of ``encoded(doc_id, ids)``; null ids decode to empty text."""
+    vocab = encoded.sparkSession.sparkContext.broadcast(load(model_file))
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")
+                          ).mapInArrow(functools.partial(_texts, vocab=vocab), "doc_id long, text string")
 
 
 def encode_digests(docs: DataFrame, model_file: str) -> DataFrame:

@@ -68,7 +68,11 @@ def test_dataframe_cases(spark):
     rows = [(1, "Hello  world\n", "x"), (2, None, "y"), (3, "", None), (None, "tail", "z"), (1, "Hello  world\n", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    got = {(r.doc_id, tuple(r.ids), r.decoded) for r in spm.encode(docs, MODEL).collect()}
-    assert got == {(i, tuple(lib.encode(t or "")), lib.decode(lib.encode(t or ""))) for i, t, _ in rows}
-    digests = spm.encode_digests(docs, MODEL)
-    assert digests.count() == 5 and spm.encode_digests(docs.limit(0), MODEL).count() == 0
+    encoded = spm.encode(docs, MODEL)
+    want = {(i, tuple(lib.encode(t or ""))) for i, t, _ in rows}
+    assert {(r.doc_id, tuple(r.ids)) for r in encoded.collect()} == want
+    texts = {(r.doc_id, r.text) for r in spm.decode(encoded, MODEL).collect()}
+    assert texts == {(i, t or "") for i, t, _ in rows}
+    assert spm.encode_digests(docs, MODEL).count() == 5
+    assert spm.encode_digests(docs.limit(0), MODEL).count() == 0
+    assert spm.decode(encoded.limit(0), MODEL).count() == 0
