@@ -133,24 +133,12 @@ def _nodes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
+        sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), width)]
+        off = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "hashes"])
-
-
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose full sets are similar enough."""
-    for batch in batches:
-        a_sets, b_sets = batch.column("hashes_a"), batch.column("hashes_b")
-        keep = np.zeros(batch.num_rows, dtype=bool)
-        for i in range(batch.num_rows):
-            a = np.frombuffer(a_sets[i].as_buffer(), dtype=np.uint64)
-            b = np.frombuffer(b_sets[i].as_buffer(), dtype=np.uint64)
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-        mask = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)],
-                                         names=["a", "b"])
+            [batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
+            names=["doc_id", "hashes"])
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -199,7 +187,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     candidate = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = table(text.join(id_side(candidate), "doc_id", "left_semi")
-                     .mapInArrow(functools.partial(_sets, width=width), "doc_id long, hashes binary"), "near-sets")
+                     .mapInArrow(functools.partial(_sets, width=width), "doc_id long, hashes array<long>"), "near-sets")
     component = _contract(member, sets, percent)
 
     of_class = classes.select(*fingerprint, "rep").join(component, F.col("rep") == F.col("node"), "left")
@@ -251,8 +239,9 @@ def _contract(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             break
         pairs = (star.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
                      .join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
-                     .select("a", "b", "hashes_a", "hashes_b"))
-        new = table(pairs.mapInArrow(functools.partial(_linked, percent=percent), "a long, b long"), "near-links")
+                     .withColumn("both", F.size(F.array_intersect("hashes_a", "hashes_b"))))
+        either = F.size("hashes_a") + F.size("hashes_b") - F.col("both")
+        new = table(pairs.where(100 * F.col("both") >= percent * either).select("a", "b"), "near-links")
         found = new.limit(1).count()
         if turn > 1 and not found:
             break
