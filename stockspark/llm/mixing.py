@@ -72,8 +72,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     level = (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     ranked = ranked.withColumn("level", level)
     open_ = F.col("most") / F.col("weight") >= F.col("level")
-    # the first source that does not fill up sets the level of all after it
-    ranked = ranked.withColumn("shared", F.min(F.when(open_, F.col("level"))).over(everything))
+    # the first source that does not fill up sets the level of all after it; levels fall from there
+    ranked = ranked.withColumn("shared", F.max(F.when(open_, F.col("level"))).over(everything))
     return ranked.select("source", "source_size", F.least(
         F.col("most"), F.coalesce(F.col("shared") * F.col("weight"), F.col("most"))).alias("target"))
 
@@ -178,7 +178,7 @@ filling as (
   from ranked),
 goal as (
   select key, source_size, least(most, coalesce(
-           min(case when most / weight >= level then level end) over () * weight, most))::double as target
+           max(case when most / weight >= level then level end) over () * weight, most))::double as target
   from filling),
 split as (
   select *, (case when source_size > 0 then floor(target / source_size) else 0 end)::bigint as whole from goal),
