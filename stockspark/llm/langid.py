@@ -39,8 +39,9 @@ GRAM = 3                  # bytes of an n-gram; shorter words count as one n-gra
 SLOTS = 1 << 16           # of hashed n-grams
 SMOOTH = 0.5              # added to every slot's count
 LANGUAGES = 256           # most languages of a model: bounds the broadcast at 64 MB
-STEPS = 40                # of expectation-maximisation
-SETTLED = 1e-4            # largest change of a proportion at which it stops
+STEPS = 12                # of expectation-maximisation over all languages
+MORE_STEPS = 5            # after a language is dropped, from the proportions before
+SETTLED = 1e-3            # largest change of a proportion at which it stops
 FLOOR = -60.0             # log-likelihoods are taken relative to the best language, down to here
 
 
@@ -49,12 +50,11 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
     A word is taken with one byte around it as its end marks.
     """
-    data = lowered(data)
-    starts, ends, doc = spans(data, offsets, NOT_LETTER)
+    # a separator in front of every text and at the end: no n-gram depends on a neighbouring row
+    data = np.insert(lowered(data), offsets, np.uint8(32))
     marked = np.where(NOT_LETTER[data], np.uint8(32), data)
-    marked = np.concatenate([[np.uint8(32)], marked, [np.uint8(32)]]).astype(np.uint8)
-    starts, ends = starts, ends + 2                     # in ``marked``, with both ends
-    # a neighbouring document's letter is no end mark: such words start or end a text
+    starts, ends, doc = spans(marked, offsets + np.arange(len(offsets)), NOT_LETTER)
+    starts, ends = starts - 1, ends + 1                 # with both end marks
     n = np.maximum(ends - starts - GRAM + 1, 1)
     word = np.repeat(np.arange(len(starts)), n)
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
@@ -95,59 +95,47 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.log(count / count.sum(axis=0)).astype(np.float32)
 
 
-def mixture(like: np.ndarray, doc: np.ndarray, docs: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM proportions (docs x languages) and log-likelihoods, vectorised over documents.
+def mixture(like: np.ndarray, words: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM proportions (documents x languages) and log-likelihoods, all documents at once.
 
-    ``like``: likelihoods of each word (rows sorted by ``doc``), scaled so the
-    best language has 1. ``allowed``: the languages of each document.
+    ``like``: likelihoods of each word, document by document, scaled so the best
+    language has 1. ``words``: words of each document, none empty. ``share``:
+    proportions to start from; a language at 0 stays out.
     """
-    words = np.bincount(doc, minlength=docs)
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    has = np.flatnonzero(words)
-    first = (np.cumsum(words) - words)[has]
-    log_like = np.zeros(docs)
-    for step in range(STEPS):
-        joint = like * share[doc]
-        total = joint.sum(axis=1)
-        new = np.zeros_like(share)
-        if len(has):
-            new[has] = np.add.reduceat(joint / total[:, None], first, axis=0) / words[has, None]
-        new[words == 0] = share[words == 0]
-        moved = np.abs(new - share).max() if len(new) else 0.0
-        share = new
-        if moved < SETTLED or step == STEPS - 1:
+    first = np.cumsum(words) - words
+    for _ in range(steps):
+        joint = like * np.repeat(share, words, axis=0)
+        joint /= joint.sum(axis=1, keepdims=True)
+        new = np.add.reduceat(joint, first, axis=0) / words[:, None]
+        moved = np.abs(new - share).max()
+        share = new.astype(np.float32)
+        if moved < SETTLED:
             break
-    if len(has):
-        total = (like * share[doc]).sum(axis=1)
-        log_like[has] = np.add.reduceat(np.log(np.maximum(total, 1e-300)), first)
-    return share, log_like
+    total = (like * np.repeat(share, words, axis=0)).sum(axis=1, dtype=np.float64)
+    return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)), first)
 
 
-def select(like: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+def select(like: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Proportions of each document over its selected languages."""
-    words = np.bincount(doc, minlength=docs)
+    docs, languages = len(words), like.shape[1]
     penalty = np.log(np.maximum(words, 2)) / 2
-    allowed = np.ones((docs, like.shape[1]))
-    best, best_like = mixture(like, doc, docs, allowed)
-    active = np.flatnonzero(words)
-    while len(active):
-        trial = allowed[active].copy()
-        share = np.where(trial > 0, best[active], np.inf)
-        drop = share.argmin(axis=1)
-        can = trial.sum(axis=1) > 1
-        active, trial, drop = active[can], trial[can], drop[can]
+    start = np.full((docs, languages), 1 / languages, dtype=np.float32)
+    best, best_like = mixture(like, words, start, STEPS)
+    active = np.arange(docs)
+    while True:
+        active = active[(best[active] > 0).sum(axis=1) > 1]
         if not len(active):
-            break
+            return best
+        trial = best[active].copy()
+        drop = np.where(trial > 0, trial, np.inf).argmin(axis=1)
         trial[np.arange(len(active)), drop] = 0
-        number = np.full(docs, -1)
-        number[active] = np.arange(len(active))
-        rows = number[doc] >= 0
-        got, got_like = mixture(like[rows], number[doc[rows]], len(active), trial)
+        trial /= trial.sum(axis=1, keepdims=True)
+        chosen = np.zeros(docs, dtype=bool)
+        chosen[active] = True
+        got, got_like = mixture(like[np.repeat(chosen, words)], words[active], trial, MORE_STEPS)
         better = best_like[active] - got_like < penalty[active]
-        gone = active[better]
-        allowed[gone], best[gone], best_like[gone] = trial[better], got[better], got_like[better]
-        active = gone
-    return best
+        active = active[better]
+        best[active], best_like[active] = got[better], got_like[better]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -166,7 +154,9 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                 begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
                 like = np.add.reduceat(logs[slot], begin, axis=0)
                 like = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), FLOOR))
-                share = select(like, doc, rows)
+                words = np.bincount(doc, minlength=rows)
+                share = np.zeros((rows, len(names)))
+                share[words > 0] = select(like, words[words > 0])
             else:
                 share = np.zeros((rows, max(1, len(names))))
                 lettered[:] = False

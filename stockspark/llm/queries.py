@@ -69,3 +69,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its entities replaced by surrogates."""
     from stockspark.llm.pii import replace_pii
     return replace_pii(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+# ------------------------------------------------------------------ operator 3
+@register("op3_language_mixture")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, from its mixture of languages."""
+    from stockspark.llm.langid import identify
+    return identify(read(spark, sf_dir, "documents"))
