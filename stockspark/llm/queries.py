@@ -77,3 +77,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, from its mixture of languages."""
     from stockspark.llm.langid import identify
     return identify(read(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ operator 4
+from stockspark.llm import balltree  # noqa: E402
+
+
+@register("op4_ball_tree_top_k", balltree.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    return balltree.top_k(read(spark, sf_dir, "embeddings"))
