@@ -87,3 +87,11 @@ from stockspark.llm import balltree  # noqa: E402
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of every hundredth vector with all others."""
     return balltree.top_k(read(spark, sf_dir, "embeddings"))
+
+
+# ----------------------------------------------------------------- operator 10
+@register("op10_weighted_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text."""
+    from stockspark.llm.fingerprint import fingerprint
+    return fingerprint(read(spark, sf_dir, "documents"))
