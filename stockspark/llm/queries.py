@@ -109,3 +109,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)],
                                     "conv_id long, turn long, role string, text string")
     return digests(format_conversations(turns.unionByName(hostile)))
+
+
+# ------------------------------------------------------------------ operator 1
+from stockspark.llm import warc  # noqa: E402
+
+
+@register("op1_warc_fixity", warc.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of a replica of the archive of all pages."""
+    records = warc.archive(read(spark, sf_dir, "pages"))
+    return warc.audit(records, warc.damaged(records))
