@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import table
+from stockspark.llm.common import id_side, table
 
 RECORDS_A_FILE = 1024       # pages archived in one file
 # bits of the offset that a range keeps out, then bits of the file number
@@ -87,41 +87,43 @@ LEVELS = ([("record", lambda: [F.col("file"), F.col("offset")])]
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Nodes of each level, from records to the root: ``k1, k2`` (key), ``file, offset`` (first record), ``hash``.
+    """Nodes of each level, from records to the root, of all replicas in ``leaves``.
 
-    ``leaves``: ``file, offset, bytes, digest``. A node keeps the place of its
-    first record, from which the key of every ancestor follows.
+    ``leaves``: ``replica, file, offset, bytes, digest``. Each level has ``replica,
+    k1, k2`` (key), ``file, offset`` (of the node's first record, from which the
+    key of every ancestor follows) and ``hash``.
     """
     own = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("bytes").cast("string"), "digest"), 256)
-    level = leaves.select(*[k.alias(n) for k, n in zip(LEVELS[0][1](), ("k1", "k2"))], "file", "offset",
+    level = leaves.select("replica", *[k.alias(n) for k, n in zip(LEVELS[0][1](), ("k1", "k2"))], "file", "offset",
                           own.alias("hash"))
     levels = [level]
-    for _, key in LEVELS[1:]:
+    for name, key in LEVELS[1:]:
         k1, k2 = key()
         child = F.array_sort(F.collect_list(F.struct("file", "offset", "hash")))
         joined = F.array_join(F.transform("c", lambda x: F.concat_ws(
             ":", x["file"].cast("string"), x["offset"].cast("string"), x["hash"])), ",")
-        grouped = level.withColumns({"k1": k1, "k2": k2}).groupBy("k1", "k2").agg(child.alias("c"))
-        level = grouped.select("k1", "k2", F.col("c")[0]["file"].alias("file"), F.col("c")[0]["offset"].alias("offset"),
-                               F.sha2(joined, 256).alias("hash"))
+        grouped = level.withColumns({"k1": k1, "k2": k2}).groupBy("replica", "k1", "k2").agg(child.alias("c"))
+        level = table(grouped.select(
+            "replica", "k1", "k2", F.col("c")[0]["file"].alias("file"), F.col("c")[0]["offset"].alias("offset"),
+            F.sha2(joined, 256).alias("hash")), f"warc-{name}")
         levels.append(level)
     return levels
 
 
-def differing(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
-    """``file, offset`` of the records that differ, found from the roots down."""
+def differing(levels: list[DataFrame]) -> DataFrame:
+    """``file, offset`` of the records that differ between replicas 0 and 1, from the root down."""
     bad = None
     for n in range(len(LEVELS) - 1, -1, -1):
-        sides = []
-        for nodes in (first[n], second[n]):
-            if bad is not None:
-                p1, p2 = LEVELS[n + 1][1]()            # the node's parent, from its first record
-                nodes = nodes.withColumns({"p1": p1, "p2": p2}).join(bad, ["p1", "p2"], "left_semi")
-            sides.append(nodes.select("k1", "k2", "hash"))
-        a, b = sides
-        pairs = a.withColumnRenamed("hash", "a").join(b.withColumnRenamed("hash", "b"), ["k1", "k2"], "full")
-        found = pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("k1", "k2")
+        nodes = levels[n]
+        if bad is not None:
+            p1, p2 = LEVELS[n + 1][1]()                # the node's parent, from its first record
+            nodes = nodes.withColumns({"p1": p1, "p2": p2}).join(id_side(bad), ["p1", "p2"], "left_semi")
+        sides = [F.max(F.when(F.col("replica") == r, F.col("hash"))).alias(f"h{r}") for r in (0, 1)]
+        found = nodes.groupBy("k1", "k2").agg(*sides).where(~F.col("h0").eqNullSafe(F.col("h1")))
+        found = table(found.select("k1", "k2"), "warc-differing")
         bad = found.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"))
+        if not bad.limit(1).count():
+            break
     return found.select(F.col("k1").alias("file"), F.col("k2").alias("offset"))
 
 
@@ -132,22 +134,22 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     found_digest``: the record's place in the first replica's index (records
     outside the index stand behind it), and what each replica holds there.
     """
-    place = table(index(first), "warc-index").select("file", "page_id", "offset")
-    leaves = []
-    for records in (first, second):
-        leaf = digests(records).withColumn("page_id", F.coalesce("page_id", F.lit(-1)))
-        leaf = leaf.join(place.withColumn("page_id", F.coalesce("page_id", F.lit(-1))), ["file", "page_id"], "left")
-        offset = F.coalesce("offset", F.lit(1 << 40) + F.col("page_id"))
-        leaves.append(table(leaf.withColumn("offset", offset), "warc-leaves"))
-    bad = differing(*[[table(x, "warc-nodes") if n == 1 else x for n, x in enumerate(tree(leaf))] for leaf in leaves])
-    a, b = (x.select("file", "offset", "page_id", F.col("bytes"), "digest") for x in leaves)
-    both = (bad.join(a.withColumnsRenamed({"bytes": "length", "page_id": "a_id"}), ["file", "offset"], "left")
-               .join(b.withColumnsRenamed({"bytes": "found_length", "digest": "found_digest", "page_id": "b_id"}),
-                     ["file", "offset"], "left"))
+    place = table(index(first), "warc-index").select("file", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "offset")
+    both = [digests(x).withColumn("replica", F.lit(n)) for n, x in enumerate((first, second))]
+    leaf = both[0].unionByName(both[1]).withColumn("page_id", F.coalesce("page_id", F.lit(-1)))
+    leaf = leaf.join(place, ["file", "page_id"], "left").withColumn(
+        "offset", F.coalesce("offset", F.lit(1 << 40) + F.col("page_id")))
+    leaf = table(leaf.select("replica", "file", "offset", "page_id", "bytes", "digest"), "warc-leaves")
+    held = leaf.join(id_side(differing(tree(leaf))), ["file", "offset"], "left_semi")
+
+    def of(replica: int, column: str) -> Column:
+        return F.max(F.when(F.col("replica") == replica, F.col(column)))
+    both = held.groupBy("file", "offset").agg(
+        F.max("page_id").alias("page_id"), of(0, "bytes").alias("length"), of(0, "digest").alias("digest"),
+        of(1, "bytes").alias("found_length"), of(1, "digest").alias("found_digest"))
     damage = (F.when(F.col("found_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra")
                .when(F.col("length") != F.col("found_length"), "resized").otherwise("altered"))
-    page = F.coalesce("a_id", "b_id")
-    return both.select("file", "offset", F.when(page >= 0, page).alias("page_id"), damage.alias("damage"), "length",
+    return both.select("file", "offset", F.when(F.col("page_id") >= 0, F.col("page_id")).alias("page_id"), damage.alias("damage"), "length",
                        "digest", "found_length", "found_digest")
 
 
