@@ -10,9 +10,9 @@ from stockspark.session import scratch_path
 # Rows per Arrow batch handed to Python. Texts can be long, so a batch is kept
 # small; inside a batch texts are cut into slices of bounded bytes (flat.py).
 BATCH_ROWS = 512
-# A side may be broadcast up to this many rows of ids (16 bytes each, 32 MB);
+# A side of a few ids a row may be broadcast up to this many rows (under 32 MB);
 # beyond it the same join runs as a shuffle join.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -151,14 +151,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     label = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")),
                   f"{name}-label")
     for _ in range(MAX_PASSES):
-        seen = both.join(label.select(F.col("node").alias("b"), F.col("component").alias("near")), "b")
-        lowest = seen.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = (label.join(lowest, "node")
-                     .select("node", "component", F.least("component", "near").alias("next")))
-        jump = label.select(F.col("node").alias("next"), F.col("component").alias("root"))
-        new = table(step.join(jump, "next", "left")
-                        .select("node", F.least("next", F.coalesce("root", "next")).alias("component"),
-                                F.col("component").alias("_was")), f"{name}-label")
+        # a node takes its neighbours' smallest label, then that label's own label
+        near = id_side(label.select(F.col("node").alias("b"), F.col("component").alias("near")))
+        lowest = both.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("next"))
+        jump = id_side(label.select(F.col("node").alias("next"), F.col("component").alias("root")))
+        was = id_side(label.withColumnRenamed("component", "_was"))
+        new = table(lowest.join(was, "node").withColumn("next", F.least("next", "_was")).join(jump, "next", "left")
+                          .select("node", F.least("next", F.coalesce("root", "next")).alias("component"), "_was"),
+                    f"{name}-label")
         moved = new.where(F.col("component") != F.col("_was")).limit(1).count()
         label = new.drop("_was")
         if not moved:
@@ -182,15 +182,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = classes.select("rep", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     member = table(rows.join(shared, "bucket"), "near-buckets")
-    hub = member.groupBy("rep").agg(F.sum("members").alias("hub"))
-    member = table(member.join(hub, "rep").select("bucket", "rep", "size", "hub"), "near-members")
+    hub = table(member.groupBy("rep").agg(F.sum("members").alias("hub")), "near-hubs")
+    member = table(member.join(id_side(hub), "rep").select("bucket", "rep", "size", "hub"), "near-members")
 
     candidate = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = table(text.join(id_side(candidate), "doc_id", "left_semi")
                      .mapInArrow(functools.partial(_sets, width=width), "doc_id long, hashes array<long>"), "near-sets")
     component = _contract(member, sets, percent)
 
-    of_class = classes.select(*fingerprint, "rep").join(component, F.col("rep") == F.col("node"), "left")
+    of_class = classes.select(*fingerprint, "rep").join(id_side(component), F.col("rep") == F.col("node"), "left")
     of_class = of_class.select(*fingerprint, F.coalesce("component", "rep").alias("component_id"))
     found = shaped.select("doc_id", *fingerprint).join(of_class, fingerprint).select(
         "doc_id", "n_shingles", "component_id")
@@ -210,7 +210,7 @@ def _contract(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     component = spark.createDataFrame([], "node long, component long")
     turn = 0
     while True:
-        now = member.join(component, F.col("rep") == F.col("node"), "left").select(
+        now = member.join(id_side(component), F.col("rep") == F.col("node"), "left").select(
             "bucket", "rep", "size", "hub", F.coalesce("component", "rep").alias("comp"))
         who = F.struct("rep", "size", "comp")
         centre = now.groupBy("bucket").agg(
@@ -224,12 +224,12 @@ def _contract(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                                 F.col("c.comp").alias("centre_comp")))
         centre = table(centre, "near-centres")
         near_size = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
-        star = (now.join(centre, "bucket")
+        star = (now.join(id_side(centre), "bucket")
                    .where((F.col("comp") != F.col("centre_comp")) & near_size)
                    .groupBy(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
                    .agg(F.count("*").alias("met"), F.first("rep").alias("rep")))
         if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
+            star = star.join(id_side(tested), ["a", "b"], "left_anti")
         if turn == 0:
             # first only each document's most frequent centre: most links need one test
             best = star.groupBy("rep").agg(F.max(F.struct("met", "a", "b")).alias("m"))
@@ -237,7 +237,7 @@ def _contract(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         star = table(star.select("a", "b"), "near-edges")
         if turn > 0 and not star.limit(1).count():
             break
-        pairs = (star.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+        pairs = (sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")).join(id_side(star), "b")
                      .join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
                      .withColumn("both", F.size(F.array_intersect("hashes_a", "hashes_b"))))
         either = F.size("hashes_a") + F.size("hashes_b") - F.col("both")
@@ -251,6 +251,6 @@ def _contract(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         tested = star if tested is None else table(tested.unionByName(star), "near-tested")
         if turn > 0:                       # the centres of this turn have met all their buckets
             used = centre.select("bucket", F.col("centre").alias("rep"))
-            member = table(member.join(used, ["bucket", "rep"], "left_anti"), "near-members")
+            member = table(member.join(id_side(used), ["bucket", "rep"], "left_anti"), "near-members")
         turn += 1
     return component
