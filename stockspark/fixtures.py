@@ -78,16 +78,10 @@ def ord_key() -> F.Column:
 def snapshot_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat snapshot history (FIXTURES.md B3).
 
-    Users with ``user_id % 25 = 0`` keep only their last event, so they vanish
-    from later snapshots (sold-out items). The last event per user is an
-    aggregate joined back on user_id, not a window, so a hot user does not
-    land in one task.
+    Items that sold out are those whose last event is before the newest day.
     """
     ev = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    last = ev.groupBy("user_id").agg(F.max("event_id").alias("_last_eid"))
-    kept = (ev.join(last, "user_id")
-              .where((F.col("user_id") % 25 != 0) | (F.col("event_id") == F.col("_last_eid"))))
-    return kept.select(
+    return ev.select(
         F.to_date("ts").alias("snapshot_date"),
         F.col("event_id").alias("entry_idx"),
         F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("barcode"),

@@ -21,7 +21,16 @@ RECEIVED_FORMATS = [
     "yyyy/MM/dd",
     "d MMM yyyy",
     "MMM d, yyyy",
+    "MMM d yyyy",
+    "MMMM d, yyyy",
+    "d-MMM-yyyy",
+    "M/d/yyyy h:mm a",
+    "M-d-yyyy",
+    "yyyy/M/d",
+    "yyyyMMdd",
 ]
+# ---- fixed values: spreadsheet serial days from 1900-01-01 to 9999-12-31
+SERIAL_DAYS = (2, 2958465)
 _EMPTY_TEXT = ["", "nan", "none", "nat", "null"]
 
 
@@ -31,13 +40,13 @@ def to_qty(c: Column) -> Column:
 
 
 def to_money(c: Column) -> Column:
-    """Double amount, unparseable -> 0.0."""
-    return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
+    """Double amount, missing ('nan') or unparseable -> 0.0."""
+    return F.coalesce(F.nanvl(c.cast("string").try_cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
 def parse_number(c: Column) -> Column:
-    """Thousands commas removed; '' and bad values -> null."""
-    return F.regexp_replace(c.cast("string"), ",", "").try_cast("double")
+    """Thousands commas removed; '', 'nan' and bad values -> null."""
+    return F.nanvl(F.regexp_replace(c.cast("string"), ",", "").try_cast("double"), F.lit(None).cast("double"))
 
 
 def is_empty_text(c: Column) -> Column:
@@ -45,16 +54,26 @@ def is_empty_text(c: Column) -> Column:
 
 
 def parse_received_date(c: Column) -> Column:
-    """Leading apostrophes stripped; export format first, then common forms."""
+    """Leading apostrophes stripped; export format first, then common forms.
+
+    Fractions of a second and a zone after the time do not change the day.
+    """
     s = F.trim(F.regexp_replace(F.trim(c.cast("string")), r"^'+", ""))
+    s = F.regexp_replace(s, r"(:\d{2})[.,]\d+", "$1")
+    s = F.regexp_replace(s, r"(:\d{2}) ?(?:Z|UTC|[+-]\d{2}:?\d{2})$", "$1")
     tries = [F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in RECEIVED_FORMATS]
     return F.when(is_empty_text(s), F.lit(None).cast("date")).otherwise(F.coalesce(*tries))
 
 
 def parse_expiry(c: Column) -> Column:
-    """Spreadsheet serial days (origin 1899-12-30) or date text; bad -> null."""
+    """Spreadsheet serial days (origin 1899-12-30) or date text; bad -> null.
+
+    A number is a serial day only in the range of dates a spreadsheet has;
+    'nan', 'inf' and larger numbers are read as text (20240131 is a date).
+    """
     s = F.trim(c.cast("string"))
     serial = s.try_cast("double")
-    return F.when(serial.isNotNull(),
+    serial = F.when(serial.between(*SERIAL_DAYS), serial)
+    return F.when(is_empty_text(s), F.lit(None).cast("date")).when(serial.isNotNull(),
                   F.date_add(F.lit(SPREADSHEET_EPOCH).cast("date"), F.floor(serial).cast("int"))
                   ).otherwise(parse_received_date(s))

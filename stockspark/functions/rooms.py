@@ -9,15 +9,11 @@ from pyspark.sql import functions as F
 
 from stockspark.schema import DEFAULT_ROOM_ALIASES, SALES_FLOOR_ALIASES
 
-# An alias map given as a Python dict lives on the driver already; up to this
-# many entries it is inlined as a map literal (no join, stays in codegen).
-# Larger maps, or maps given as a DataFrame, are joined.
-MAX_INLINE_ALIASES = 10_000
-
 
 def _alias_map_literal(aliases: dict[str, str]) -> Column:
-    pairs = [(str(k or "").strip().lower(), v) for k, v in aliases.items()]
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
+    # keys that are equal after trimming and lower-casing: the last one counts
+    last = {str(k or "").strip().lower(): v for k, v in aliases.items()}
+    return F.create_map(*[F.lit(x) for x in chain.from_iterable(last.items())])
 
 
 def alias_room(room: Column, aliases: dict[str, str] | None) -> Column:
@@ -28,8 +24,6 @@ def alias_room(room: Column, aliases: dict[str, str] | None) -> Column:
     trimmed = F.trim(room)
     if not aliases:
         return trimmed
-    if len(aliases) > MAX_INLINE_ALIASES:
-        raise ValueError("alias map too large to inline; use normalize_rooms_df")
     return F.coalesce(F.element_at(_alias_map_literal(aliases), F.lower(trimmed)), trimmed)
 
 
@@ -37,16 +31,15 @@ def normalize_rooms_df(df: DataFrame, aliases: DataFrame | dict | None,
                        room_col: str = "room") -> DataFrame:
     """Apply a room alias table to ``df``.
 
-    ``aliases`` may be a dict (inlined when small) or a DataFrame
-    ``(from_room, to_room)`` of any size, joined on the lower-cased room.
+    ``aliases``: a dict, or a DataFrame ``(from_room, to_room[, pos])`` of any
+    size, joined on the lower-cased room. Of equal keys the last one counts
+    (largest ``pos``; without ``pos`` the largest target).
     """
-    if aliases is None or isinstance(aliases, dict) and len(aliases) <= MAX_INLINE_ALIASES:
+    if not isinstance(aliases, DataFrame):
         return df.withColumn(room_col, alias_room(F.col(room_col), aliases))
-    if isinstance(aliases, dict):
-        spark = df.sparkSession
-        aliases = spark.createDataFrame(list(aliases.items()), "from_room string, to_room string")
-    amap = (aliases.select(F.lower(F.trim("from_room")).alias("_akey"), "to_room")
-                   .groupBy("_akey").agg(F.first("to_room").alias("_ato")))
+    order = "pos" if "pos" in aliases.columns else "to_room"
+    amap = (aliases.select(F.lower(F.trim("from_room")).alias("_akey"), "to_room", F.col(order).alias("_pos"))
+                   .groupBy("_akey").agg(F.max_by("to_room", "_pos").alias("_ato")))
     out = (df.withColumn(room_col, F.trim(room_col))
              .join(amap, F.lower(F.col(room_col)) == F.col("_akey"), "left")
              .withColumn(room_col, F.coalesce("_ato", F.col(room_col)))

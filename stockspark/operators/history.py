@@ -100,16 +100,16 @@ def import_summary(inv: DataFrame, move_up: DataFrame, raw_rows: Column | None =
     zero = F.lit(0).cast("long")
     a = inv.agg(
         F.count(F.lit(1)).alias("total_rows"), F.count(F.lit(1)).alias("mapped_rows"),
-        zero.alias("moveup_count"),
+        zero.alias("move_up_count"),
         F.countDistinct("brand").alias("unique_brands"), F.countDistinct("type").alias("unique_types"),
         F.countDistinct("room").alias("unique_rooms"),
         F.coalesce(F.sum("qty_on_hand"), zero).cast("long").alias("total_qty"),
         F.count_if(bc.isNotNull() & (bc != "") & (F.lower(bc) != "nan")).alias("velocity_entries_count"))
     b = move_up.agg(*[zero.alias(c) for c in ("total_rows", "mapped_rows")],
-                    F.count(F.lit(1)).alias("moveup_count"),
+                    F.count(F.lit(1)).alias("move_up_count"),
                     *[zero.alias(c) for c in ("unique_brands", "unique_types", "unique_rooms",
                                               "total_qty", "velocity_entries_count")])
-    cols = ["total_rows", "mapped_rows", "moveup_count", "unique_brands", "unique_types",
+    cols = ["total_rows", "mapped_rows", "move_up_count", "unique_brands", "unique_types",
             "unique_rooms", "total_qty", "velocity_entries_count"]
     return a.unionByName(b).agg(*[F.sum(c).cast("long").alias(c) for c in cols])
 
@@ -128,16 +128,16 @@ def import_log_from_history(history: DataFrame, floor_rooms: Sequence[str] = FLO
     return per.join(arr, SNAP, "left").select(
         F.col(SNAP).cast("timestamp").alias("timestamp"),
         F.concat(F.lit("snapshot_"), F.date_format(SNAP, "yyyyMMdd"), F.lit(".csv")).alias("file_name"),
-        "total_rows", "mapped_rows", zero.alias("moveup_count"),
+        "total_rows", "mapped_rows", zero.alias("move_up_count"),
         F.create_map().cast("map<string,int>").alias("diag"),
         zero.alias("unique_brands"), zero.alias("unique_types"), "unique_rooms", "total_qty",
         "velocity_entries_count",
-        F.coalesce(F.col("floor_arrivals"), zero).alias("floor_moveups"))
+        F.coalesce(F.col("floor_arrivals"), zero).alias("floor_move_ups"))
 
 
 # ---- fixed values: trend metrics of the import log (order as displayed)
-TREND_METRICS = ["total_rows", "moveup_count", "unique_brands", "unique_types", "total_qty",
-                 "candidate_pool", "removed_as_on_sf", "floor_moveups"]
+TREND_METRICS = ["total_rows", "move_up_count", "unique_brands", "unique_types", "total_qty",
+                 "candidate_pool", "removed_as_on_sf", "floor_move_ups"]
 
 
 def import_trends(log: DataFrame) -> DataFrame:

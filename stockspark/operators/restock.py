@@ -17,8 +17,6 @@ from stockspark.functions.rooms import in_rooms, is_sales_floor, normalize_rooms
 
 PRODUCT_KEY = ["brand", "product_name"]
 SPLIT_KEY = ["package_barcode", "room", "type", "brand", "product_name"]
-# lists longer than this are joined instead of inlined in an IN list
-MAX_INLINE_LIST = 10_000
 
 
 # ---------------------------------------------------------------- filters
@@ -28,28 +26,37 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["product_name", "brand", "package_barcode", "room"])
 
 
-def _selection(values: Sequence[str] | None) -> list[str] | None:
-    """Trimmed non-empty entries; None means keep everything (empty or ALL)."""
-    vals = [str(v).strip() for v in (values or []) if str(v).strip()]
-    if not vals or any(v.upper() == "ALL" for v in vals):
-        return None
-    return vals
+def wanted(values: Sequence[str] | None) -> frozenset[str]:
+    """The entries a selection asks for; an empty set selects everything.
+
+    Blank entries say nothing, and an entry ALL (any case) lifts the selection.
+    """
+    entries = frozenset(str(v).strip() for v in values or ()) - {""}
+    return frozenset() if "ALL" in map(str.upper, entries) else entries
+
+
+def with_selected(df: DataFrame, col: str, values: Sequence[str] | DataFrame | None, flag: str) -> DataFrame:
+    """``df`` with a boolean column: the row's value is selected.
+
+    The row value itself is not trimmed. A DataFrame (one column, any size) is
+    joined on its distinct values; a list is an IN predicate.
+    """
+    if isinstance(values, DataFrame):
+        v = values.select(F.col(values.columns[0]).alias("_v")).distinct().withColumn("_in", F.lit(True))
+        joined = df.join(v, F.col(col) == F.col("_v"), "left")
+        return joined.withColumn(flag, F.col("_in").isNotNull()).drop("_v", "_in")
+    vals = wanted(values)
+    return df.withColumn(flag, F.coalesce(F.col(col).isin(sorted(vals)), F.lit(False)) if vals else F.lit(True))
 
 
 def filter_in(df: DataFrame, col: str, values: Sequence[str] | DataFrame | None) -> DataFrame:
     """keep rows whose value is in the list; an empty list or one holding
-    "ALL" keeps all. The row value itself is not trimmed. A DataFrame list (one
-    column) or a very long list becomes a semi join."""
+    "ALL" keeps all. A DataFrame list (one column, any size) is a semi join."""
     if isinstance(values, DataFrame):
         v = values.select(F.col(values.columns[0]).alias("_v"))
         return df.join(v, F.col(col) == F.col("_v"), "left_semi")
-    vals = _selection(values)
-    if vals is None:
-        return df
-    if len(vals) > MAX_INLINE_LIST:
-        v = df.sparkSession.createDataFrame([(x,) for x in vals], "_v string")
-        return df.join(v, F.col(col) == F.col("_v"), "left_semi")
-    return df.where(F.col(col).isin(vals))
+    vals = wanted(values)
+    return df.where(F.col(col).isin(sorted(vals))) if vals else df
 
 
 def is_accessory(type_col: Column) -> Column:
@@ -89,7 +96,7 @@ def move_up(df: DataFrame, candidate_rooms: Sequence[str], aliases=None, brands=
             keys: Sequence[str] = ()) -> DataFrame:
     """Candidate-room rows whose (keys, brand, product) is not on the floor.
 
-    ``left_anti`` needs no distinct on the floor side. With AQE a hot product
+    The floor side is reduced to distinct products map-side. With AQE a hot product
     on the probe side is split into several tasks (skew join); a small floor
     side becomes a broadcast join at runtime.
     """
@@ -97,7 +104,7 @@ def move_up(df: DataFrame, candidate_rooms: Sequence[str], aliases=None, brands=
     cands = candidate_items(work, candidate_rooms)
     if skip_sales_floor:
         return cands
-    floor = sales_floor_items(work).select(*keys, *PRODUCT_KEY)
+    floor = sales_floor_items(work).select(*keys, *PRODUCT_KEY).distinct()
     return cands.join(floor, [*keys, *PRODUCT_KEY], "left_anti")
 
 
@@ -111,15 +118,12 @@ def move_up_diag(df: DataFrame, candidate_rooms: Sequence[str], aliases=None, br
     aggregated before they meet, so no row-level data crosses the union.
     Invariant: candidate_pool = removed_as_on_sf + move_up.
     """
-    brand_sel = _selection(brands) if not isinstance(brands, DataFrame) else None
-    type_sel = _selection(types) if not isinstance(types, DataFrame) else None
     complete = F.col("product_name").isNotNull() & F.col("brand").isNotNull() & \
         F.col("package_barcode").isNotNull() & F.col("room").isNotNull()
-    ok_brand = complete & (F.col("brand").isin(brand_sel) if brand_sel else F.lit(True))
-    ok_type = ok_brand & (F.col("type").isin(type_sel) if type_sel else F.lit(True))
-    staged = (normalize_rooms_df(df, aliases)
-              .withColumn("_s1", complete).withColumn("_s2", ok_brand)
-              .withColumn("_s3", ok_type)
+    flagged = with_selected(with_selected(normalize_rooms_df(df, aliases), "brand", brands, "_brand"),
+                            "type", types, "_type")
+    staged = (flagged.withColumn("_s1", complete).withColumn("_s2", F.col("_s1") & F.col("_brand"))
+              .withColumn("_s3", F.col("_s2") & F.col("_type"))
               .withColumn("_s4", F.col("_s3") & ~is_accessory(F.col("type")))
               .withColumn("_s5", F.col("_s4") & in_rooms(F.col("room"), list(candidate_rooms))))
     zero = F.lit(0).cast("long")

@@ -21,18 +21,23 @@ def _bc(c: str = "package_barcode") -> Column:
     return F.trim(F.col(c))
 
 
+def _members(s: DataFrame) -> DataFrame:
+    """Trimmed barcodes of a set; semi and anti joins need no distinct."""
+    return s.select(F.trim(F.col(s.columns[0])).alias("_sb"))
+
+
 def _keys(s: DataFrame) -> DataFrame:
-    return s.select(F.trim(F.col(s.columns[0])).alias("_sb")).distinct()
+    return _members(s).distinct()
 
 
 def hide_excluded(df: DataFrame, excluded: DataFrame) -> DataFrame:
     """drop rows whose trimmed barcode is in the excluded set."""
-    return df.join(_keys(excluded), _bc() == F.col("_sb"), "left_anti")
+    return df.join(_members(excluded), _bc() == F.col("_sb"), "left_anti")
 
 
 def rows_in_set(df: DataFrame, barcodes: DataFrame) -> DataFrame:
     """rows whose trimmed barcode is in the set (sort: room, brand, product)."""
-    return df.join(_keys(barcodes), _bc() == F.col("_sb"), "left_semi")
+    return df.join(_members(barcodes), _bc() == F.col("_sb"), "left_semi")
 
 
 def prune_state(state: DataFrame, inv: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def prune_state(state: DataFrame, inv: DataFrame) -> DataFrame:
 
 def export_rows(move_up: DataFrame, priority: DataFrame) -> DataFrame:
     """Move-up rows without the priority barcodes (listed separately)."""
-    return move_up.join(_keys(priority), _bc() == F.col("_sb"), "left_anti")
+    return move_up.join(_members(priority), _bc() == F.col("_sb"), "left_anti")
 
 
 def brands_for_distributors(inv: DataFrame, distributors: Sequence[str] | DataFrame) -> DataFrame:

@@ -44,15 +44,15 @@ def q_expiring_items(spark, sf_dir):
     return ex.sort_expiring(_filtered(spark, sf_dir))
 
 
-_BUCKETS = ex.dynamic_buckets(DAYS)
-_BVALUES = ", ".join(f"({i}, '{lbl}', {lo}, {hi})" for i, (lbl, lo, hi) in enumerate(_BUCKETS))
-
-
 @register("expiry_buckets", _xsql(f"""
 select b.pos, b.bucket, count(e.days_to_expire) as items,
        coalesce(sum(cast(e.available_qty as double)), 0.0) as qty_sum,
        min(e.expiration_date) as earliest_exp, max(e.expiration_date) as latest_exp
-from (values {_BVALUES}) b(pos, bucket, lo, hi)
+from (values (0, '0–7 days', 0, 7),
+                       (1, '8–14 days', 8, 14),
+                       (2, '15–30 days', 15, 30),
+                       (3, '31–60 days', 31, 60),
+                       (4, '61–90 days', 61, 90)) b(pos, bucket, lo, hi)
 left join ex e on e.days_to_expire between b.lo and b.hi
 group by b.pos, b.bucket
 union all
@@ -60,7 +60,7 @@ select -1, 'Expired', count(*), coalesce(sum(cast(available_qty as double)), 0.0
        min(expiration_date), max(expiration_date)
 from ex where days_to_expire < 0 having count(*) > 0
 union all
-select {len(_BUCKETS)}, 'Missing Expiration', count(*), coalesce(sum(cast(available_qty as double)), 0.0),
+select 5, 'Missing Expiration', count(*), coalesce(sum(cast(available_qty as double)), 0.0),
        cast(null as date), cast(null as date)
 from ex where expiration_date is null"""))
 def q_expiry_buckets(spark, sf_dir):

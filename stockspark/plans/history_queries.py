@@ -8,7 +8,7 @@ from stockspark import fixtures as fx
 from stockspark.operators import history as hs
 from stockspark.plans.registry import register
 from stockspark.plans.views import with_views
-from stockspark.plans.moveup_queries import MU_SQL
+from stockspark.plans.restock_queries import MU_SQL
 from stockspark.session import scratch_path
 from stockspark.sources import history_io as hio
 
@@ -101,9 +101,9 @@ def q_floor_arrivals(spark, sf_dir):
 _LOG = f"""
 select cast(s.snapshot_date as timestamp) as timestamp,
        'snapshot_' || strftime(s.snapshot_date, '%Y%m%d') || '.csv' as file_name,
-       total_rows, mapped_rows, 0::bigint as moveup_count,
+       total_rows, mapped_rows, 0::bigint as move_up_count,
        0::bigint as unique_brands, 0::bigint as unique_types, unique_rooms, total_qty,
-       velocity_entries_count, coalesce(a.floor_arrivals, 0)::bigint as floor_moveups
+       velocity_entries_count, coalesce(a.floor_arrivals, 0)::bigint as floor_move_ups
 from (select snapshot_date, count(*) as total_rows,
              count(*) filter (where barcode is not null and barcode <> '') as mapped_rows,
              count(distinct room) as unique_rooms, cast(coalesce(sum(qty), 0) as bigint) as total_qty,
@@ -135,14 +135,14 @@ def q_import_trends(spark, sf_dir):
 
 
 @register("import_summary", with_views("""
-select count(*) as total_rows, count(*) as mapped_rows, (select count(*) from mu) as moveup_count,
+select count(*) as total_rows, count(*) as mapped_rows, (select count(*) from mu) as move_up_count,
        count(distinct brand) as unique_brands, count(distinct type) as unique_types,
        count(distinct room) as unique_rooms, cast(sum(qty_on_hand) as bigint) as total_qty,
        count(*) filter (where package_barcode is not null and trim(package_barcode) <> ''
                         and lower(trim(package_barcode)) <> 'nan') as velocity_entries_count
 from inventory""", "work", extra=[("mu", MU_SQL)]))
 def q_import_summary(spark, sf_dir):
-    from stockspark.plans.moveup_queries import move_up_result
+    from stockspark.plans.restock_queries import move_up_result
     return hs.import_summary(fx.inventory(spark, sf_dir), move_up_result(spark, sf_dir))
 
 

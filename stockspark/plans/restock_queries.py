@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stockspark import fixtures as fx
 from stockspark.functions.rooms import alias_room, alias_room_with_defaults
-from stockspark.operators import moveup as mu
+from stockspark.operators import restock as mu
 from stockspark.plans.registry import register
 from stockspark.plans.views import FLOOR_LIST, room_alias_sql, sql_list, with_views
 from stockspark.schema import DEFAULT_ROOM_ALIASES

@@ -10,7 +10,7 @@ from stockspark.operators import listing as ls
 from stockspark.operators import search as se
 from stockspark.operators import state as st
 from stockspark.operators import velocity as vl
-from stockspark.plans.moveup_queries import MU_SQL, OUT_COLS, OUT_SQL, move_up_result
+from stockspark.plans.restock_queries import MU_SQL, OUT_COLS, OUT_SQL, move_up_result
 from stockspark.plans.registry import register
 from stockspark.plans.velocity_queries import _HB, _VEL, T
 from stockspark.plans.views import room_alias_sql, sql_list, with_views

@@ -6,7 +6,7 @@ from __future__ import annotations
 from stockspark import fixtures as fx
 from stockspark.operators import velocity as vl
 from stockspark.plans.registry import register
-from stockspark.plans.moveup_queries import MU_SQL
+from stockspark.plans.restock_queries import MU_SQL
 from stockspark.plans.views import py_round_sql, with_views
 
 AS_OF = fx.VELOCITY_AS_OF.isoformat()
@@ -178,5 +178,5 @@ def q_snapshot_list(spark, sf_dir):
 select m.*, coalesce(v.velocity_label, 'New') as velocity
 from mu m left join vel v on trim(m.package_barcode) = v.barcode""", "work", extra=[("mu", MU_SQL)]))
 def q_move_up_velocity(spark, sf_dir):
-    from stockspark.plans.moveup_queries import OUT_COLS, move_up_result
+    from stockspark.plans.restock_queries import OUT_COLS, move_up_result
     return vl.velocity_labels(move_up_result(spark, sf_dir).select(*OUT_COLS), _vel(spark, sf_dir))

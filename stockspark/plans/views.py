@@ -40,8 +40,6 @@ select cast(ts as date) as snapshot_date,
        event_type as room,
        cast(floor(value / 50) as int) as qty
 from events
-where user_id % 25 <> 0
-   or event_id in (select max(event_id) from events group by user_id)
 """
 
 CURRENT_ITEMS = """

@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+INITIAL_PARTITIONS = 8192       # shuffle partitions before AQE merges them, on a cluster
+
+
 def get_session(master: str | None = None, app: str = "stockspark",
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every job here assumes.
@@ -21,20 +24,28 @@ def get_session(master: str | None = None, app: str = "stockspark",
       the JIT's huge-method limit would run interpreted; Spark then falls
       back to per-operator code for that stage only.
     """
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running                     # a user's own settings stay as they are
     b = SparkSession.builder.appName(app)
+    local = (master or os.environ.get("MASTER", "")).startswith("local")
     if master:
         b = b.master(master)
-    cores = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
-    b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
-          .config("spark.sql.adaptive.enabled", "true")
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif not local:
+        # AQE only merges partitions, so a large job starts with many
+        b = b.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(INITIAL_PARTITIONS))
+    if local or "SPARK_DRIVER_MEMORY" in os.environ:
+        b = b.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.codegen.hugeMethodLimit", "8000")
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))
+          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -8,7 +8,7 @@ from stockspark.functions import text as tx
 from stockspark.functions.numeric import ratio_text
 from stockspark.operators import compare as cp
 from stockspark.operators import expiring as ex
-from stockspark.operators import moveup as mu
+from stockspark.operators import restock as mu
 from stockspark.sources.ingest import barcode_like
 
 INV = ("ord int, type string, brand string, product_name string, package_barcode string, room string, "
@@ -73,10 +73,47 @@ def test_barcode_by_content(spark):
     assert [r.ok for r in df.select(barcode_like(F.col("v")).alias("ok")).collect()] == [True, True, False]
 
 
-def test_buckets():
-    assert ex.dynamic_buckets(30) == [("0–7 days", 0, 7), ("8–14 days", 8, 14), ("15–30 days", 15, 30)]
-    assert ex.dynamic_buckets(75)[3:] == [("31–60 days", 31, 60), ("61–75 days", 61, 75)]
-    assert ex.dynamic_buckets(5) == [("0–7 days", 0, 5)]
+def test_buckets(spark):
+    def labels(days):
+        return [r.bucket for r in ex.bucket_table(spark, days).orderBy("pos").collect()]
+    base = ["0–7 days", "8–14 days", "15–30 days"]
+    assert labels(30) == base
+    assert labels(75) == [*base, "31–60 days", "61–75 days"]
+    assert labels(31) == [*base, "31 days"]
+    assert labels(5) == base[:1]
+    at = spark.sql("select explode(array(0, 7, 8, 14, 15, 30, 31, 60, 61)) d").select(ex.bucket_position(F.col("d")))
+    assert [r[0] for r in at.collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 4]
+
+
+def test_dirty_values_end_no_job(spark):
+    from stockspark.functions import parse
+    df = spark.createDataFrame([(v,) for v in ("nan", "inf", "-inf", "99999999999999999999", "20240131", "45322",
+                                               "2024-01-31 10:00:00.123", "1/5/2024 3:04 PM", "2024-01-31T10:00:00Z",
+                                               "Jan 5 2024", "", None)], "v string")
+    rows = df.select("v", parse.parse_expiry(F.col("v")).cast("string").alias("e"),
+                     parse.to_money(F.col("v")).alias("m"), parse.parse_number(F.col("v")).alias("n"),
+                     parse.to_qty(F.col("v")).alias("q")).collect()
+    got = {r.v: (r.e, r.m, r.n, r.q) for r in rows}
+    assert got["nan"] == (None, 0.0, None, 0) and got["99999999999999999999"][0] is None and got["inf"][0] is None
+    assert got["20240131"][0] == "2024-01-31" and got["45322"][0] == "2024-01-31"
+    assert got["2024-01-31 10:00:00.123"][0] == "2024-01-31" == got["2024-01-31T10:00:00Z"][0]
+    assert got["1/5/2024 3:04 PM"][0] == "2024-01-05" == got["Jan 5 2024"][0]
+    assert got[""] == (None, 0.0, None, 0) == got[None]
+
+
+def test_alias_duplicates_and_selections(spark):
+    from stockspark.functions.rooms import normalize_rooms_df
+    df = spark.createDataFrame([("SF",), (" sf",), ("Vault",)], "room string")
+    aliases = {"SF": "First", "sf ": "Last"}
+    table = spark.createDataFrame([("SF", "First", 0), ("sf ", "Last", 1)], "from_room string, to_room string, pos int")
+    for a in (aliases, table):
+        assert sorted(r.room for r in normalize_rooms_df(df, a).collect()) == ["Last", "Last", "Vault"]
+    inv = spark.createDataFrame([("p1", "A", "b1", "Vault", "T"), ("p2", "B", "b2", "Vault", "T")],
+                                "product_name string, brand string, package_barcode string, room string, type string")
+    brands = spark.createDataFrame([("A",), ("A",)], "brand string")
+    for sel in (["A"], brands):
+        d = mu.move_up_diag(inv, ["Vault"], brands=sel).first()
+        assert (d.after_dropna, d.after_brand, d.move_up) == (2, 1, 1)
 
 
 def test_rooms_fold(spark):

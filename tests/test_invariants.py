@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from stockspark import fixtures as fx
 from stockspark.operators import compare as cp
 from stockspark.operators import listing as ls
-from stockspark.operators import moveup as mu
+from stockspark.operators import restock as mu
 from stockspark.operators import velocity as vl
-from stockspark.plans.moveup_queries import CANDIDATE_ROOMS
+from stockspark.plans.restock_queries import CANDIDATE_ROOMS
 
 from .conftest import SF0001
 
