@@ -9,9 +9,10 @@ Otherwise the next shorter piece is tried; when none is left, the position is
 marked as failed in a bitfield and the step before is taken back. Each
 position fails at most once, so a text costs time linear in its length.
 
-No piece of the vocabulary crosses the start of a space run or a character
-outside the vocabulary, so a text is cut there and the encodings of recent
-segments are remembered (a bounded number of them).
+No piece of the vocabulary crosses the start of a space run, a character
+outside the vocabulary, or two characters that are neighbours inside no piece,
+so a text is cut there and the encodings of recent segments are remembered (a
+bounded number of them).
 
 Decoding joins pieces, turns runs of byte pieces into UTF-8 (each invalid byte
 becomes U+FFFD) and takes back the dummy prefix.
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEPT_SEGMENTS = 1 << 17      # remembered segments a worker
-KEPT_PAIRS = 1 << 18         # remembered compatibility checks a worker
+KEPT_SEGMENTS = 1 << 19      # remembered segments a worker, some 150 MB
+KEPT_PAIRS = 1 << 19         # remembered compatibility checks a worker
 KEPT_LENGTH = 48             # longer segments are encoded each time
 
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -82,13 +83,20 @@ class Codec:
         self._id = {p: i for i, (p, k) in enumerate(zip(vocab.pieces, vocab.kinds)) if k == _NORMAL}
         self._byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(vocab.pieces, vocab.kinds)) if k == _BYTE}
         self._byte = {i: b for b, i in self._byte_id.items()}
+        self._length = [len(p) for p in vocab.pieces]
+        # what an id decodes to by itself; None for byte pieces, which need their neighbours
+        self._surface = [p.replace(SPACE, " ") if k == _NORMAL else vocab.unknown_surface if k == _UNKNOWN
+                         else "" if k == _CONTROL else None for p, k in zip(vocab.pieces, vocab.kinds)]
+        self._characters = frozenset(p for p in self._id if len(p) == 1)
+        self._inside = frozenset(p[k:k + 2] for p in self._id for k in range(len(p) - 1))
         self._matcher = ahocorasick.Automaton()
         for p, i in self._id.items():
-            self._matcher.add_word(p, i)
+            if self.merge(p) == [p]:              # a piece that merging never gives cannot be in an encoding
+                self._matcher.add_word(p, i)
         self._matcher.make_automaton()
-        self._pair: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
-        self._segment: dict[str, tuple[str, int, str, np.ndarray]] = {}
+        self._pair: dict[int, bool] = {}
+        self._segment: dict[str, tuple[str, int, str]] = {}
+        self._arrays: dict[str, np.ndarray] = {}
 
     # ------------------------------------------------------------ encoding
     def merge(self, text: str) -> list[str]:
@@ -105,61 +113,59 @@ class Codec:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stands(self, piece: int) -> bool:
-        """Merging the piece's own characters gives the piece."""
-        ok = self._whole.get(piece)
-        if ok is None:
-            p = self._vocab.pieces[piece]
-            ok = self._whole[piece] = self.merge(p) == [p]
-        return ok
-
     def _fits(self, left: int, right: int) -> bool:
         """Merging the two pieces' text again gives exactly the two pieces."""
-        ok = self._pair.get((left, right))
-        if ok is None:
-            a, b = self._vocab.pieces[left], self._vocab.pieces[right]
-            if len(self._pair) >= KEPT_PAIRS:
-                self._pair.clear()
-            ok = self._pair[(left, right)] = self.merge(a + b) == [a, b]
+        a, b = self._vocab.pieces[left], self._vocab.pieces[right]
+        if len(self._pair) >= KEPT_PAIRS:
+            self._pair.clear()
+        ok = self._pair[left << 32 | right] = self.merge(a + b) == [a, b]
         return ok
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text whose characters are all in the vocabulary."""
-        pieces = self._vocab.pieces
+        length, pair = self._length, self._pair
         found: list[list[int]] = [[] for _ in text]      # by start, shortest first
         for end, i in self._matcher.iter(text):
-            found[end - len(pieces[i]) + 1].append(i)
+            found[end - length[i] + 1].append(i)
         failed = bytearray(len(text) + 1)
         out: list[int] = []
         taken: list[int] = []                            # index in found of each accepted piece
-        pos, at = 0, len(found[0]) - 1
-        while pos < len(text):
+        pos, size, last, at = 0, len(text), -1, len(found[0]) - 1
+        while pos < size:
             here = found[pos]
-            last = out[-1] if out else None
             while at >= 0:
                 i = here[at]
-                if not failed[pos + len(pieces[i])] and self._stands(i) and (last is None or self._fits(last, i)):
-                    break
+                if not failed[pos + length[i]]:
+                    if last < 0:
+                        break
+                    fits = pair.get(last << 32 | i)
+                    if fits or fits is None and self._fits(last, i):
+                        break
                 at -= 1
             if at >= 0:
-                out.append(here[at])
+                last = i
+                out.append(i)
                 taken.append(at)
-                pos += len(pieces[here[at]])
-                at = len(found[pos]) - 1 if pos < len(text) else -1
+                pos += length[i]
+                if pos < size:
+                    at = len(found[pos]) - 1
             else:
-                if last is None:
+                if last < 0:
                     raise ValueError("no encoding of a text of known characters")
                 failed[pos] = 1
-                pos -= len(pieces[out.pop()])
+                pos -= length[out.pop()]
+                last = out[-1] if out else -1
                 at = taken.pop() - 1
         return out
 
     def _ids(self, segment: str) -> list[int]:
         """Ids of any segment: byte pieces for characters outside the vocabulary."""
+        if self._characters.issuperset(segment):
+            return self._known(segment)
         out: list[int] = []
         start = 0
         for k, c in enumerate(segment):
-            if c not in self._id:
+            if c not in self._characters:
                 if k > start:
                     out += self._known(segment[start:k])
                 out += [self._byte_id[b] for b in c.encode("utf-8")]
@@ -168,18 +174,43 @@ class Codec:
             out += self._known(segment[start:])
         return out
 
-    def _entry(self, segment: str) -> tuple[str, int, str, np.ndarray]:
-        """Ids of a segment as text, their number, the text they decode to, and as an array."""
+    def _parts(self, segment: str) -> list[str]:
+        """Cut between characters that are neighbours inside no piece: no merge crosses there."""
+        inside, out, start = self._inside, [], 0
+        for k in range(1, len(segment)):
+            if segment[k - 1:k + 1] not in inside:
+                out.append(segment[start:k])
+                start = k
+        out.append(segment[start:])
+        return out
+
+    def _entry(self, segment: str) -> tuple[str, int, str]:
+        """Ids of a segment as text, their number, and the text they decode to."""
         got = self._segment.get(segment)
         if got is None:
-            ids = self._ids(segment)
-            got = ",".join(map(str, ids)), len(ids), self.surface(ids), np.array(ids, dtype=np.int32)
+            parts = self._parts(segment)
+            if len(parts) > 1 and len(segment) <= KEPT_LENGTH:
+                each = [self._entry(p) for p in parts]
+                got = ",".join([e[0] for e in each]), sum([e[1] for e in each]), "".join([e[2] for e in each])
+            else:
+                ids = [i for p in parts for i in self._ids(p)]
+                got = ",".join(map(str, ids)), len(ids), self.surface(ids)
             if len(segment) <= KEPT_LENGTH:
                 if len(self._segment) >= KEPT_SEGMENTS:
                     self._segment.clear()
                 self._segment[segment] = got
         return got
 
+    def _array(self, segment: str) -> np.ndarray:
+        got = self._arrays.get(segment)
+        if got is None:
+            got = np.array([i for p in self._parts(segment) for i in self._ids(p)], dtype=np.int32)
+            if len(segment) <= KEPT_LENGTH:
+                if len(self._arrays) >= KEPT_SEGMENTS:
+                    self._arrays.clear()
+                self._arrays[segment] = got
+        return got
+
     def _segments(self, text: str) -> Iterator[str]:
         """Cut at the start of every space run and around line ends (no piece holds one)."""
         if self._vocab.dummy_prefix:
@@ -204,7 +235,7 @@ class Codec:
     def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        return np.concatenate([self._entry(s)[3] for s in self._segments(text)])
+        return np.concatenate([self._array(s) for s in self._segments(text)])
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_array(text).tolist()
@@ -212,7 +243,11 @@ class Codec:
     # ------------------------------------------------------------ decoding
     def surface(self, ids: list[int]) -> str:
         """Text of consecutive ids, before the dummy prefix is taken back."""
-        vocab, out, run = self._vocab, [], bytearray()
+        try:
+            return "".join([self._surface[i] for i in ids])
+        except TypeError:                         # byte pieces
+            pass
+        out, run = [], bytearray()
         for i in [*ids, None]:
             if i in self._byte:
                 run.append(self._byte[i])
@@ -222,11 +257,7 @@ class Codec:
                 run.clear()
             if i is None:
                 break
-            kind = vocab.kinds[i]
-            if kind == _NORMAL:
-                out.append(vocab.pieces[i].replace(SPACE, " "))
-            elif kind == _UNKNOWN:
-                out.append(vocab.unknown_surface)
+            out.append(self._surface[i])
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
