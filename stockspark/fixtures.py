@@ -90,6 +90,27 @@ def snapshot_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def import_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot history of two stores with two imports a day (FIXTURES.md B3a)."""
+    ev = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    store = F.when(F.col("user_id") % 2 == 0, STORE_A).otherwise(STORE_B)
+    taken = F.date_trunc("day", "ts") + F.when(F.hour("ts") < 12, F.expr("interval 11 hours")).otherwise(
+        F.expr("interval 23 hours"))
+    return (ev.withColumn("store", store).withColumn("snapshot_ts", taken.cast("timestamp")).select(
+        "store", F.concat("store", F.lit("-"), F.date_format("snapshot_ts", "yyyyMMddHH")).alias("import_id"),
+        "snapshot_ts", F.to_date("snapshot_ts").alias("snapshot_date"), F.col("event_id").alias("entry_idx"),
+        F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("barcode"),
+        F.col("event_type").alias("room"), F.floor(F.col("value") / 50).cast("int").alias("qty")))
+
+
+def current_by_store(entries: DataFrame) -> DataFrame:
+    """Each store's newest import, first entry per barcode."""
+    newest = entries.groupBy("store").agg(F.max("snapshot_ts").alias("snapshot_ts"))
+    return (entries.join(newest, ["store", "snapshot_ts"], "left_semi").groupBy("store", "barcode")
+                   .agg(F.min("entry_idx").alias("entry_idx"), F.min_by("room", "entry_idx").alias("room"),
+                        F.min_by("qty", "entry_idx").alias("qty")))
+
+
 def current_items(spark: SparkSession, sf_dir: str, entries: DataFrame | None = None) -> DataFrame:
     """Newest snapshot, first entry per barcode (FIXTURES.md B4).
 

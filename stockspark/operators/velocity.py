@@ -49,36 +49,47 @@ def snapshot_build(inv: DataFrame, snapshot_col: Column | None = None,
                      & (F.lower(F.col("barcode")) != "nan"))
 
 
-def history_span_days(history: DataFrame) -> Column:
-    """max(whole days between the first and last snapshot, 1): a scalar
-    subquery over the snapshot dates (evaluated once, not joined)."""
-    span = history.select(F.greatest(F.datediff(F.max(SNAP), F.min(SNAP)), F.lit(1)))
-    return span.scalar()
+def _seconds(snap: str) -> Column:
+    """A snapshot's date or time as seconds."""
+    return F.col(snap).cast("timestamp").cast("long")
+
+
+def _elapsed_days(snap: str) -> Column:
+    """max(whole elapsed days between the first and last snapshot, 1)."""
+    elapsed = F.floor((F.max(_seconds(snap)) - F.min(_seconds(snap))) / 86400)
+    return F.greatest(elapsed, F.lit(1)).cast("int")
+
+
+def history_span_days(history: DataFrame, snap: str = SNAP) -> Column:
+    """Elapsed days of the whole history: a scalar subquery (evaluated once, not joined)."""
+    return history.select(_elapsed_days(snap)).scalar()
 
 
 SEGMENT_ROWS = 100_000
 
 
-def _segment(segment_rows: int) -> Column:
-    """Sortable long: (snapshot day, entry block) -> day * 2**40 + block."""
-    day = F.datediff(F.col(SNAP), F.lit("1970-01-01").cast("date")).cast("long")
-    return day * (1 << 40) + F.floor(F.col("entry_idx") / segment_rows).cast("long")
+def _segment(segment_rows: int, snap: str) -> Column:
+    """Sortable long: (snapshot second, entry block) -> second * 2**20 + block."""
+    return _seconds(snap) * (1 << 20) + F.floor(F.col("entry_idx") / segment_rows).cast("long")
 
 
-def snapshot_summaries(history: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Step 1: one row per (barcode, segment); a segment is a block of at most
+def snapshot_summaries(history: DataFrame, segment_rows: int = SEGMENT_ROWS, snap: str = SNAP,
+                       keys: tuple[str, ...] = ()) -> DataFrame:
+    """Step 1: one row per (keys, barcode, segment); a segment is a block of at most
     ``segment_rows`` consecutive entries of one snapshot, so even a barcode
-    holding a large share of a snapshot is split into bounded window groups."""
-    w = Window.partitionBy("barcode", "_seg").orderBy("entry_idx")
+    holding a large share of a snapshot is split into bounded window groups.
+    ``snap`` is the column that identifies a snapshot (its date, or its time
+    where several imports fall on one day)."""
+    w = Window.partitionBy(*keys, "barcode", "_seg").orderBy("entry_idx")
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     h = (history.where(F.col("barcode").isNotNull() & (F.col("barcode") != ""))
-                .select("barcode", SNAP, "entry_idx", "room", "qty")
-                .withColumn("_seg", _segment(segment_rows))
+                .select(*keys, "barcode", snap, "entry_idx", "room", "qty")
+                .withColumn("_seg", _segment(segment_rows, snap))
                 .withColumn("_prev_room", F.lag("room").over(w))
                 .withColumn("_rn", F.row_number().over(w))
                 .withColumn("_last_qty", F.last("qty").over(wall)))
-    return h.groupBy("barcode", "_seg").agg(
-        F.min(SNAP).alias(SNAP),
+    return h.groupBy(*keys, "barcode", "_seg").agg(
+        F.min(snap).alias(snap),
         F.count(F.lit(1)).alias("n_s"),
         F.count_if(F.col("_prev_room").isNotNull() & (F.col("room") != F.col("_prev_room")))
          .alias("changes_s"),
@@ -90,14 +101,15 @@ def snapshot_summaries(history: DataFrame, segment_rows: int = SEGMENT_ROWS) ->
                                         F.lit(0))).alias("tail_s"))
 
 
-def barcode_history(history: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Step 2: one row per barcode: entries, room changes (W1), first qty,
+def barcode_history(history: DataFrame, segment_rows: int = SEGMENT_ROWS, snap: str = SNAP,
+                    keys: tuple[str, ...] = ()) -> DataFrame:
+    """Step 2: one row per (keys, barcode): entries, room changes (W1), first qty,
     last qty, unchanged-qty streak (W4), first snapshot. Windows here run
     over the segment summaries of one barcode (bounded by snapshots x
     blocks), never over its raw entries."""
-    s = snapshot_summaries(history, segment_rows)
-    w = Window.partitionBy("barcode").orderBy("_seg")
-    wall = Window.partitionBy("barcode")
+    s = snapshot_summaries(history, segment_rows, snap, keys)
+    w = Window.partitionBy(*keys, "barcode").orderBy("_seg")
+    wall = Window.partitionBy(*keys, "barcode")
     s = (s.withColumn("_prev_last_room", F.lag("last_room_s").over(w))
           .withColumn("_L", F.max_by("last_qty_s", "_seg").over(wall)))
     full = (F.col("tail_s") == F.col("n_s")) & (F.col("last_qty_s") == F.col("_L"))
@@ -108,7 +120,7 @@ def barcode_history(history: DataFrame, segment_rows: int = SEGMENT_ROWS) -> Dat
     at_break = F.coalesce(F.max(F.when((F.col("_seg") == F.col("_break"))
                                        & (F.col("last_qty_s") == F.col("_L")), F.col("tail_s"))),
                           F.lit(0))
-    agg = s.groupBy("barcode").agg(
+    agg = s.groupBy(*keys, "barcode").agg(
         F.sum("n_s").cast("long").alias("n_entries"),
         (F.sum("changes_s") + F.count_if(F.col("_prev_last_room").isNotNull()
                                          & (F.col("first_room_s") != F.col("_prev_last_room"))))
@@ -116,44 +128,54 @@ def barcode_history(history: DataFrame, segment_rows: int = SEGMENT_ROWS) -> Dat
         F.min_by("first_qty_s", "_seg").alias("first_qty"),
         F.max_by("last_qty_s", "_seg").alias("last_qty"),
         F.max_by("last_room_s", "_seg").alias("last_room"),
-        F.min(SNAP).alias("first_snapshot"),
-        F.max(SNAP).alias("last_snapshot"),
+        F.min(snap).alias("first_snapshot"),
+        F.max(snap).alias("last_snapshot"),
         (after_break + at_break).cast("long").alias("_run"))
     streak = F.when(F.col("n_entries") < 2, F.lit(0).cast("long")).otherwise(F.col("_run") - 1)
-    return agg.select("barcode", "n_entries", "room_changes", "first_qty", "last_qty", "last_room",
+    return agg.select(*keys, "barcode", "n_entries", "room_changes", "first_qty", "last_qty", "last_room",
                       "first_snapshot", "last_snapshot", streak.alias("qty_unchanged_streak"))
 
 
-def _first_per_barcode(current: DataFrame, order: str) -> DataFrame:
-    cols = [c for c in current.columns if c not in ("barcode", order)]
+def _first_per_barcode(current: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    cols = [c for c in current.columns if c not in ("barcode", order, *keys)]
     cur = current.where(F.col("barcode").isNotNull() & (F.trim("barcode") != "")
                         & (F.lower(F.trim("barcode")) != "nan"))
     cur = cur.withColumn("barcode", F.trim("barcode"))
-    return cur.groupBy("barcode").agg(
+    return cur.groupBy(*keys, "barcode").agg(
         *[F.min_by(c, order).alias(c) for c in cols])
 
 
+LAST_ENTRY = ["room", "last_qty", "last_seen"]
+
+
 def velocity_metrics(current: DataFrame, history: DataFrame, as_of, slow_threshold: int =
-                     VELOCITY_SLOW_THRESHOLD, order: str = "entry_idx") -> DataFrame:
+                     VELOCITY_SLOW_THRESHOLD, order: str = "entry_idx", snap: str = SNAP,
+                     keys: tuple[str, ...] = (), last_entry: bool = False) -> DataFrame:
     """Per barcode room_changes, qty_delta, sell_rate, stock_age_days,
     qty_unchanged_streak, velocity_score, velocity_label.
 
     ``current`` needs ``barcode``, ``qty`` and an ``order`` column (first row
-    per barcode supplies the current qty); ``received_date`` is optional.
+    per barcode supplies the current qty); ``received_date`` is optional. With
+    ``keys`` (``("store",)``) every group has its own history and its own span
+    of days. ``last_entry`` adds room, qty and snapshot of the last entry.
     """
     if "received_date" not in current.columns:
         current = current.withColumn("received_date", F.lit(None).cast("date"))
-    cur = _first_per_barcode(current.select("barcode", "qty", "received_date", order), order)
-    hist = barcode_history(history)
-    days = history_span_days(history)
-    j = cur.withColumn("_in_cur", F.lit(True)).join(hist, "barcode", "full_outer")
+    cur = _first_per_barcode(current.select(*keys, "barcode", "qty", "received_date", order), order, keys)
+    hist = barcode_history(history, snap=snap, keys=keys)
+    j = cur.withColumn("_in_cur", F.lit(True)).join(hist, [*keys, "barcode"], "full_outer")
+    if keys:
+        j = j.join(history.groupBy(*keys).agg(_elapsed_days(snap).alias("_days")), list(keys), "left")
+        days = F.coalesce(F.col("_days"), F.lit(1))
+    else:
+        days = history_span_days(history, snap)
     n = F.coalesce(F.col("n_entries"), F.lit(0))
     cur_qty = F.col("qty")
     first_qty = F.coalesce(F.col("first_qty"), cur_qty)
     delta = cur_qty - first_qty
     as_of_d = F.lit(as_of).cast("date")
     age_recv = F.datediff(as_of_d, F.col("received_date"))
-    age = F.coalesce(F.nullif(age_recv, F.lit(0)), F.datediff(as_of_d, F.col("first_snapshot")),
+    age = F.coalesce(F.nullif(age_recv, F.lit(0)), F.datediff(as_of_d, F.col("first_snapshot").cast("date")),
                      age_recv, F.lit(0))
     changes = F.coalesce(F.col("room_changes"), F.lit(0).cast("long"))
     room_score = F.least(changes / F.greatest(n - 1, F.lit(1)), F.lit(1.0))
@@ -164,7 +186,8 @@ def velocity_metrics(current: DataFrame, history: DataFrame, as_of, slow_thresho
     # raw values first, rounded in a second projection: py_round refers to
     # its input many times, so the input must be a column, not an expression
     raw = j.select(
-        "barcode", tracked.alias("_tracked"), n.alias("_n"),
+        *keys, "barcode", F.col("last_room").alias("room"), "last_qty", F.col("last_snapshot").alias("last_seen"),
+        tracked.alias("_tracked"), n.alias("_n"),
         changes.alias("room_changes"),
         F.when(tracked, delta).otherwise(-F.col("first_qty")).cast("long").alias("qty_delta"),
         F.when(tracked, -delta / days).otherwise(F.col("first_qty") / days).alias("_rate"),
@@ -180,21 +203,22 @@ def velocity_metrics(current: DataFrame, history: DataFrame, as_of, slow_thresho
               .when(score >= VELOCITY_FAST_THRESHOLD, "Fast")
               .otherwise("Moderate"))
     return raw.select(
-        "barcode", "room_changes", "qty_delta",
+        *keys, "barcode", "room_changes", "qty_delta",
         F.when(tr & (n_ < 2), F.lit(0.0)).otherwise(py_round(F.col("_rate"), 2)).alias("sell_rate"),
         "stock_age_days", "qty_unchanged_streak",
         F.when(tr, F.when(n_ <= 1, F.lit(0.0)).otherwise(score)).otherwise(F.lit(1.0)).alias("velocity_score"),
-        F.when(tr, label).otherwise(F.lit("Sold Out")).alias("velocity_label"))
+        F.when(tr, label).otherwise(F.lit("Sold Out")).alias("velocity_label"),
+        *(LAST_ENTRY if last_entry else []))
 
 
-def room_movement(history: DataFrame) -> DataFrame:
+def room_movement(history: DataFrame, snap: str = SNAP, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per barcode, the snapshots where its room differs from the room of
     the previous snapshot it was seen in (first entry per snapshot)."""
-    first = history.groupBy("barcode", SNAP).agg(F.min_by("room", "entry_idx").alias("room"))
-    w = Window.partitionBy("barcode").orderBy(SNAP)
+    first = history.groupBy(*keys, "barcode", snap).agg(F.min_by("room", "entry_idx").alias("room"))
+    w = Window.partitionBy(*keys, "barcode").orderBy(snap)
     return (first.withColumn("from_room", F.lag("room").over(w))
                  .where(F.col("from_room").isNotNull() & (F.col("room") != F.col("from_room")))
-                 .select("barcode", SNAP, "from_room", F.col("room").alias("to_room")))
+                 .select(*keys, "barcode", snap, "from_room", F.col("room").alias("to_room")))
 
 
 def velocity_detail(vel: DataFrame, current: DataFrame, order: str = "entry_idx") -> DataFrame:
@@ -208,15 +232,11 @@ def slow_movers(vel: DataFrame, current: DataFrame, order: str = "entry_idx") ->
     return velocity_detail(vel.where(F.col("velocity_label").isin("Slow", "Stale")), current, order)
 
 
-def sold_out(vel: DataFrame, history: DataFrame) -> DataFrame:
-    """Sold Out items with room, qty and date of their last entry."""
-    last = history.groupBy("barcode").agg(
-        F.max_by(F.struct(F.col("room").alias("room"), F.col("qty").alias("last_qty"),
-                          F.col(SNAP).alias("last_seen")),
-                 F.struct(SNAP, "entry_idx")).alias("_l"))
-    return (vel.where(F.col("velocity_label") == "Sold Out")
-               .join(last, "barcode", "left")
-               .select(*vel.columns, "_l.room", "_l.last_qty", "_l.last_seen"))
+def sold_out(vel: DataFrame) -> DataFrame:
+    """Sold Out items with room, qty and snapshot of their last entry;
+    ``vel`` comes from ``velocity_metrics(..., last_entry=True)``, so the
+    history is read once."""
+    return vel.where(F.col("velocity_label") == "Sold Out")
 
 
 def velocity_labels(items: DataFrame, vel: DataFrame, barcode_col: str = "package_barcode") -> DataFrame:
@@ -246,6 +266,7 @@ def velocity_overview(vel: DataFrame, history: DataFrame) -> DataFrame:
                     last.alias("last_snapshot"))
 
 
-def snapshot_list(history: DataFrame) -> DataFrame:
-    """One row per snapshot with its entry count."""
-    return history.groupBy(SNAP).agg(F.count(F.lit(1)).alias("items"))
+def snapshot_list(history: DataFrame, by: tuple[str, ...] = (SNAP,)) -> DataFrame:
+    """One row per snapshot with its entry count; ``by`` names what
+    identifies a snapshot (date, or store, time, import and file)."""
+    return history.groupBy(*by).agg(F.count(F.lit(1)).alias("items"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stockspark import fixtures as fx
 from stockspark.operators import history as hs
 from stockspark.plans.registry import register
-from stockspark.plans.views import with_views
+from stockspark.plans.views import IMPORT_ENTRY, with_views
 from stockspark.plans.restock_queries import MU_SQL
 from stockspark.session import scratch_path
 from stockspark.sources import history_io as hio
@@ -166,24 +166,27 @@ def q_snapshot_explode(spark, sf_dir):
     return flat.select("snapshot_date", "entry_idx", "barcode", "room", "qty")
 
 
-@register("snapshot_store", with_views("select snapshot_date, entry_idx, barcode, room, qty from snapshot_entry",
-                                       "snapshot_entry"))
+@register("snapshot_store", "with import_entry as (" + IMPORT_ENTRY + """)
+select store, import_id, snapshot_ts, snapshot_date, entry_idx, barcode, room, qty from import_entry""")
 def q_snapshot_store(spark, sf_dir):
-    """Append every snapshot to the partitioned Parquet history twice
-    (a replay) and read it back: the replay must not duplicate entries."""
+    """Two stores with two imports a day, appended store by store and one
+    of them replayed: every import stays, none is doubled."""
     path = scratch_path(spark, "snapshots")
-    h = _hist(spark, sf_dir)
-    hio.append_snapshots(h, path)
-    hio.append_snapshots(h, path)
-    return hio.read_snapshots(spark, path).select("snapshot_date", "entry_idx", "barcode", "room", "qty")
+    h = fx.import_entry(spark, sf_dir)
+    for store in (fx.STORE_A, fx.STORE_B, fx.STORE_A):
+        hio.append_snapshots(h.where(F.col("store") == store), path)
+    return hio.read_snapshots(spark, path).select(
+        "store", F.col("import_id").cast("string").alias("import_id"), "snapshot_ts", "snapshot_date", "entry_idx",
+        "barcode", "room", "qty")
 
 
 @register("import_log", with_views("select * exclude (timestamp) from log", "snapshot_entry",
                                    extra=[("arr", _ARR), ("log", _LOG)]))
 def q_import_log(spark, sf_dir):
-    """Import-log rows appended to the shared folder and read back."""
+    """Import-log rows appended to the shared folder twice (a replay) and read back."""
     path = scratch_path(spark, "import-log")
-    hio.append_import_log(_log(spark, sf_dir), path)
+    for _ in range(2):
+        hio.append_import_log(_log(spark, sf_dir), path)
     return hio.read_import_log(spark, path).drop("diag", "timestamp")
 
 

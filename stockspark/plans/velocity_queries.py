@@ -7,7 +7,7 @@ from stockspark import fixtures as fx
 from stockspark.operators import velocity as vl
 from stockspark.plans.registry import register
 from stockspark.plans.restock_queries import MU_SQL
-from stockspark.plans.views import py_round_sql, with_views
+from stockspark.plans.views import IMPORT_ENTRY, py_round_sql, with_views
 
 AS_OF = fx.VELOCITY_AS_OF.isoformat()
 T = 3  # slow threshold (fixed fixture parameter)
@@ -145,7 +145,7 @@ where v.velocity_label = 'Sold Out'"""))
 def q_sold_out(spark, sf_dir):
     h = _hist(spark, sf_dir)
     cur = fx.current_items(spark, sf_dir, h)
-    return vl.sold_out(vl.velocity_metrics(cur, h, fx.VELOCITY_AS_OF, T), h)
+    return vl.sold_out(vl.velocity_metrics(cur, h, fx.VELOCITY_AS_OF, T, last_entry=True))
 
 
 @register("velocity_overview", _sql(f"""
@@ -168,6 +168,75 @@ def q_velocity_overview(spark, sf_dir):
     return vl.velocity_overview(vl.velocity_metrics(cur, h, fx.VELOCITY_AS_OF, T), h)
 
 
+# velocity of two stores with two imports a day: each store has its own
+# history, order is by snapshot time, spans are whole elapsed days
+_STORE_VEL = f"""
+with h as (
+  select *, lag(room) over w as prev_room, row_number() over w as rn,
+         last_value(qty) over (partition by store, barcode order by snapshot_ts, entry_idx
+                               rows between unbounded preceding and unbounded following) as lastq
+  from import_entry window w as (partition by store, barcode order by snapshot_ts, entry_idx)),
+hb as (
+  select store, barcode, count(*) as n, count(*) filter (where room <> prev_room) as room_changes,
+         arg_min(qty, rn) as first_qty, min(snapshot_ts) as first_snapshot,
+         count(*) - coalesce(max(rn) filter (where qty <> lastq), 0) as run
+  from h group by store, barcode),
+span as (
+  select store, greatest(floor((epoch(max(snapshot_ts)) - epoch(min(snapshot_ts))) / 86400), 1)::int as days,
+         max(snapshot_ts) as newest
+  from import_entry group by store),
+cur as (
+  select e.store, e.barcode, arg_min(qty, entry_idx) as qty
+  from import_entry e join span s on e.store = s.store and e.snapshot_ts = s.newest group by e.store, e.barcode),
+j as (
+  select hb.store, hb.barcode, hb.n, run, room_changes::bigint as room_changes, cur.barcode as cb,
+         case when cur.barcode is not null then cur.qty - first_qty else -first_qty end::bigint as qty_delta,
+         case when cur.barcode is not null then -(cur.qty - first_qty) / days else first_qty / days end as rate_raw,
+         case when cur.barcode is null then 0
+              else date_diff('day', cast(first_snapshot as date), date '{AS_OF}') end::bigint as stock_age_days,
+         case when cur.barcode is null or hb.n < 2 then 0 else run - 1 end::bigint as qty_unchanged_streak,
+         least(room_changes / greatest(hb.n - 1, 1), 1.0) * 0.3
+           + least(abs(cur.qty - first_qty) / greatest(abs(first_qty), 1), 1.0) * 0.7 as score_raw
+  from hb join span using (store) left join cur using (store, barcode)),
+scored as (
+  select *, case when cb is not null and n < 2 then 0.0 else {py_round_sql("rate_raw", 2)} end as sell_rate,
+         case when cb is null then 1.0 when n <= 1 then 0.0 else {py_round_sql("score_raw", 3)} end as velocity_score
+  from j)
+select store, barcode, room_changes, qty_delta, sell_rate, stock_age_days, qty_unchanged_streak, velocity_score,
+       case when cb is null then 'Sold Out' when n <= 1 then 'New' when run - 1 >= {2 * T} then 'Stale'
+            when run - 1 >= {T} then 'Slow' when velocity_score >= 0.25 then 'Fast' else 'Moderate' end
+         as velocity_label
+from scored"""
+
+
+def _import_view(body: str) -> str:
+    return "with import_entry as (" + IMPORT_ENTRY + "), result as (" + body + ") select * from result"
+
+
+@register("velocity_by_store", _import_view(_STORE_VEL))
+def q_velocity_by_store(spark, sf_dir):
+    h = fx.import_entry(spark, sf_dir)
+    return vl.velocity_metrics(fx.current_by_store(h), h, fx.VELOCITY_AS_OF, T, snap="snapshot_ts", keys=("store",))
+
+
+@register("room_movement_by_store", _import_view("""
+select store, barcode, snapshot_ts, from_room, to_room from (
+  select store, barcode, snapshot_ts, room as to_room,
+         lag(room) over (partition by store, barcode order by snapshot_ts) as from_room
+  from (select store, barcode, snapshot_ts, arg_min(room, entry_idx) as room
+        from import_entry group by store, barcode, snapshot_ts) t) u
+where from_room is not null and to_room <> from_room"""))
+def q_room_movement_by_store(spark, sf_dir):
+    return vl.room_movement(fx.import_entry(spark, sf_dir), "snapshot_ts", ("store",))
+
+
+@register("import_list", _import_view("""
+select store, import_id, snapshot_ts, count(*) as items from import_entry group by store, import_id, snapshot_ts"""))
+def q_import_list(spark, sf_dir):
+    """A15 with identity: every import of every store, also two on one day."""
+    return vl.snapshot_list(fx.import_entry(spark, sf_dir), ("store", "import_id", "snapshot_ts"))
+
+
 @register("snapshot_list", with_views(
     "select snapshot_date, count(*) as items from snapshot_entry group by snapshot_date", "snapshot_entry"))
 def q_snapshot_list(spark, sf_dir):

@@ -42,6 +42,17 @@ select cast(ts as date) as snapshot_date,
 from events
 """
 
+IMPORT_ENTRY = """
+select store, store || '-' || strftime(snapshot_ts, '%Y%m%d%H') as import_id, snapshot_ts,
+       cast(snapshot_ts as date) as snapshot_date, event_id as entry_idx,
+       concat('U', lpad(cast(user_id as string), 8, '0')) as barcode,
+       event_type as room, cast(floor(value / 50) as int) as qty
+from (select *, case when user_id % 2 = 0 then 'A' else 'B' end as store,
+             date_trunc('day', ts)::timestamp + case when hour(ts) < 12 then interval 11 hours else interval 23 hours end
+               as snapshot_ts
+      from events) e
+"""
+
 CURRENT_ITEMS = """
 select snapshot_date, entry_idx, barcode, room, qty
 from (select *, row_number() over (partition by barcode order by entry_idx) as rn
@@ -80,6 +91,7 @@ where product_name is not null and brand is not null
 _DEFS = {
     "inventory": INVENTORY,
     "snapshot_entry": SNAPSHOT_ENTRY,
+    "import_entry": IMPORT_ENTRY,
     "current_items": CURRENT_ITEMS,
     "work": WORK,
 }

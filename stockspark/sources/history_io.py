@@ -3,9 +3,9 @@
 The desktop tool keeps its history as one nested JSON document
 ``{version, snapshots: [{timestamp, file_name, entries: [...]}]}`` (or, in an
 older form, a bare list of snapshots). Here the history lives as Parquet
-partitioned by snapshot date: appends add partitions, retention and diffs
-prune partitions, and a replayed import overwrites its own partition (dynamic
-partition overwrite) instead of adding a second copy. The JSON forms are read
+partitioned by snapshot date and import: appends add partitions, retention and
+diffs prune partitions, and a replayed import overwrites its own partition
+(dynamic partition overwrite) instead of adding a second copy. The JSON forms are read
 for import; writing JSON splits every snapshot into bounded chunks so no
 record holds a whole import.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 ENTRY = T.StructType([
     T.StructField("entry_idx", T.LongType()),
@@ -28,9 +29,11 @@ SNAPSHOT = T.StructType([
     T.StructField("file_name", T.StringType()),
     T.StructField("entries", T.ArrayType(ENTRY)),
 ])
+# one shape for both forms: a document with snapshots, or a snapshot by itself
 DOCUMENT = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("snapshots", T.ArrayType(SNAPSHOT)),
+    *SNAPSHOT.fields,
 ])
 CHUNK = 1000
 
@@ -44,16 +47,19 @@ def read_snapshot_json(spark: SparkSession, path: str, multiline: bool = False)
     A record's position is taken from the file order; entries keep their own
     ``entry_idx`` when present, else their position in the record.
     """
-    raw = spark.read.option("multiLine", multiline).json(path)
-    if "snapshots" in raw.columns:
+    try:
         doc = spark.read.schema(DOCUMENT).option("multiLine", multiline).json(path)
-        snaps = doc.select(F.posexplode("snapshots").alias("snapshot_idx", "s")).select("snapshot_idx", "s.*")
-    else:
-        snaps = (spark.read.schema(SNAPSHOT).option("multiLine", multiline).json(path)
-                 .withColumn("snapshot_idx", F.monotonically_increasing_id()))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        doc = spark.createDataFrame([], DOCUMENT)          # no history yet
+    own = F.array(F.struct("timestamp", "file_name", "entries"))
+    record = doc.select(F.monotonically_increasing_id().alias("_record"), F.coalesce("snapshots", own).alias("s"))
+    snaps = record.select("_record", F.posexplode("s").alias("_pos", "s")).select(
+        (F.col("_record") * 4096 + F.col("_pos")).alias("snapshot_idx"), "s.*")
     flat = snaps.select("snapshot_idx", "timestamp", "file_name",
                         F.posexplode("entries").alias("pos", "e"))
-    ts = F.coalesce(F.try_to_timestamp(F.col("timestamp")), F.to_timestamp(F.col("timestamp")))
+    ts = F.try_to_timestamp(F.col("timestamp"))
     return flat.select(
         "snapshot_idx", ts.alias("snapshot_ts"), F.to_date(ts).alias("snapshot_date"), "file_name",
         F.coalesce(F.col("e.entry_idx"), F.col("pos").cast("long")).alias("entry_idx"),
@@ -76,11 +82,16 @@ def write_snapshot_json(entries: DataFrame, path: str, chunk: int = CHUNK) -> No
 
 
 def append_snapshots(entries: DataFrame, path: str) -> None:
-    """Add snapshot(s) to the Parquet history. Dynamic partition
-    overwrite makes a replayed import replace its own snapshot date."""
-    spark = entries.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    entries.write.mode("overwrite").partitionBy("snapshot_date").parquet(path)
+    """Add imports to the Parquet history, partitioned by day and import.
+
+    Dynamic partition overwrite, set on this writer alone, makes a replayed
+    import replace its own rows only; other imports of the same day stay.
+    ``entries`` has ``snapshot_date``; without ``import_id`` the day is the import.
+    """
+    if "import_id" not in entries.columns:
+        entries = entries.withColumn("import_id", F.date_format("snapshot_date", "yyyyMMdd"))
+    (entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("snapshot_date", "import_id").parquet(path))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -89,11 +100,15 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 def append_import_log(log: DataFrame, path: str) -> None:
     """Append import-log rows (one per import)."""
-    log.write.mode("append").parquet(path)
+    log.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def read_import_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_import_log(spark: SparkSession, path: str, key: str = "timestamp") -> DataFrame:
+    """The log with one row per import: a replayed import shows its last row."""
+    log = spark.read.parquet(path)
+    columns = [c for c in log.columns if c != "logged_at"]
+    last = log.groupBy(key).agg(F.max_by(F.struct(*columns), "logged_at").alias("r"))
+    return last.select(*[F.col(f"r.`{c}`").alias(c) for c in columns])
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

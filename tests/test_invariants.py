@@ -41,7 +41,7 @@ def test_velocity_labels_partition(spark):
     vel = vl.velocity_metrics(fx.current_items(spark, SF0001, h), h, fx.VELOCITY_AS_OF)
     counts = {r.velocity_label: r["count"] for r in vel.groupBy("velocity_label").count().collect()}
     assert sum(counts.values()) == 15
-    assert [counts.get(k, 0) for k in ["New", "Fast", "Moderate", "Slow", "Stale", "Sold Out"]] == [1, 7, 4, 0, 2, 1]
+    assert [counts.get(k, 0) for k in ["New", "Fast", "Moderate", "Slow", "Stale", "Sold Out"]] == [0, 8, 4, 0, 2, 1]
 
 
 def test_number_rows_is_gapless(spark):
