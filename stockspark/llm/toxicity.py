@@ -3,7 +3,7 @@
 Terms are lower-cased words and word beginnings. Labelled examples are a
 bounded sample (``PER_CLASS`` documents a class, smallest id hash first); on it
 the terms that mark toxic documents are selected by a z-score of their
-document frequencies, at most ``VOCABULARY``. One pass over all texts then
+document frequencies and their lift, at most ``VOCABULARY``. One pass over all texts then
 counts the selected terms of every document; document frequencies for the idf
 come from all documents.
 
@@ -41,9 +41,11 @@ from stockspark.llm.flat import U64, RangeHash, lower_ascii, mix64, spans, text_
 PER_CLASS = 10_000         # labelled examples of each class that are learned from
 VOCABULARY = 4_096         # selected terms
 MIN_Z = 4.0                # of a selected term
+MIN_LIFT = 4.0             # times as frequent in toxic examples as in others
 MIN_TOXIC = 2              # toxic examples that a selected term is in
 BEGINNINGS = (4, 5, 6, 7)  # bytes
 BLOCK = 64                 # examples
+BLOCKS_AT_ONCE = 8         # that are scored before the bound is looked at again
 NEAREST = 24               # example entries
 SCALE = 0.15               # of the cosine distance
 SHRINK = 1.0               # votes at the base rate
@@ -54,13 +56,23 @@ _SEPARATOR[97:123] = False
 _SEPARATOR[128:] = False
 
 
+# two-byte letters: lead byte, first and last second byte of capitals, what to add to lead and second byte
+_CAPITALS = [(0xC3, 0x80, 0x9E, 0, 0x20),                                     # Latin-1
+             (0xCE, 0x91, 0x9F, 0, 0x20), (0xCE, 0xA0, 0xA9, 1, -0x20),       # Greek
+             (0xD0, 0x90, 0x9F, 0, 0x20), (0xD0, 0xA0, 0xAF, 1, -0x20)]       # Cyrillic
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
-    """ASCII and two-byte Latin-1 letters in lower case."""
-    data = lower_ascii(data)
+    """ASCII letters and two-byte Latin-1, Greek and Cyrillic letters in lower case."""
+    out = lower_ascii(data)
     if len(data) > 1:
-        upper = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        data[1:][upper] += 0x20
-    return data
+        for lead, lo, hi, add_lead, add in _CAPITALS:
+            at = np.flatnonzero(data[:-1] == lead)
+            second = data[at + 1]
+            at = at[(second >= lo) & (second <= hi) & ((lead != 0xC3) | (second != 0x97))]
+            out[at] += np.uint8(add_lead)
+            out[at + 1] = (data[at + 1].astype(np.int16) + add).astype(np.uint8)
+    return out
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +142,7 @@ class Index:
     """Block-max inverted index of example vectors with class counts."""
 
     idf: np.ndarray
-    start: np.ndarray          # of each term's postings
+    start: np.ndarray          # where the postings of each (term, block) start; one entry more
     example: np.ndarray        # postings: example number, ascending within a term
     weight: np.ndarray
     block_max: np.ndarray      # terms x blocks
@@ -146,22 +158,24 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact: the NEAREST entries by cosine above 0, ties to the smaller entry."""
+        blocks = self.block_max.shape[1]
         bound = weight @ self.block_max[term]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best_s, best_e = np.zeros(0), np.zeros(0, dtype=np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_s) == NEAREST and bound[b] * (1 + 1e-9) < best_s[-1]):
+        for n in range(0, len(order), BLOCKS_AT_ONCE):
+            if len(best_s) == NEAREST and bound[order[n]] * (1 + 1e-9) < best_s[-1]:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                if self.block_max[t, b] > 0:
-                    lo, hi = np.searchsorted(self.example[self.start[t]:self.start[t + 1]],
-                                             (b * BLOCK, (b + 1) * BLOCK)) + self.start[t]
-                    score[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            near = np.flatnonzero(score > 0)
-            best_s = np.concatenate([best_s, score[near]])
-            best_e = np.concatenate([best_e, near + b * BLOCK])
-            order = np.lexsort((best_e, -best_s))[:NEAREST]
-            best_s, best_e = best_s[order], best_e[order]
+            cell = (term[:, None] * blocks + order[n:n + BLOCKS_AT_ONCE]).ravel()
+            first, size = self.start[cell], self.start[cell + 1] - self.start[cell]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
+            part = np.repeat(np.repeat(weight, len(cell) // len(term)), size)
+            example, number = np.unique(self.example[at], return_inverse=True)
+            score = np.bincount(number, weights=part * self.weight[at])
+            best_s, best_e = np.concatenate([best_s, score]), np.concatenate([best_e, example])
+            rank = np.lexsort((best_e, -best_s))[:NEAREST]
+            best_s, best_e = best_s[rank], best_e[rank]
         return best_e, np.minimum(best_s, 1.0)
 
     def score(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
@@ -191,8 +205,10 @@ def build_index(examples: list[tuple], idf: np.ndarray, clean_weight: float) ->
     row, col, weight = cat(rows), cat(cols), cat(weights)
     order = np.lexsort((col, row))
     row, index.example, index.weight = row[order], col[order], weight[order]
-    index.start = np.searchsorted(row, np.arange(len(idf) + 1))
-    index.block_max = np.zeros((len(idf), len(filled) // BLOCK + 1), dtype=np.float64)
+    blocks = len(filled) // BLOCK + 1
+    cell = row * blocks + index.example // BLOCK
+    index.start = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
+    index.block_max = np.zeros((len(idf), blocks))
     np.maximum.at(index.block_max, (row, index.example // BLOCK), index.weight)
     t0 = sum(e[2] for e in examples if not len(e[0]))
     c0 = sum(e[3] for e in examples if not len(e[0])) * clean_weight
@@ -246,7 +262,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     p1, p0 = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("clean") + 0.5) / (n0 + 1)
     rate = (F.col("toxic") + F.col("clean") + 1) / (n1 + n0 + 2)
     z = (p1 - p0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
-    chosen = (counted.withColumn("z", z).where(F.col("z") >= MIN_Z)
+    chosen = (counted.withColumn("z", z).where((F.col("z") >= MIN_Z) & (p1 >= MIN_LIFT * p0))
                      .orderBy(F.desc("z"), "term").limit(VOCABULARY).select("term").collect())
     vocabulary = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
 
