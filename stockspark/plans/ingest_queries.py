@@ -53,8 +53,7 @@ def q_column_map(spark, sf_dir):
     hl = ig.detect_header_row(head, d)
     headers = (head.join(hl, "file").where(F.col("line_no") == F.col("header_line")).join(d, "file")
                .select("file", ig._split_cells(F.col("value"), F.col("delim")).alias("cells")))
-    data = ig._parse_cells(head.join(hl, "file").where(F.col("line_no") > F.col("header_line"))
-                           .join(d, "file"))
+    data = ig._parse_cells(lines.join(d, "file"))       # all lines; header names are no barcodes
     m = ig.column_map(headers, data)
     return m.select("file", F.explode("col_map").alias("target", "idx"))
 

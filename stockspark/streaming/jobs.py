@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockspark.operators.velocity import snapshot_build
-from stockspark.sources.ingest import ingest_lines, with_line_order
+from stockspark.sources.ingest import decoded, ingest_lines, with_line_order
 
 
 def raw_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -44,15 +44,16 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark_ = batch.sparkSession
-        spark_.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        mapped = ingest_lines(with_line_order(batch)).withColumn(
+        # a file without a required column is left out of its batch, it does not stop the stream
+        mapped = ingest_lines(with_line_order(decoded(batch)), on_missing="drop").withColumn(
             "import_id", F.sha1(F.col("file"))).withColumn("batch_id", F.lit(batch_id))
         mapped = mapped.checkpoint(eager=True) if spark_.sparkContext.getCheckpointDir() else mapped
-        mapped.drop("_ord").write.mode("overwrite").partitionBy("import_id").parquet(target)
+        mapped.drop("_ord").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("import_id").parquet(target)
         if snapshots_target:
             snap = snapshot_build(mapped, keep=("import_id",))
             snap.select("import_id", "barcode", "room", "qty", "received_date").write.mode(
-                "overwrite").partitionBy("import_id").parquet(snapshots_target)
+                "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import_id").parquet(snapshots_target)
 
     w = (raw_line_stream(spark, source).writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint))
