@@ -13,22 +13,32 @@ BATCH_ROWS = 512
 # A side of a few ids a row may be broadcast up to this many rows (under 32 MB);
 # beyond it the same join runs as a shuffle join.
 BROADCAST_IDS = 500_000
+# Rows of a few numbers that one file of an intermediate table holds.
+ROWS_A_FILE = 50_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit the rows of the Arrow batches that Python gets."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, with Arrow batches limited in rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of the files, not a
-    recomputation of everything before them.
+    recomputation of everything before them. ``rows``: a bound on the rows of a
+    narrow result; it is then written as one partition for every ``ROWS_A_FILE``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

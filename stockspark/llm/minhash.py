@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockspark.llm.common import id_side, table
+from stockspark.llm.common import id_side, small_batches, table
 from stockspark.llm.flat import U64, RangeHash, lower_ascii, mix64, spans, text_slices
 
 BINS = 126
@@ -148,8 +148,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     stay distributed and each pass is written to the shared folder.
     """
     both = table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
+    n = both.count()
     label = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")),
-                  f"{name}-label")
+                  f"{name}-label", n)
     for _ in range(MAX_PASSES):
         # a node takes its neighbours' smallest label, then that label's own label
         near = id_side(label.select(F.col("node").alias("b"), F.col("component").alias("near")))
@@ -158,7 +159,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         was = id_side(label.withColumnRenamed("component", "_was"))
         new = table(lowest.join(was, "node").withColumn("next", F.least("next", "_was")).join(jump, "next", "left")
                           .select("node", F.least("next", F.coalesce("root", "next")).alias("component"), "_was"),
-                    f"{name}-label")
+                    f"{name}-label", n)
         moved = new.where(F.col("component") != F.col("_was")).limit(1).count()
         label = new.drop("_was")
         if not moved:
@@ -172,6 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents are linked when 100 * |A and B| >= percent * |A or B| on their
     shingle sets; ``component_id`` is the smallest doc_id reachable over links.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = table(text.mapInArrow(functools.partial(_nodes, width=width), _NODE), "near-nodes")
     fingerprint = ["set_a", "set_b", "n_shingles"]
@@ -182,13 +184,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = classes.select("rep", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     member = table(rows.join(shared, "bucket"), "near-buckets")
-    hub = table(member.groupBy("rep").agg(F.sum("members").alias("hub")), "near-hubs")
-    member = table(member.join(id_side(hub), "rep").select("bucket", "rep", "size", "hub"), "near-members")
+    n = member.count()
+    hub = table(member.groupBy("rep").agg(F.sum("members").alias("hub")), "near-hubs", n)
+    member = table(member.join(id_side(hub), "rep").select("bucket", "rep", "size", "hub"), "near-members", n)
 
     candidate = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = table(text.join(id_side(candidate), "doc_id", "left_semi")
                      .mapInArrow(functools.partial(_sets, width=width), "doc_id long, hashes array<long>"), "near-sets")
-    component = _contract(member, sets, percent)
+    component = _contract(member, n, sets, percent)
 
     of_class = classes.select(*fingerprint, "rep").join(id_side(component), F.col("rep") == F.col("node"), "left")
     of_class = of_class.select(*fingerprint, F.coalesce("component", "rep").alias("component_id"))
@@ -203,8 +206,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _contract(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Star rounds: propose, confirm on full sets, contract; ``(node, component)``."""
+def _contract(member: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Star rounds: propose, confirm on full sets, contract; ``(node, component)``.
+
+    ``n``: rows of ``member``, a bound on the pairs of one star a bucket.
+    """
     spark = member.sparkSession
     links, tested = None, None
     component = spark.createDataFrame([], "node long, component long")
@@ -222,7 +228,7 @@ def _contract(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         centre = (centre.select("bucket", F.explode(F.array_distinct(F.array(*picks))).alias("c"))
                         .select("bucket", F.col("c.rep").alias("centre"), F.col("c.size").alias("centre_size"),
                                 F.col("c.comp").alias("centre_comp")))
-        centre = table(centre, "near-centres")
+        centre = table(centre, "near-centres", n)
         near_size = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
         star = (now.join(id_side(centre), "bucket")
                    .where((F.col("comp") != F.col("centre_comp")) & near_size)
@@ -234,23 +240,23 @@ def _contract(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             # first only each document's most frequent centre: most links need one test
             best = star.groupBy("rep").agg(F.max(F.struct("met", "a", "b")).alias("m"))
             star = best.select("m.a", "m.b").distinct()
-        star = table(star.select("a", "b"), "near-edges")
+        star = table(star.select("a", "b"), "near-edges", 2 * n)
         if turn > 0 and not star.limit(1).count():
             break
         pairs = (sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")).join(id_side(star), "b")
                      .join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
                      .withColumn("both", F.size(F.array_intersect("hashes_a", "hashes_b"))))
         either = F.size("hashes_a") + F.size("hashes_b") - F.col("both")
-        new = table(pairs.where(100 * F.col("both") >= percent * either).select("a", "b"), "near-links")
+        new = table(pairs.where(100 * F.col("both") >= percent * either).select("a", "b"), "near-links", 2 * n)
         found = new.limit(1).count()
         if turn > 1 and not found:
             break
         if found:
             links = new if links is None else links.unionByName(new)
             component = components(links, "near-comp")
-        tested = star if tested is None else table(tested.unionByName(star), "near-tested")
+        tested = star if tested is None else tested.unionByName(star)
         if turn > 0:                       # the centres of this turn have met all their buckets
             used = centre.select("bucket", F.col("centre").alias("rep"))
-            member = table(member.join(id_side(used), ["bucket", "rep"], "left_anti"), "near-members")
+            member = table(member.join(id_side(used), ["bucket", "rep"], "left_anti"), "near-members", n)
         turn += 1
     return component

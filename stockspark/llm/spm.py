@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockspark.llm.common import small_batches
+
 SPACE = "▁"
 KEPT_SEGMENTS = 1 << 19      # remembered segments a worker, some 150 MB
 KEPT_PAIRS = 1 << 19         # remembered compatibility checks a worker
@@ -324,6 +326,7 @@ def _texts(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import held_out, learned, table
+from stockspark.llm.common import held_out, learned, small_batches, table
 from stockspark.llm.flat import U64, RangeHash, lower_ascii, mix64, spans, text_slices
 
 PER_CLASS = 10_000         # labelled examples of each class that are learned from
@@ -242,6 +242,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels(doc_id, toxic)``; only rows outside the held-out quarter are learned from.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = (labels.where(learned(F.col("doc_id")) & F.col("toxic").isNotNull())
                    .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")))
