@@ -103,6 +103,18 @@ def import_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("room"), F.floor(F.col("value") / 50).cast("int").alias("qty")))
 
 
+def import_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory as yearly imports of each store (FIXTURES.md B1a): rows with
+    the import's identity; some rows lack a brand, as raw exports do."""
+    inv = inventory(spark, sf_dir)
+    year = F.year("received_date")
+    return inv.select(
+        *[F.when(F.col("ord_3") % 29 != 0, F.col("brand")).alias("brand") if c == "brand" else F.col(c)
+          for c in inv.columns],
+        F.concat("store", F.lit("-"), year.cast("string")).alias("import_id"),
+        F.make_timestamp(year, F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0)).alias("import_ts"))
+
+
 def current_by_store(entries: DataFrame) -> DataFrame:
     """Each store's newest import, first entry per barcode."""
     newest = entries.groupBy("store").agg(F.max("snapshot_ts").alias("snapshot_ts"))

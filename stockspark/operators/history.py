@@ -4,10 +4,14 @@ retention (J8, J9, A16-A18, T4)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockspark.functions.rooms import alias_room
+from stockspark.operators.restock import drop_incomplete, move_up, move_up_diag
+from stockspark.operators.velocity import snapshot_build
 from stockspark.schema import SALES_FLOOR_ALIASES
 
 SNAP = "snapshot_date"
@@ -68,71 +72,78 @@ def snapshot_diff_summary(pair: DataFrame) -> DataFrame:
          .alias("net_qty"))
 
 
-def snapshot_order(history: DataFrame) -> DataFrame:
-    """Position of every snapshot (one row per snapshot; tiny)."""
-    snaps = history.select(SNAP).distinct()
-    return snaps.withColumn("snap_pos", F.row_number().over(Window.orderBy(SNAP)))
+def snapshot_order(history: DataFrame, snap: str = SNAP, keys: Sequence[str] = ()) -> DataFrame:
+    """Position of every snapshot within its group (one row per snapshot)."""
+    snaps = history.select(*keys, snap).distinct()
+    return snaps.withColumn("snap_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(snap)))
 
 
 def floor_arrivals(history: DataFrame, floor_rooms: Sequence[str] = FLOOR_SET,
-                   aliases: dict | None = None) -> DataFrame:
+                   aliases: dict | None = None, snap: str = SNAP, keys: Sequence[str] = ()) -> DataFrame:
     """Per snapshot, barcodes whose room was off the floor in the
     previous snapshot and is on it now (rooms aliased, lower-cased; last
-    entry per barcode wins)."""
-    from stockspark.functions.rooms import alias_room
+    entry per barcode wins). ``snap`` identifies a snapshot within ``keys``."""
     floor = [r.strip().lower() for r in floor_rooms]
-    last = history.groupBy("barcode", SNAP).agg(
+    last = history.groupBy(*keys, "barcode", snap).agg(
         F.lower(alias_room(F.max_by("room", "entry_idx"), aliases)).alias("room"))
-    pos = snapshot_order(history)
-    last = last.join(F.broadcast(pos), SNAP)
-    prev = last.select("barcode", (F.col("snap_pos") + 1).alias("snap_pos"),
+    last = last.join(snapshot_order(history, snap, keys), [*keys, snap])
+    prev = last.select(*keys, "barcode", (F.col("snap_pos") + 1).alias("snap_pos"),
                        F.col("room").alias("prev_room"))
-    j = last.join(prev, ["barcode", "snap_pos"], "left")
+    j = last.join(prev, [*keys, "barcode", "snap_pos"], "left")
     arrived = F.col("prev_room").isNotNull() & ~F.col("prev_room").isin(floor) & F.col("room").isin(floor)
-    return j.groupBy(SNAP).agg(F.count_if(arrived).alias("floor_arrivals"))
+    return j.groupBy(*keys, snap).agg(F.count_if(arrived).alias("floor_arrivals"))
 
 
-def import_summary(inv: DataFrame, move_up: DataFrame, raw_rows: Column | None = None) -> DataFrame:
-    """One import-log row: raw / mapped / move-up rows, distinct brands,
-    types, rooms, total qty, snapshot entries. Both inputs are aggregated to
-    one row before they meet (union + sum; no join)."""
+SUMMARY = ["total_rows", "mapped_rows", "move_up_count", "unique_brands", "unique_types", "unique_rooms",
+           "total_qty", "velocity_entries_count"]
+
+
+def import_summary(inv: DataFrame, move_up: DataFrame, raw: DataFrame | None = None,
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """Raw / mapped / move-up rows, distinct brands, types, rooms, total
+    qty and snapshot entries, one row per ``keys`` group (an import).
+
+    ``raw``: the rows before cleaning (default: ``inv``). All inputs are
+    aggregated before they meet (union + sum; no join)."""
     bc = F.trim(F.col("package_barcode"))
     zero = F.lit(0).cast("long")
-    a = inv.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count(F.lit(1)).alias("mapped_rows"),
-        zero.alias("move_up_count"),
-        F.countDistinct("brand").alias("unique_brands"), F.countDistinct("type").alias("unique_types"),
-        F.countDistinct("room").alias("unique_rooms"),
-        F.coalesce(F.sum("qty_on_hand"), zero).cast("long").alias("total_qty"),
-        F.count_if(bc.isNotNull() & (bc != "") & (F.lower(bc) != "nan")).alias("velocity_entries_count"))
-    b = move_up.agg(*[zero.alias(c) for c in ("total_rows", "mapped_rows")],
-                    F.count(F.lit(1)).alias("move_up_count"),
-                    *[zero.alias(c) for c in ("unique_brands", "unique_types", "unique_rooms",
-                                              "total_qty", "velocity_entries_count")])
-    cols = ["total_rows", "mapped_rows", "move_up_count", "unique_brands", "unique_types",
-            "unique_rooms", "total_qty", "velocity_entries_count"]
-    return a.unionByName(b).agg(*[F.sum(c).cast("long").alias(c) for c in cols])
-
-
-def import_log_from_history(history: DataFrame, floor_rooms: Sequence[str] = FLOOR_SET) -> DataFrame:
-    """M5 rows derived from the snapshot history: one row per import with the
-    counts a snapshot carries (rooms, qty, entries) and its floor arrivals."""
-    per = history.groupBy(SNAP).agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col("barcode").isNotNull() & (F.col("barcode") != "")).alias("mapped_rows"),
-        F.countDistinct("room").alias("unique_rooms"),
-        F.coalesce(F.sum("qty"), F.lit(0)).cast("long").alias("total_qty"),
-        F.count(F.lit(1)).alias("velocity_entries_count"))
-    arr = floor_arrivals(history, floor_rooms)
+
+    def part(df: DataFrame, **aggs: Column) -> DataFrame:
+        return df.groupBy(*keys).agg(*[aggs.get(c, zero).alias(c) for c in SUMMARY])
+    rows = F.count(F.lit(1))
+    parts = [
+        part(inv, mapped_rows=rows, unique_brands=F.countDistinct("brand"), unique_types=F.countDistinct("type"),
+             unique_rooms=F.countDistinct("room"),
+             total_qty=F.coalesce(F.sum("qty_on_hand"), zero).cast("long"),
+             velocity_entries_count=F.count_if(bc.isNotNull() & (bc != "") & (F.lower(bc) != "nan"))),
+        part(inv if raw is None else raw, total_rows=rows),
+        part(move_up, move_up_count=rows)]
+    return (reduce(DataFrame.unionByName, parts).groupBy(*keys)
+            .agg(*[F.sum(c).cast("long").alias(c) for c in SUMMARY]))
+
+
+# ---- fixed values: what identifies an import, and its diagnostics in the log
+IMPORT = ["store", "import_id", "import_ts"]
+DIAGNOSTICS = ["total_loaded", "after_dropna", "after_brand", "after_type", "candidate_pool", "removed_as_on_sf",
+               "move_up"]
+
+
+def import_log(raw: DataFrame, candidate_rooms: Sequence[str], order: Column, aliases: dict | None = None,
+               floor_rooms: Sequence[str] = FLOOR_SET) -> DataFrame:
+    """M5: one log row per import of ``raw`` (inventory rows with the ``IMPORT``
+    columns): summary, move-up diagnostics, and barcodes that came to the floor
+    since the store's import before."""
+    inv = drop_incomplete(raw)
+    summary = import_summary(inv, move_up(raw, candidate_rooms, aliases, keys=IMPORT), raw, IMPORT)
+    diag = move_up_diag(raw, candidate_rooms, aliases, keys=IMPORT).select(
+        *IMPORT, F.create_map(*[x for c in DIAGNOSTICS for x in (F.lit(c), F.col(c))]).alias("diag"))
+    entries = snapshot_build(inv.withColumn("entry_idx", order), keep=(*IMPORT, "entry_idx"))
+    arrived = floor_arrivals(entries, floor_rooms, aliases, "import_ts", ["store"])
     zero = F.lit(0).cast("long")
-    return per.join(arr, SNAP, "left").select(
-        F.col(SNAP).cast("timestamp").alias("timestamp"),
-        F.concat(F.lit("snapshot_"), F.date_format(SNAP, "yyyyMMdd"), F.lit(".csv")).alias("file_name"),
-        "total_rows", "mapped_rows", zero.alias("move_up_count"),
-        F.create_map().cast("map<string,int>").alias("diag"),
-        zero.alias("unique_brands"), zero.alias("unique_types"), "unique_rooms", "total_qty",
-        "velocity_entries_count",
-        F.coalesce(F.col("floor_arrivals"), zero).alias("floor_move_ups"))
+    return (summary.join(diag, IMPORT, "left").join(arrived, ["store", "import_ts"], "left").select(
+        F.col("import_ts").alias("timestamp"), "store", "import_id",
+        F.concat("import_id", F.lit(".csv")).alias("file_name"), *SUMMARY, "diag",
+        F.coalesce("floor_arrivals", zero).alias("floor_move_ups")))
 
 
 # ---- fixed values: trend metrics of the import log (order as displayed)
@@ -146,14 +157,14 @@ def import_trends(log: DataFrame) -> DataFrame:
     vals = []
     for m in TREND_METRICS:
         if m in ("candidate_pool", "removed_as_on_sf"):
-            v = F.coalesce(F.col("diag")[m], F.lit(0))
+            v = F.coalesce(F.col("diag")[m], F.lit(0).cast("long"))
         else:
             v = F.coalesce(F.col(m), F.lit(0))
         vals.append(F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")))
-    long = log.select("timestamp", F.explode(F.array(*vals)).alias("m")).select(
-        "timestamp", "m.metric", "m.value")
+    long = log.select("timestamp", "file_name", F.explode(F.array(*vals)).alias("m")).select(
+        "timestamp", "file_name", "m.metric", "m.value")
     return long.groupBy("metric").agg(
-        F.max_by("value", "timestamp").alias("latest"), F.min("value").alias("min_value"),
+        F.max_by("value", F.struct("timestamp", "file_name")).alias("latest"), F.min("value").alias("min_value"),
         F.max("value").alias("max_value"), F.count(F.lit(1)).alias("imports"))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from stockspark import fixtures as fx
 from stockspark.operators import history as hs
 from stockspark.plans.registry import register
-from stockspark.plans.views import IMPORT_ENTRY, with_views
-from stockspark.plans.restock_queries import MU_SQL
+from stockspark.plans.views import FLOOR_LIST, IMPORT_ENTRY, room_alias_sql, sql_list, with_views
+from stockspark.plans.restock_queries import CANDIDATE_ROOMS, MU_SQL
 from stockspark.session import scratch_path
 from stockspark.sources import history_io as hio
 
@@ -16,6 +16,7 @@ from stockspark.sources import history_io as hio
 # "purchase" room plays the sales floor; retention keeps the last 14 days.
 FLOOR = ["purchase"]
 RETAIN_DAYS = 14
+FLOOR_NAMES = sql_list(hs.FLOOR_SET)
 
 
 def _hist(spark, sf_dir):
@@ -98,38 +99,77 @@ def q_floor_arrivals(spark, sf_dir):
     return hs.floor_arrivals(_hist(spark, sf_dir), FLOOR)
 
 
+_IMPORTS = """
+select * replace (case when ord_3 % 29 <> 0 then brand end as brand),
+       store || '-' || year(received_date) as import_id,
+       make_timestamp(year(received_date), 12, 31, 0, 0, 0.0) as import_ts
+from inventory"""
+_OK = "product_name is not null and brand is not null and package_barcode is not null and room is not null"
+_IWORK = f"""
+select * replace ({room_alias_sql()} as room) from imports
+where {_OK} and not coalesce(lower(type) like '%accessor%', false)"""
+_ICAND = f"""
+select c.*, exists (select 1 from iwork f where f.import_id = c.import_id and f.brand = c.brand
+                      and f.product_name = c.product_name and lower(trim(f.room)) in ({FLOOR_LIST})) as on_floor
+from iwork c where trim(c.room) in ({sql_list(CANDIDATE_ROOMS)})"""
+_IARR = f"""
+with last as (
+  select store, import_ts, trim(package_barcode) as barcode,
+         lower({room_alias_sql("lower(trim(arg_max(room, (ord_1, ord_2, ord_3, ord_4, ord_5, ord_6))))")}) as room
+  from imports where {_OK} and trim(package_barcode) <> '' and lower(trim(package_barcode)) <> 'nan'
+  group by store, import_ts, trim(package_barcode)),
+pos as (select store, import_ts, row_number() over (partition by store order by import_ts) as pos
+        from (select distinct store, import_ts from last) d),
+placed as (select l.*, pos.pos from last l join pos using (store, import_ts))
+select a.store, a.import_ts,
+       count(*) filter (where p.room is not null and p.room not in ({FLOOR_NAMES}) and a.room in ({FLOOR_NAMES}))
+         as arrivals
+from placed a left join placed p on a.store = p.store and a.barcode = p.barcode and a.pos = p.pos + 1
+group by a.store, a.import_ts"""
 _LOG = f"""
-select cast(s.snapshot_date as timestamp) as timestamp,
-       'snapshot_' || strftime(s.snapshot_date, '%Y%m%d') || '.csv' as file_name,
-       total_rows, mapped_rows, 0::bigint as move_up_count,
-       0::bigint as unique_brands, 0::bigint as unique_types, unique_rooms, total_qty,
-       velocity_entries_count, coalesce(a.floor_arrivals, 0)::bigint as floor_move_ups
-from (select snapshot_date, count(*) as total_rows,
-             count(*) filter (where barcode is not null and barcode <> '') as mapped_rows,
-             count(distinct room) as unique_rooms, cast(coalesce(sum(qty), 0) as bigint) as total_qty,
-             count(*) as velocity_entries_count
-      from snapshot_entry group by snapshot_date) s
-left join arr a using (snapshot_date)"""
+select i.import_ts as timestamp, i.store, i.import_id, i.import_id || '.csv' as file_name, total_rows, mapped_rows,
+       coalesce(move_up_count, 0) as move_up_count, unique_brands, unique_types, unique_rooms, total_qty,
+       velocity_entries_count, coalesce(candidate_pool, 0) as candidate_pool,
+       coalesce(removed_as_on_sf, 0) as removed_as_on_sf, coalesce(arrivals, 0) as floor_move_ups
+from (select store, import_id, import_ts, count(*) as total_rows, count(*) filter (where {_OK}) as mapped_rows,
+             count(distinct brand) filter (where {_OK}) as unique_brands,
+             count(distinct type) filter (where {_OK}) as unique_types,
+             count(distinct room) filter (where {_OK}) as unique_rooms,
+             cast(coalesce(sum(qty_on_hand) filter (where {_OK}), 0) as bigint) as total_qty,
+             count(*) filter (where {_OK} and trim(package_barcode) <> '' and lower(trim(package_barcode)) <> 'nan')
+               as velocity_entries_count
+      from imports group by store, import_id, import_ts) i
+left join (select import_id, count(*) as candidate_pool, count(*) filter (where on_floor) as removed_as_on_sf,
+                  count(*) filter (where not on_floor) as move_up_count
+           from icand group by import_id) c using (import_id)
+left join iarr a on a.store = i.store and a.import_ts = i.import_ts"""
+_IVIEWS = [("imports", _IMPORTS), ("iwork", _IWORK), ("icand", _ICAND), ("iarr", _IARR), ("log", _LOG)]
+
+
+def _isql(body: str) -> str:
+    return with_views(body, "inventory", extra=_IVIEWS)
 
 
 def _log(spark, sf_dir):
-    return hs.import_log_from_history(_hist(spark, sf_dir), FLOOR)
+    return hs.import_log(fx.import_inventory(spark, sf_dir), CANDIDATE_ROOMS, fx.ord_key(), fx.ROOM_ALIASES)
 
 
-@register("import_timeline", with_views("select * from log", "snapshot_entry",
-                                        extra=[("arr", _ARR), ("log", _LOG)]))
+def _flat_log(log):
+    return log.select("*", F.col("diag")["candidate_pool"].alias("candidate_pool"),
+                      F.col("diag")["removed_as_on_sf"].alias("removed_as_on_sf")).drop("diag")
+
+
+@register("import_timeline", _isql("select * from log"))
 def q_import_timeline(spark, sf_dir):
-    return _log(spark, sf_dir).drop("diag").orderBy("timestamp")
+    return _flat_log(_log(spark, sf_dir)).orderBy("timestamp", "store")
 
 
 _TRENDS = " union all ".join(
-    f"select '{m}' as metric, arg_max({'0' if m in ('candidate_pool', 'removed_as_on_sf') else m}::double, timestamp) as latest, "
-    f"min({'0' if m in ('candidate_pool', 'removed_as_on_sf') else m}::double) as min_value, "
-    f"max({'0' if m in ('candidate_pool', 'removed_as_on_sf') else m}::double) as max_value, count(*) as imports from log"
-    for m in hs.TREND_METRICS)
+    f"select '{m}' as metric, arg_max({m}::double, (timestamp, file_name)) as latest, min({m}::double) as min_value, "
+    f"max({m}::double) as max_value, count(*) as imports from log" for m in hs.TREND_METRICS)
 
 
-@register("import_trends", with_views(_TRENDS, "snapshot_entry", extra=[("arr", _ARR), ("log", _LOG)]))
+@register("import_trends", _isql(_TRENDS))
 def q_import_trends(spark, sf_dir):
     return hs.import_trends(_log(spark, sf_dir))
 
@@ -180,14 +220,14 @@ def q_snapshot_store(spark, sf_dir):
         "barcode", "room", "qty")
 
 
-@register("import_log", with_views("select * exclude (timestamp) from log", "snapshot_entry",
-                                   extra=[("arr", _ARR), ("log", _LOG)]))
+@register("import_log", _isql("select * exclude (timestamp) from log"))
 def q_import_log(spark, sf_dir):
     """Import-log rows appended to the shared folder twice (a replay) and read back."""
     path = scratch_path(spark, "import-log")
+    log = _log(spark, sf_dir)
     for _ in range(2):
-        hio.append_import_log(_log(spark, sf_dir), path)
-    return hio.read_import_log(spark, path).drop("diag", "timestamp")
+        hio.append_import_log(log, path)
+    return _flat_log(hio.read_import_log(spark, path, "import_id")).drop("timestamp")
 
 
 @register("retention_default", with_views("""
