@@ -170,15 +170,14 @@ def sticker_listing(move_up: DataFrame, priority_rows: DataFrame, order: Column,
         F.col("_rank").alias("block"))
 
 
-def smart_sort(df: DataFrame, col: str, descending: bool = False, group: str | None = None,
-               all_numeric: bool = False) -> DataFrame:
+def smart_sort_keys(df: DataFrame, col: str, descending: bool = False, group: str | None = None,
+                    all_numeric: bool = False) -> list[Column]:
     """O2: numeric sort when values are numbers, else case-insensitive text.
 
     Column-level rule of the viewers: numeric order if any value parses
     (``all_numeric=False``) or only if every non-empty value parses
     (``all_numeric=True``, empty = -infinity); non-numeric values go last.
-    The decision is a scalar subquery (no action on the driver); the sort
-    is one global order.
+    The decision is a scalar subquery (no action on the driver).
     """
     v = F.trim(F.coalesce(F.col(col).cast("string"), F.lit("")))
     num = F.regexp_replace(v, ",", "").try_cast("double")
@@ -190,6 +189,11 @@ def smart_sort(df: DataFrame, col: str, descending: bool = False, group: str | N
         flag = df.select(F.count_if(num.isNotNull()) > 0).scalar()
         nkey = F.when(flag, num)
     keys = [F.col(group)] if group else []
-    keys += [nkey.desc_nulls_last() if descending else nkey.asc_nulls_last(),
-             F.lower(v).desc() if descending else F.lower(v).asc()]
-    return df.orderBy(*keys)
+    return keys + [nkey.desc_nulls_last() if descending else nkey.asc_nulls_last(),
+                   F.lower(v).desc() if descending else F.lower(v).asc()]
+
+
+def smart_sort(df: DataFrame, col: str, descending: bool = False, group: str | None = None,
+               all_numeric: bool = False) -> DataFrame:
+    """O2: ``df`` in one global order by :func:`smart_sort_keys`."""
+    return df.orderBy(*smart_sort_keys(df, col, descending, group, all_numeric))

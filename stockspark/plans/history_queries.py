@@ -230,15 +230,15 @@ def q_import_log(spark, sf_dir):
     return _flat_log(hio.read_import_log(spark, path, "import_id")).drop("timestamp")
 
 
-@register("retention_default", with_views("""
-select * from snapshot_entry
-where snapshot_date >= (select max(snapshot_date) from snapshot_entry) - 30""", "snapshot_entry"))
+@register("retention_default", _isql("""
+select store, import_id, import_ts, package_barcode, room, qty_on_hand from imports
+where import_ts >= (select max(import_ts) from imports) - interval 90 days"""))
 def q_retention_default(spark, sf_dir):
-    """T4, "purge old" variant: 30 days back from the newest snapshot (the
-    tool counts back from now; the fixture's clock is the last snapshot)."""
-    h = _hist(spark, sf_dir)
-    last = h.select(F.max("snapshot_date")).first()[0]
-    return hs.purge_older_than(h, hs.PURGE_OLD_DAYS, last)
+    """T4: the default of 90 days, counted back from the newest of the yearly imports."""
+    h = fx.import_inventory(spark, sf_dir).select("store", "import_id", "import_ts", "package_barcode", "room",
+                                                  "qty_on_hand")
+    last = h.select(F.max("import_ts")).first()[0]
+    return hs.purge_older_than(h, hs.DEFAULT_RETENTION_DAYS, last, "import_ts")
 
 
 @register("retention_removed", with_views(f"""

@@ -118,11 +118,11 @@ def q_move_up_merged(spark, sf_dir):
 
 
 @register("drop_incomplete", with_views(f"""
-select {OUT_SQL} from inventory
-where product_name is not null and brand is not null and package_barcode is not null and room is not null
+select {OUT_SQL} from inventory where ord_3 % 29 <> 0
 """, "inventory"))
 def q_drop_incomplete(spark, sf_dir):
-    return mu.drop_incomplete(_inv(spark, sf_dir)).select(*OUT_COLS)
+    """F1 on raw imports, where some rows lack a brand."""
+    return mu.drop_incomplete(fx.import_inventory(spark, sf_dir)).select(*OUT_COLS)
 
 
 @register("filter_brand_type", with_views(f"""

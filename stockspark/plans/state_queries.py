@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockspark import fixtures as fx
@@ -324,18 +327,26 @@ def q_sticker_listing(spark, sf_dir):
     return ls.sticker_listing(move_up_result(spark, sf_dir), prio_rows, fx.ord_key())
 
 
+_NUM = "try_cast(replace(trim(size), ',', '') as double)"
+
+
 @register("smart_sort", _sql(f"""
-select package_barcode, size, row_number() over (
-         order by try_cast(replace(trim(size), ',', '') as double) asc nulls last, lower(trim(size)), {_ORD}) as pos
-from inventory"""))
+select 'numeric' as variant, package_barcode, row_number() over (
+         order by {_NUM} asc nulls last, lower(trim(size)), {_ORD}) as pos from inventory
+union all
+select 'text_desc', package_barcode, row_number() over (order by lower(trim(brand)) desc, {_ORD}) from inventory
+union all
+select 'group_all_numeric', package_barcode, row_number() over (
+         order by type, {_NUM} desc nulls last, lower(trim(size)) desc, {_ORD}) from inventory"""))
 def q_smart_sort(spark, sf_dir):
     inv = _inv(spark, sf_dir)
-    v = F.trim(F.coalesce(F.col("size"), F.lit("")))
-    flag = inv.select(F.count_if(F.regexp_replace(v, ",", "").try_cast("double").isNotNull()) > 0).scalar()
-    key = F.when(flag, F.regexp_replace(v, ",", "").try_cast("double"))
-    return ls.number_rows(inv.select("package_barcode", "size", *fx.ORD_COLS),
-                          [key.asc_nulls_last(), F.lower(v), *fx.ORD_COLS], "pos").select(
-        "package_barcode", "size", "pos")
+    variants = {"numeric": ls.smart_sort_keys(inv, "size"),
+                "text_desc": ls.smart_sort_keys(inv, "brand", descending=True),
+                "group_all_numeric": ls.smart_sort_keys(inv, "size", True, "type", all_numeric=True)}
+    rows = inv.select("package_barcode", "size", "brand", "type", *fx.ORD_COLS)
+    out = [ls.number_rows(rows, [*keys, *fx.ORD_COLS], "pos").select(F.lit(v).alias("variant"), "package_barcode", "pos")
+           for v, keys in variants.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 # ------------------------------------------------------------------ display + sinks
