@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from stockspark.llm.flat import U64, RangeHash, lower_ascii, mix64, spans, text_slices
 
 SAMPLES = 64
+FINGERPRINT_BYTES = 4 << 20 # of texts whose words are drawn for together
 RANGES_A_PARTITION = 2     # ranges of doc_id for each shuffle partition
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
@@ -42,19 +43,30 @@ SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 _LOG = np.log(np.arange(1, 4097, dtype=np.float64)).astype(np.float32)
 
 
-def _uniform(h: np.ndarray, stream: int) -> np.ndarray:
-    """Uniform values in (0, 1], SAMPLES a term, from term hashes."""
-    k = np.arange(1, SAMPLES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + U64(stream * 0x5851F42D4C957F2D & (1 << 64) - 1)
-    x = mix64(h[:, None] ^ k)
-    return ((x >> U64(40)).astype(np.float32) + np.float32(1)) * np.float32(2.0 ** -24)
+def _bits(terms: np.ndarray, stream: int) -> np.ndarray:
+    """64 hashed bits for each term and sample."""
+    k = np.arange(1, SAMPLES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
+    return mix64(terms[:, None] ^ (k + U64(stream * 0x5851F42D4C957F2D)))
 
 
-def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``r, ln c - r, b`` of each term and sample."""
-    r = -np.log(_uniform(terms, 1) * _uniform(terms, 2))
-    r = np.maximum(r, np.float32(1e-6))
-    c = -np.log(_uniform(terms, 3) * _uniform(terms, 4))
-    return r, np.log(np.maximum(c, np.float32(1e-30))) - r, _uniform(terms, 5)
+def _uniform(bits: np.ndarray, shift: int, width: int) -> np.ndarray:
+    """Uniform values in (0, 1] from ``width`` of the bits."""
+    part = (bits >> U64(shift)) & U64((1 << width) - 1)
+    return (part.astype(np.uint32).astype(np.float32) + np.float32(1)) * np.float32(2.0 ** -width)
+
+
+def draws(terms: np.ndarray) -> np.ndarray:
+    """``r, ln c - r, b`` of each term and sample, terms x 3 x SAMPLES."""
+    out = np.empty((len(terms), 3, SAMPLES), dtype=np.float32)
+    for i in range(0, len(terms), 512):           # small enough for the processor's cache
+        part = out[i:i + 512]
+        one, two = _bits(terms[i:i + 512], 1), _bits(terms[i:i + 512], 2)
+        r = -np.log(_uniform(one, 0, 21) * _uniform(one, 21, 21))
+        np.maximum(r, np.float32(1e-6), out=part[:, 0])
+        c = -np.log(_uniform(two, 0, 24) * _uniform(two, 24, 24))
+        np.subtract(np.log(np.maximum(c, np.float32(1e-30))), part[:, 0], out=part[:, 1])
+        part[:, 2] = _uniform(one, 42, 22)
+    return out
 
 
 def log_weight(count: np.ndarray) -> np.ndarray:
@@ -69,23 +81,31 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     """Samples (texts x SAMPLES, uint32) of a column; all 0 for texts without words."""
     out = np.zeros((len(texts), SAMPLES), dtype=np.uint32)
     column = np.arange(SAMPLES)
-    for first, end, data, offsets in text_slices(texts):
+    for first, end, data, offsets in text_slices(texts, FINGERPRINT_BYTES):
         data = lower_ascii(data)
         starts, ends, doc = spans(data, offsets)
         terms, number = np.unique(RangeHash(data)(starts, ends), return_inverse=True)
-        r, c, b = draws(terms)
+        drawn = draws(terms)
         key, count = np.unique(doc * max(1, len(terms)) + number, return_counts=True)
         of_doc, term, weight = key // max(1, len(terms)), key % max(1, len(terms)), log_weight(count)
         cut = np.searchsorted(of_doc, np.arange(end - first + 1))
-        for i in range(end - first):
+        word = np.zeros((end - first, SAMPLES), dtype=np.uint64)
+        at_level = np.zeros((end - first, SAMPLES), dtype=np.float32)
+        filled = np.flatnonzero(cut[1:] > cut[:-1])
+        for i in filled:
             t = term[cut[i]:cut[i + 1]]
-            if not len(t):
-                continue
-            rt, bt = r[t], b[t]
-            level = np.floor(weight[cut[i]:cut[i + 1], None] / rt + bt)
-            best = (c[t] - rt * (level - bt)).argmin(axis=0)
-            sample = mix64(terms[t[best]] ^ mix64(level[best, column].astype(np.int64).view(np.uint64)))
-            out[first + i] = np.maximum(sample >> U64(32), U64(1)).astype(np.uint32)
+            mine = drawn[t]
+            r, b = mine[:, 0], mine[:, 2]
+            level = weight[cut[i]:cut[i + 1], None] / r
+            level += b
+            np.floor(level, out=level)
+            score = level - b
+            score *= r
+            np.subtract(mine[:, 1], score, out=score)
+            best = score.argmin(axis=0)
+            word[i], at_level[i] = terms[t[best]], level[best, column]
+        sample = mix64(word[filled] ^ mix64(at_level[filled].astype(np.int64).view(np.uint64)))
+        out[first + filled] = np.maximum(sample >> U64(32), U64(1)).astype(np.uint32)
     return out
 
 
