@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from stockspark.plans import ORACLE, QUERIES
 
 from .conftest import SF0001
 from .test_plans import FORBIDDEN
@@ -40,14 +41,14 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("key", sorted(k for k in oracle_sql() if k not in SLOW))
+@pytest.mark.parametrize("key", sorted(k for k in ORACLE if k not in SLOW))
 def test_query_matches_oracle(spark, con, key):
-    df = queries()[key](spark, SF0001)
+    df = QUERIES[key](spark, SF0001)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for pat in FORBIDDEN:
         assert pat not in plan, f"{key}: {pat}"
     srows = [tuple(r) for r in df.collect()]
-    res = con.execute(oracle_sql()[key])
+    res = con.execute(ORACLE[key])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     duck = {d[0]: str(d[1]) for d in res.description}
@@ -64,5 +65,5 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(queries()) - set(oracle_sql())
+    rows_only = set(QUERIES) - set(ORACLE)
     assert rows_only <= {"scan_text", "header_row", "column_map"}
