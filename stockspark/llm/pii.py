@@ -69,7 +69,7 @@ _CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4
 _SECRET = rf"""["'](?<=(?i:{SECRET_WORDS})["']? ?[=:] ?["'])[A-Za-z0-9_+/=-]{{16,128}}["']"""
 _NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 PATTERN = "|".join([_EMAIL, _PHONE, _SSN, _IP, _CARD, _SECRET, _NAME])
-_HINT = rf"[0-9@]|(?:{_TITLE})"      # no entity without one of these
+_HINT = rf"[0-9@]|(?:{_TITLE})|(?i:{SECRET_WORDS})"      # no entity without one of these
 
 
 def entities(text: Column) -> Column:
@@ -226,7 +226,8 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     row = F.struct(*[docs[c] for c in columns])
     cut = docs.select(row.alias("row"), entities(docs["text"].cast("string")).alias("found"),
                       F.xxhash64(docs["text"].cast("string")).alias("key"))
-    plain = docs.where(docs["text"].isNull() | ~docs["text"].rlike(PATTERN)).withColumn(
+    some = docs["text"].rlike(_HINT) & docs["text"].rlike(PATTERN)       # exactly where ``found`` is not empty
+    plain = docs.where(docs["text"].isNull() | ~some).withColumn(
         "n_entities", F.lit(0).cast("long"))
     hit = table(cut.where(F.size("found") > 0), "pii-hits")
     mention = hit.select("key", F.explode(F.array_distinct("found")).alias("raw")).distinct()

@@ -11,7 +11,7 @@ TEXT = ("Mr. John Smith and Mrs Anna Lee met Herr Müller and Госпожа А
         "4111 1111 1111 1111 or 4111111111111111, not 1234567812345678; 10.0.0.7 and 8.8.8.8 not 999.1.1.1; "
         "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" v1.2.3 2.0.")
 ROWS = [(1, TEXT, "a", "k"), (2, None, "b", "k"), (3, "", None, "k"), (4, "nothing here", "", "k"), (1, TEXT, "a", "k"),
-        (None, "call +1 (743) 555-3824 " * 3000, "c", "k"), (5, "8.8.8.8", "d", "k")]
+        (None, "call +1 (743) 555-3824 " * 3000, "c", "k"), (5, "8.8.8.8", "d", "k"), (6, "Password: 'abcdefghijklmnopqrst'", "e", "k")]
 SCHEMA = "doc_id long, text string, found string, key string"
 
 
@@ -50,6 +50,7 @@ def test_replacements(spark):
     assert g[10].replace(" ", "") == g[11] and luhn(g[11]) and g[11][0] == "4"
     assert g[0].split()[0] in pii.FIRST["latin", "m"].split() and g[1].split()[0] in pii.FIRST["latin", "f"].split()
     assert g[3].split()[0] in pii.FIRST["cyrillic", "f"].split() and g[3].endswith("ова")
+    assert re.fullmatch("Password: '[a-z]{20}'", by[6].text) and "abcdefgh" not in by[6].text
     assert by[5].text == g[13]                                    # the same everywhere
     long = by[None]
     assert long.n_entities == 3000 and len(set(re.findall(r"\+1 \(\d+\) [\d-]+", long.text))) == 1
