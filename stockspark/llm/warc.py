@@ -68,15 +68,14 @@ def digests(records: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("record").cast("binary"), F.lit(b""))
     one = records.select("file", "page_id", F.octet_length(body).cast("long").alias("bytes"),
                          F.sha2(body, 256).alias("digest"))
-    # repeated rows: counted, so that a place has one digest whatever their number
-    same = one.groupBy("file", "page_id", "bytes", "digest").count()
-    several = F.array_sort(F.collect_list(F.struct("digest", "bytes", "count")))
-    grouped = same.groupBy("file", "page_id").agg(F.sum(F.col("bytes") * F.col("count")).alias("bytes"),
-                                                  several.alias("all"))
-    joined = F.array_join(F.transform("all", lambda x: F.concat_ws("*", x["digest"], x["count"].cast("string"))), "")
-    only = (F.size("all") == 1) & (F.col("all")[0]["count"] == 1)
-    return grouped.select("file", "page_id", "bytes",
-                          F.when(only, F.col("all")[0]["digest"]).otherwise(F.sha2(joined, 256)).alias("digest"))
+    # rows that repeat a place: sums of digest parts, whatever their number and order
+    parts = [F.sum(F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
+             for i in range(4)]
+    place = one.groupBy("file", "page_id").agg(
+        F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("digest").alias("digest"), *parts)
+    several = F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(4)]), 256)
+    return place.select("file", "page_id", "bytes", F.when(F.col("n") == 1, F.col("digest")).otherwise(several)
+                        .alias("digest"))
 
 
 # levels from single records up: name, key columns
