@@ -11,8 +11,8 @@ The examples form an inverted index in blocks: for each term its weights and
 the largest weight of every block. A query adds up its terms' block maxima,
 visits blocks from the highest bound down and stops when no block can hold a
 nearer example than the k-th found so far: the k nearest are exact. Examples
-with equal vectors share one entry with their class counts. Votes are weighted
-by count and by exp(-distance / ``SCALE``) and shrunk towards the base rate, so
+with equal vectors share one entry with their class counts, scaled to all labels
+of the class. Votes are weighted by count and by exp(-distance / ``SCALE``) and shrunk towards the base rate, so
 the score estimates the chance of label 1; the nearest examples are kept as
 evidence. A document without any selected term is scored by the rate of toxic
 labels among examples without one.
@@ -189,10 +189,10 @@ class Index:
                 self.doc_id[entry[:3]].tolist())
 
 
-def build_index(examples: list[tuple], idf: np.ndarray, clean_weight: float) -> Index:
-    """``examples``: (terms, counts, toxic votes, clean votes, doc_id) of distinct vectors."""
+def build_index(examples: list[tuple], idf: np.ndarray, clean_weight: float, toxic_weight: float = 1.0) -> Index:
+    """``examples``: (terms, counts, toxic votes, clean votes, doc_id) of distinct vectors; weights: labels a vote."""
     filled = sorted((e for e in examples if len(e[0])), key=lambda e: (list(e[0]), list(e[1])))
-    toxic = np.array([e[2] for e in filled], dtype=float)
+    toxic = np.array([e[2] for e in filled], dtype=float) * toxic_weight
     clean = np.array([e[3] for e in filled], dtype=float) * clean_weight
     index = Index(idf, None, None, None, None, toxic, clean, np.array([e[4] for e in filled], dtype=np.int64), 0., 0.)
     rows, cols, weights = [], [], []
@@ -210,7 +210,7 @@ def build_index(examples: list[tuple], idf: np.ndarray, clean_weight: float) ->
     index.start = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
     index.block_max = np.zeros((len(idf), blocks))
     np.maximum.at(index.block_max, (row, index.example // BLOCK), index.weight)
-    t0 = sum(e[2] for e in examples if not len(e[0]))
+    t0 = sum(e[2] for e in examples if not len(e[0])) * toxic_weight
     c0 = sum(e[3] for e in examples if not len(e[0])) * clean_weight
     total = toxic.sum() + clean.sum() + t0 + c0
     index.base = float((toxic.sum() + t0) / total) if total else 0.0
@@ -252,7 +252,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = table(known.where("toxic").orderBy(order, "doc_id").limit(PER_CLASS).unionByName(
         known.where("not toxic").orderBy(order, "doc_id").limit(PER_CLASS)), "toxic-sample")
     sampled = {c: min(totals.get(c, 0), PER_CLASS) for c in (True, False)}
-    clean_weight = totals.get(False, 0) / max(1, sampled[False])
+    toxic_weight, clean_weight = (totals.get(c, 0) / max(1, sampled[c]) for c in (True, False))
 
     # at most 2 * PER_CLASS ids: a broadcast of proven size
     examples = text.join(F.broadcast(sample), "doc_id")
@@ -276,7 +276,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     entries = (vectors.join(F.broadcast(sample), "doc_id").groupBy("term", "tf")
                       .agg(F.sum(F.col("toxic").cast("long")).alias("y"), F.count("*").alias("n"),
                            F.min("doc_id").alias("doc_id")).collect())
-    index = build_index([(e.term, e.tf, e.y, e.n - e.y, e.doc_id) for e in entries], idf, clean_weight)
+    index = build_index([(e.term, e.tf, e.y, e.n - e.y, e.doc_id) for e in entries], idf, clean_weight,
+                        toxic_weight)
     scored = vectors.mapInArrow(functools.partial(_scores, shared=spark.sparkContext.broadcast(index)),
                                 "doc_id long, score double, nearest array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",

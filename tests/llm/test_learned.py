@@ -78,6 +78,24 @@ def test_toxicity_cases(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_scores_do_not_depend_on_the_sample(spark, monkeypatch):
+    """Votes of both classes stand for all labels of the class."""
+    docs = spark.createDataFrame([(i, "calm day" + (" vile" if i % 2 == 0 or i % 16 == 1 else ""), "", "")
+                                  for i in range(600)] + [(1000, "vile", "", ""), (1001, "other", "", "")], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(600)], "doc_id long, toxic int")
+
+    def scores():
+        return {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).where("doc_id >= 1000").collect()}
+    whole = scores()
+    monkeypatch.setattr(toxicity, "PER_CLASS", 60)
+    cut = scores()
+    assert all(abs(whole[i] - cut[i]) < 0.1 for i in whole)
+    examples = [((0,), (1,), 3, 1, 1), ((), (), 2, 1, 2)]
+    index = toxicity.build_index(examples, np.ones(1), 4.0, 4.0)
+    assert index.toxic.tolist() == [12.0] and index.clean.tolist() == [4.0]
+    assert index.base == 5 / 7 and index.empty == (8 + 5 / 7) / 13
+
+
 def test_nearest_are_exact():
     rnd = np.random.default_rng(1)
     examples = []
