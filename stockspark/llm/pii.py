@@ -15,10 +15,12 @@ get equal surrogates in every document (coreference), and of the same type:
 * IPv4: address of the same kind (private ranges stay private);
 * name: a name of the same script and gender after the same title.
 
-Letters stay in their script (Latin, Cyrillic, Greek). Distinct entities keep
+Letters stay in their script (Latin, Cyrillic, Greek, Han; others become Latin). Distinct entities keep
 distinct surrogates: a surrogate that two entities share, that another entity
 already has, or that occurs as an entity itself is drawn again until none is
-left.
+left. Where so many values of a space occur that draws fail (private IPv4
+addresses), the values left are permuted among themselves by the key.
+E-mails and secrets without a letter or digit to replace are left alone.
 
 A text is put together again from the pieces between its entities, so nothing
 else changes. Documents without entities are not shuffled. Only texts with
@@ -35,13 +37,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockspark.llm.common import table
 
 KEY = "surrogates-v1"       # production callers pass their own secret
 MAX_DRAWS = 64
+DENSE_DRAWS = 8             # after them a round that places less than half shows a space too dense to draw from
 
 # ---- fixed values: titles with the gender they show, names by script and gender
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
@@ -100,6 +103,9 @@ def _scramble(text: Column, digest: Column, latin: int = 26) -> Column:
                  .when(c.rlike(r"\p{IsCyrillic}"), _pick(_letters("а", 32), n))
                  .when(c.rlike(r"\p{IsGreek}"), _pick(_letters("α", 17), n))
                  .when(c.rlike(r"\p{IsLatin}"), _pick(_letters("a", latin), n))
+                 .when(c.rlike(r"\p{IsHan}"), _pick(_letters("一", 64), n))
+                 .when(c.rlike(r"\p{L}"), _pick(_letters("a", 26), n))
+                 .when(c.rlike(r"\p{N}"), F.pmod(n, F.lit(10)).cast("string"))
                  .otherwise(c))
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -129,7 +135,10 @@ def _described(rows: DataFrame) -> DataFrame:
              .when(F.col("kind") == "name", F.concat_ws("|", script, gender, name))
              .when(F.col("kind") == "ip", raw).otherwise(F.lower(raw)))
     return (rows.withColumn("kind", kind).withColumn("form", form)
-                .where((F.col("kind") != "card") | (_luhn_sum(digits) % 10 == 0)))
+                .where((F.col("kind") != "card") | (_luhn_sum(digits) % 10 == 0))
+                # nothing to replace in e-mails and secrets of punctuation only
+                .where(~F.col("kind").isin("email", "secret")
+                       | F.regexp_replace(raw, r"(?<=@.{0,256})\.\p{L}+$", "").rlike(r"[\p{L}\p{N}]")))
 
 
 def _surrogate(key: str) -> Column:
@@ -182,11 +191,46 @@ def _surrogate(key: str) -> Column:
              .when(form.rlike("^.[0-9a-f]+.$"), _scramble(form, own, 6)).otherwise(_scramble(form, own)))
 
 
+def _space() -> Column:
+    """What ``form`` shares with all values that may stand in its place."""
+    form, kind = F.col("form"), F.col("kind")
+    shape = form
+    for letters, one in ((r"\p{IsLatin}", "a"), (r"\p{IsCyrillic}", "б"), (r"\p{IsGreek}", "γ"), (r"\p{IsHan}", "一"),
+                         (r"[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsHan}\P{L}]", "x"), (r"\p{N}", "0")):
+        shape = F.regexp_replace(shape, letters, one)
+    ip = F.regexp_extract(form, r"^(10\.|127\.|192\.168\.|172\.(?=(?:1[6-9]|2\d|3[01])\.))", 1)
+    return (F.when(kind == "ip", ip).when(kind == "name", F.concat(F.regexp_extract(form, r"^[^|]*\|[^|]*\|", 0),
+                                                                  form.contains(" ").cast("string")))
+             .when(kind == "email", F.concat(F.split_part(shape, F.lit("@"), F.lit(1)), F.lit("@"),
+                                             F.split_part(form, F.lit("@"), F.lit(2))))
+             .when(kind == "phone", F.concat(F.substr(form, F.lit(1), F.when(form.startswith("+1"), 2).otherwise(3)),
+                                             F.length(form).cast("string")))
+             .when(kind == "card", F.concat(F.substr(form, F.lit(1), F.lit(1)), F.length(form).cast("string")))
+             .otherwise(shape))
+
+
+def _permuted(pending: DataFrame, forms: DataFrame, key: str) -> DataFrame:
+    """Surrogates where a space is too dense to draw from: a keyed rotation of the values left in it.
+
+    No drawn surrogate occurs as an entity, so the values left are free; a
+    value left alone takes another one that occurs in its space.
+    """
+    order = Window.partitionBy("kind", "_space").orderBy(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "form"), 256))
+    left = pending.select("kind", "form", _space().alias("_space"))
+    turned = left.withColumn("_next", F.lead("form").over(order)).withColumn("_first", F.first("form").over(order))
+    ends = forms.select("kind", "form", _space().alias("_space")).groupBy("kind", "_space").agg(
+        F.min("form").alias("_min"), F.max("form").alias("_max"))
+    other = F.when(F.col("_min") != F.col("form"), F.col("_min")).when(F.col("_max") != F.col("form"), F.col("_max"))
+    turn = F.coalesce("_next", F.when(F.col("_first") != F.col("form"), F.col("_first")), other, F.raise_error(
+        F.lit("no distinct surrogates left for a kind of entity")).cast("string"))
+    return turned.join(ends, ["kind", "_space"]).select("kind", "form", turn.alias("surrogate"))
+
+
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, form, surrogate`` for distinct ``found(kind, form)``, all surrogates distinct."""
     forms = table(found.distinct(), "pii-forms")
     pending, done = forms.withColumn("draw", F.lit(0)), None
-    for _ in range(MAX_DRAWS):
+    for draw in range(MAX_DRAWS):
         drawn = pending.withColumn("surrogate", _surrogate(key))
         same = ["kind", "surrogate"]
         winner = drawn.groupBy(*same).agg(F.min("form").alias("form"))
@@ -197,9 +241,12 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
         done = winner if done is None else done.unionByName(winner)
         pending = table(pending.join(winner, ["kind", "form"], "left_anti").withColumn("draw", F.col("draw") + 1),
                         "pii-pending")
-        if not pending.limit(1).count():
+        left = pending.count()
+        if not left:
             return done
-    raise RuntimeError("no distinct surrogates left for a kind of entity")
+        if draw >= DENSE_DRAWS and winner.count() < left:      # less than half found a free value
+            break
+    return done.unionByName(table(_permuted(pending, forms, key), "pii-permuted"))
 
 
 def _written() -> Column:

@@ -74,3 +74,29 @@ def test_keyed_and_native(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
     assert pii.replace_pii(docs.limit(0)).count() == 0
     assert pii.replace_pii(docs.where(F.col("doc_id") == 4)).first().text == "nothing here"
+
+
+def test_entities_that_draws_cannot_replace(spark):
+    """Punctuation-only placeholders stay, other scripts are replaced; no row is lost."""
+    texts = ['password: "----------------" x', "secret = '________________'", "用户@公司.中国 und", "--@-.com",
+             "कमल@घर.कमल", "مرحبا@شركة.مصر", "8.8.8.8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    assert len(by) == len(texts)
+    for i in (0, 1, 3):
+        assert by[i].text == texts[i] and by[i].n_entities == 0
+    for i in (2, 4, 5, 6):
+        assert by[i].text != texts[i] and by[i].n_entities == 1
+    assert re.fullmatch(r"[一-鿿]{2}@[一-鿿]{2}\.中国 und", by[2].text)
+
+
+def test_dense_space_is_permuted(spark, monkeypatch):
+    """More than half of a private range, and all values of another space."""
+    monkeypatch.setattr(pii, "MAX_DRAWS", 2)
+    ips = [f"192.168.{i // 254 + 1}.{i % 254 + 1}" for i in range(60000)]
+    mails = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    found = spark.createDataFrame([("ip", x) for x in ips] + [("email", x) for x in mails], "kind string, form string")
+    got = pii.surrogates(found).collect()
+    assert len(got) == 60026 and len({(r.kind, r.surrogate) for r in got}) == 60026
+    assert all(r.surrogate != r.form for r in got)
+    assert all(re.fullmatch(r"192\.168\.\d+\.\d+" if r.kind == "ip" else r"[a-z]@[a-z]\.org", r.surrogate) for r in got)
