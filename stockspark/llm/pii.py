@@ -1,8 +1,9 @@
 """PII surrogates (operator 6), DataFrame functions only.
 
-Entities are found by one pattern: e-mail addresses, international phone
-numbers, IPv4 addresses, payment cards (Luhn-valid numbers only), US social
-security numbers, quoted secrets after a key word, and names after a title.
+Entities are found by one pattern: e-mail addresses, phone numbers
+(international, or ten digits in the North American form),  IPv4 addresses, payment cards (Luhn-valid numbers only), US social
+security numbers, secrets of 16 or more characters after a key word, quoted or
+not, and names after a title.
 Each distinct entity gets one surrogate from a keyed digest, so equal entities
 get equal surrogates in every document (coreference), and of the same type:
 
@@ -69,9 +70,14 @@ _PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\d-]|\.\d)"
-_SECRET = rf"""["'](?<=(?i:{SECRET_WORDS})["']? ?[=:] ?["'])[A-Za-z0-9_+/=-]{{16,128}}["']"""
+_SECRET = rf"""["'](?<=(?i:{SECRET_WORDS})["']? ?[=:] ?["'])[A-Za-z0-9_+/=.-]{{16,}}+["']"""
+# without quotes; a call or an index is code
+_BARE_SECRET = rf"""(?<=(?i:{SECRET_WORDS})["']? ?[=:] ?)(?=[A-Za-z0-9_+/=.-])(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/=.-]{{16,}}+(?![(\[])"""
+# ten digits without a country code; one number with its +1 form
+_NATIONAL = r"(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})"
+_LOCAL_PHONE = rf"(?<![\p{{L}}\p{{N}}+.-])(?<!\d ){_NATIONAL}(?! ?\d|-\d|\.\d)"
 _NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-PATTERN = "|".join([_EMAIL, _PHONE, _SSN, _IP, _CARD, _SECRET, _NAME])
+PATTERN = "|".join([_EMAIL, _PHONE, _SSN, _IP, _CARD, _LOCAL_PHONE, _SECRET, _BARE_SECRET, _NAME])
 _HINT = rf"[0-9@]|(?:{_TITLE})|(?i:{SECRET_WORDS})"      # no entity without one of these
 
 
@@ -121,16 +127,18 @@ def _described(rows: DataFrame) -> DataFrame:
     """Add kind and canonical form of each ``raw`` entity; drop candidates that are none."""
     raw = F.col("raw")
     digits = F.regexp_replace(raw, "[^0-9]", "")
-    kind = (F.when(raw.contains("@"), "email").when(raw.startswith("+"), "phone")
+    kind = (F.when(raw.contains("@"), "email").when(raw.rlike(rf"^(?:\+[\d ().-]+|{_NATIONAL})$"), "phone")
              .when(raw.rlike("^[\"']"), "secret").when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
              .when(raw.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
-             .when(raw.rlike(r"^[\d -]+$"), "card").otherwise("name"))
+             .when(raw.rlike(r"^[\d -]+$"), "card")
+             .when(raw.rlike(r"^[A-Za-z0-9_+/=.-]{16,}$"), "secret").otherwise("name"))
     title = F.regexp_extract(raw, rf"^({_TITLE})\.? ", 1)
     script = (F.when(raw.rlike(r"\p{IsCyrillic}"), "cyrillic").when(raw.rlike(r"\p{IsGreek}"), "greek")
                .otherwise("latin"))
     gender = F.element_at(F.create_map(*[F.lit(x) for p in TITLES.items() for x in p]), title)
     name = F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", "")
-    form = (F.when(F.col("kind") == "phone", F.concat(F.lit("+"), digits))
+    form = (F.when(F.col("kind") == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise("+1"), digits))
+             .when(F.col("kind") == "secret", F.lower(F.regexp_replace(raw, "[\"']", "")))
              .when(F.col("kind").isin("card", "ssn"), digits)
              .when(F.col("kind") == "name", F.concat_ws("|", script, gender, name))
              .when(F.col("kind") == "ip", raw).otherwise(F.lower(raw)))
@@ -188,7 +196,7 @@ def _surrogate(key: str) -> Column:
     name = reduce(lambda c, x: c.when(*x), named[1:], F.when(*named[0]))
     return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card)
              .when(kind == "ip", ip).when(kind == "name", name)
-             .when(form.rlike("^.[0-9a-f]+.$"), _scramble(form, own, 6)).otherwise(_scramble(form, own)))
+             .when(form.rlike("^[0-9a-f]+$"), _scramble(form, own, 6)).otherwise(_scramble(form, own)))
 
 
 def _space() -> Column:
@@ -252,7 +260,9 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
 def _written() -> Column:
     """The surrogate in the format of ``raw``: punctuation and case kept."""
     raw, surrogate = F.col("raw"), F.col("surrogate")
-    plain = F.split(F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", ""), "")
+    plain = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
+    national = (F.col("kind") == "phone") & ~raw.startswith("+")          # its form has a country code more
+    plain = F.split(F.when(national, F.substr(plain, F.lit(2))).otherwise(plain), "")
 
     def one(c: Column, i: Column) -> Column:
         at = F.length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))

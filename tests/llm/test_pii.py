@@ -100,3 +100,19 @@ def test_dense_space_is_permuted(spark, monkeypatch):
     assert len(got) == 60026 and len({(r.kind, r.surrogate) for r in got}) == 60026
     assert all(r.surrogate != r.form for r in got)
     assert all(re.fullmatch(r"192\.168\.\d+\.\d+" if r.kind == "ip" else r"[a-z]@[a-z]\.org", r.surrogate) for r in got)
+
+
+def test_usual_forms(spark):
+    """Long, dotted and bare secrets, national phone numbers; prose and code stay."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    texts = [f'secret = "{"k3" * 90}"', f'token: "{jwt}"', "password=abcdefgh12345678 next", f"api_key: {jwt}, end",
+             "call (663) 555-6869 now", "call 663-555-6869 now", "+1 663 555 6869", "663.555.6869."]
+    kept = ["token = getAccessTokenFromRequest(x)", "order 1663-555-68690", "password: short1", "id 663-555-6869-12"]
+    docs = spark.createDataFrame(list(enumerate(texts + kept)), "doc_id long, text string")
+    by = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    for i, t in enumerate(texts):
+        assert by[i].n_entities == 1 and by[i].text != t and len(by[i].text) == len(t), t
+        assert re.sub(r"\w", "x", by[i].text) == re.sub(r"\w", "x", t)
+    assert all(by[len(texts) + i].text == t for i, t in enumerate(kept))
+    assert "abcdefgh" not in by[2].text and by[2].text.endswith(" next") and by[3].text.endswith(", end")
+    assert len({re.sub(r"\D", "", by[i].text)[-10:] for i in (4, 5, 6, 7)}) == 1      # one number, four formats
