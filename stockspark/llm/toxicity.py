@@ -2,9 +2,11 @@
 
 Terms are lower-cased words and word beginnings. Labelled examples are a
 bounded sample (``PER_CLASS`` documents a class, smallest id hash first); on it
-the terms that mark toxic documents are selected by a z-score of their
-document frequencies and their lift, at most ``VOCABULARY``. One pass over all texts then
-counts the selected terms of every document; document frequencies for the idf
+the terms that mark toxic documents are those in at least ``MIN_TOXIC`` toxic
+examples whose document frequency there exceeds that in all clean labelled
+documents by a z-score and a lift. All clean labels count, not the sample, so a
+term without clean occurrences needs no more toxic examples where labels are
+many. One pass over all texts then counts the selected terms of every document; document frequencies for the idf
 come from all documents.
 
 The examples form an inverted index in blocks: for each term its weights and
@@ -35,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import held_out, learned, small_batches, table
+from stockspark.llm.common import held_out, id_side, learned, small_batches, table
 from stockspark.llm.flat import U64, RangeHash, lower_ascii, mix64, spans, text_slices
 
 PER_CLASS = 10_000         # labelled examples of each class that are learned from
-VOCABULARY = 4_096         # selected terms
 MIN_Z = 4.0                # of a selected term
 MIN_LIFT = 4.0             # times as frequent in toxic examples as in others
 MIN_TOXIC = 2              # toxic examples that a selected term is in
@@ -88,24 +89,23 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of terms by class, summed over each batch."""
+def _term_counts(batches: Iterator[pa.RecordBatch], among: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of terms (of sorted ones, if given), summed over each batch."""
     for batch in batches:
-        toxic = np.asarray(batch.column("toxic").to_pylist(), dtype=bool)
-        found: list[list[np.ndarray]] = [[], []]
-        for first, _, data, offsets in text_slices(batch.column("text")):
+        found: list[np.ndarray] = []
+        for _, _, data, offsets in text_slices(batch.column("text")):
             doc, term = terms(data, offsets)
-            order = np.argsort(doc, kind="stable")
+            if among is not None:
+                at = np.minimum(np.searchsorted(among, term), len(among) - 1)
+                hit = among[at] == term
+                doc, term = doc[hit], term[hit]
+            order = np.lexsort((term, doc))
             doc, term = doc[order], term[order]
-            cut = np.searchsorted(doc, np.arange(len(offsets)))
-            for i in range(len(offsets) - 1):
-                found[int(toxic[first + i])].append(np.unique(term[cut[i]:cut[i + 1]]))
-        both = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]
-        term, inverse = np.unique(np.concatenate(both), return_inverse=True)
-        count = [np.bincount(inverse[:len(both[0])], minlength=len(term)),
-                 np.bincount(inverse[len(both[0]):], minlength=len(term))]
-        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(count[0]), pa.array(count[1])],
-                                         names=["term", "clean", "toxic"])
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+            found.append(term[new])
+        term, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(count)], names=["term", "n"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -137,15 +137,24 @@ def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Itera
             names=["doc_id", "term", "tf"])
 
 
+def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges, one range after the other, and the range of each."""
+    size = end - first
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (first - np.cumsum(size) + size)[of], of
+
+
 @dataclass
 class Index:
     """Block-max inverted index of example vectors with class counts."""
 
     idf: np.ndarray
-    start: np.ndarray          # where the postings of each (term, block) start; one entry more
     example: np.ndarray        # postings: example number, ascending within a term
     weight: np.ndarray
-    block_max: np.ndarray      # terms x blocks
+    cells: np.ndarray          # where the cells of each term start, a cell being a block that has the term
+    block: np.ndarray          # of each cell
+    block_max: np.ndarray      # of each cell
+    start: np.ndarray          # where the postings of each cell start; one entry more
     toxic: np.ndarray          # votes of each example entry
     clean: np.ndarray
     doc_id: np.ndarray         # one document of each entry
@@ -158,24 +167,29 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact: the NEAREST entries by cosine above 0, ties to the smaller entry."""
-        blocks = self.block_max.shape[1]
-        bound = weight @ self.block_max[term]
+        cell, of = ranges(self.cells[term], self.cells[term + 1])
+        block, share = self.block[cell], weight[of]
+        blocks = int(block.max()) + 1 if len(block) else 0
+        bound = np.bincount(block, weights=share * self.block_max[cell], minlength=blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
+        rank = np.empty(blocks, dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        turn = rank[block]
+        by_turn = np.argsort(turn, kind="stable")
+        cell, share, turn = cell[by_turn], share[by_turn], turn[by_turn]
         best_s, best_e = np.zeros(0), np.zeros(0, dtype=np.int64)
         for n in range(0, len(order), BLOCKS_AT_ONCE):
             if len(best_s) == NEAREST and bound[order[n]] * (1 + 1e-9) < best_s[-1]:
                 break
-            cell = (term[:, None] * blocks + order[n:n + BLOCKS_AT_ONCE]).ravel()
-            first, size = self.start[cell], self.start[cell + 1] - self.start[cell]
-            ends = np.cumsum(size)
-            at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
-            part = np.repeat(np.repeat(weight, len(cell) // len(term)), size)
+            lo, hi = np.searchsorted(turn, [n, n + BLOCKS_AT_ONCE])
+            at, of = ranges(self.start[cell[lo:hi]], self.start[cell[lo:hi] + 1])
+            part = share[lo:hi][of]
             example, number = np.unique(self.example[at], return_inverse=True)
             score = np.bincount(number, weights=part * self.weight[at])
             best_s, best_e = np.concatenate([best_s, score]), np.concatenate([best_e, example])
-            rank = np.lexsort((best_e, -best_s))[:NEAREST]
-            best_s, best_e = best_s[rank], best_e[rank]
+            best = np.lexsort((best_e, -best_s))[:NEAREST]
+            best_s, best_e = best_s[best], best_e[best]
         return best_e, np.minimum(best_s, 1.0)
 
     def score(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
@@ -194,7 +208,8 @@ def build_index(examples: list[tuple], idf: np.ndarray, clean_weight: float, tox
     filled = sorted((e for e in examples if len(e[0])), key=lambda e: (list(e[0]), list(e[1])))
     toxic = np.array([e[2] for e in filled], dtype=float) * toxic_weight
     clean = np.array([e[3] for e in filled], dtype=float) * clean_weight
-    index = Index(idf, None, None, None, None, toxic, clean, np.array([e[4] for e in filled], dtype=np.int64), 0., 0.)
+    index = Index(idf, None, None, None, None, None, None, toxic, clean,
+                  np.array([e[4] for e in filled], dtype=np.int64), 0., 0.)
     rows, cols, weights = [], [], []
     for n, e in enumerate(filled):
         t = np.asarray(e[0], dtype=np.int64)
@@ -207,9 +222,11 @@ def build_index(examples: list[tuple], idf: np.ndarray, clean_weight: float, tox
     row, index.example, index.weight = row[order], col[order], weight[order]
     blocks = len(filled) // BLOCK + 1
     cell = row * blocks + index.example // BLOCK
-    index.start = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
-    index.block_max = np.zeros((len(idf), blocks))
-    np.maximum.at(index.block_max, (row, index.example // BLOCK), index.weight)
+    cell, first = np.unique(cell, return_index=True)
+    index.start = np.append(first, len(row))
+    index.block = cell % blocks
+    index.block_max = np.maximum.reduceat(index.weight, first) if len(first) else np.zeros(0)
+    index.cells = np.searchsorted(cell // blocks, np.arange(len(idf) + 1))
     t0 = sum(e[2] for e in examples if not len(e[0])) * toxic_weight
     c0 = sum(e[3] for e in examples if not len(e[0])) * clean_weight
     total = toxic.sum() + clean.sum() + t0 + c0
@@ -256,16 +273,22 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     # at most 2 * PER_CLASS ids: a broadcast of proven size
     examples = text.join(F.broadcast(sample), "doc_id")
-    counted = (examples.select("text", "toxic").mapInArrow(_term_counts, "term long, clean long, toxic long")
-                       .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-                       .where(F.col("toxic") >= MIN_TOXIC))
-    n1, n0 = float(max(1, sampled[True])), float(max(1, sampled[False]))
-    p1, p0 = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("clean") + 0.5) / (n0 + 1)
-    rate = (F.col("toxic") + F.col("clean") + 1) / (n1 + n0 + 2)
-    z = (p1 - p0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
-    chosen = (counted.withColumn("z", z).where((F.col("z") >= MIN_Z) & (p1 >= MIN_LIFT * p0))
-                     .orderBy(F.desc("z"), "term").limit(VOCABULARY).select("term").collect())
-    vocabulary = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
+    marked = (examples.where("toxic").select("text").mapInArrow(_term_counts, "term long, n long")
+                      .groupBy("term").agg(F.sum("n").alias("toxic")).where(F.col("toxic") >= MIN_TOXIC))
+    marked = table(marked, "toxic-terms")
+    among = np.sort(np.array([r.term for r in marked.select("term").collect()], dtype=np.int64).view(np.uint64))
+    vocabulary = among
+    if len(among):
+        clean = text.join(id_side(table(known.where("not toxic").select("doc_id"), "clean-labels")), "doc_id")
+        clean = (clean.select("text").mapInArrow(functools.partial(_term_counts, among=among), "term long, n long")
+                      .groupBy("term").agg(F.sum("n").alias("clean")))
+        counted = marked.join(clean, "term", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
+        n1, n0 = float(max(1, sampled[True])), float(max(1, totals.get(False, 0)))
+        p1, p0 = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("clean") + 0.5) / (n0 + 1)
+        rate = (F.col("toxic") + F.col("clean") + 1) / (n1 + n0 + 2)
+        z = (p1 - p0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
+        chosen = counted.where((z >= MIN_Z) & (p1 >= MIN_LIFT * p0)).select("term").collect()
+        vocabulary = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
 
     vectors = table(text.mapInArrow(functools.partial(_vectors, vocabulary=vocabulary),
                                     "doc_id long, term array<int>, tf array<int>"), "toxic-vectors")

@@ -1,6 +1,7 @@
 """Language and toxicity: held-out quality, exact neighbours, defined cases."""
 
 import random
+import zlib
 
 import numpy as np
 
@@ -115,3 +116,16 @@ def test_nearest_are_exact():
         _, cosine = index.nearest(t, w)
         want = np.sort(dense @ q)[::-1][:toxicity.NEAREST]
         assert np.allclose(cosine, want[:len(cosine)]) and (len(cosine) == toxicity.NEAREST or want[len(cosine)] == 0)
+
+
+def test_terms_of_few_toxic_examples_are_found(spark, monkeypatch):
+    """A term of a few toxic examples marks its documents also when equally many clean ones are sampled."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 160)
+    words = [f"{a}{b}vile" for a in "abcde" for b in "abcdefgh"]
+    rows = [(i, f"calm day {i % 7}" + (f" {words[i // 20 % 40]}" if i % 20 == 0 else ""), "", "") for i in range(3200)]
+    docs = spark.createDataFrame(rows + [(10_000 + k, w, "", "") for k, w in enumerate(words)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(3200)], "doc_id long, toxic int")
+    few = toxicity.toxicity(docs, labels).where("doc_id >= 10000").collect()
+    seen = [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0, 3200, 20) if i // 20 % 40 == k) for k in range(40)]
+    assert len(few) == 40 and sum(n >= 2 for n in seen) >= 20
+    assert all(r.predicted and r.nearest for r in few if seen[r.doc_id - 10_000] >= 2)
