@@ -10,10 +10,12 @@ with two different one-character texts. The loss mask is the text of assistant
 turns.
 
 Rows are sorted by conversation and turn and streamed. Prefixes are rendered
-whole for the first ``WHOLE`` turns of a conversation; later turns are rendered
+whole, so rewriting is seen at any length. Of a template that the caller
+declares local (a turn's addition depends on a few turns before it at most, as
+in the built-in one) only the first ``WHOLE`` turns are; later turns are rendered
 behind the ``CONTEXT`` turns before them, after checking on each such turn that
 one turn less of context gives the same addition, and an error is raised if it
-does not. So a conversation of any length needs the memory of a few turns.
+does not. So such a conversation of any length needs the memory of a few turns.
 
 The built-in template marks turns with control strings. Control strings inside
 texts and roles are broken up with a backslash behind their first character and
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -98,24 +101,25 @@ def locate(render: Template, before: Turns, turn: tuple[str, str], rendered: str
 class Conversation:
     """Renders one conversation turn by turn."""
 
-    def __init__(self, render: Template):
+    def __init__(self, render: Template, local: bool = True):
+        self._whole = WHOLE if local else math.inf
         self._render, self._turns, self._output, self._length, self.position = render, [], None, 0, 0
 
     def add(self, role: str, text: str) -> tuple[int, str, int, int, int, bool, bool]:
         """``position, piece, start, text start, text end, loss, rewrites``, in characters."""
         turn, position = (role, text), self.position
-        known = self._output if position < WHOLE else None
+        known = self._output if position < self._whole else None
         if known is None:
             known = self._render(self._turns)
         output, start, text_start, text_end, rewrites = locate(self._render, self._turns, turn, known)
-        if position >= WHOLE:
+        if position >= self._whole:
             shorter = self._turns[1:]
             if self._render([*shorter, turn])[len(self._render(shorter)):] != output[len(known):]:
                 raise ValueError("the template looks further back than the rendered context")
-        shift = self._length - len(known) if position >= WHOLE else 0
+        shift = self._length - len(known) if position >= self._whole else 0
         self._turns.append(turn)
         self.position += 1
-        if self.position >= WHOLE:
+        if self.position >= self._whole:
             self._turns, self._output = self._turns[-CONTEXT:], None
         else:
             self._output = output
@@ -124,7 +128,7 @@ class Conversation:
                 role == LOSS_ROLE, rewrites)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], render: Template) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], render: Template, local: bool) -> Iterator[pa.RecordBatch]:
     now, conversation = None, None
     names = [c.split()[0] for c in PIECES.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
@@ -132,7 +136,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], render: Template) -> Iterator[pa.
         rows = []
         for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
             if conversation is None or conv != now:
-                now, conversation = conv, Conversation(render)
+                now, conversation = conv, Conversation(render, local)
             rows.append((conv, *conversation.add(role or "", text or "")))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names) \
             if rows else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=names)
@@ -172,16 +176,19 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(closed(state), kinds)], names=names)
 
 
-def format_conversations(conversations: DataFrame, render: Template = marked) -> DataFrame:
+def format_conversations(conversations: DataFrame, render: Template = marked, local: bool | None = None) -> DataFrame:
     """One row a turn, in order: the piece it adds to the output, and where it, its text and the loss lie.
 
-    Positions count characters of the conversation's whole output.
+    Positions count characters of the conversation's whole output. ``local``: what
+    a turn adds depends on a few turns before it at most; only the built-in
+    template is taken for such unless the caller says so.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn",
                                  F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions(
         "conv_id", F.col("turn").asc_nulls_last(), "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(functools.partial(_pieces, render=render), PIECES)
+    return ordered.select("conv_id", "role", "text").mapInArrow(functools.partial(
+        _pieces, render=render, local=render is marked if local is None else local), PIECES)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

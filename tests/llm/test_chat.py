@@ -87,3 +87,17 @@ def test_far_sighted_template_is_refused():
     with pytest.raises(ValueError):
         for i in range(chat.WHOLE + 2):
             c.add("user", "x")
+
+
+def test_late_rewriting_is_seen(spark):
+    """A template that drops turns older than 60 rewrites its output from turn 60 on."""
+    def window(turns):
+        return "".join(f"<{r}>{t}\n" for r, t in turns[-60:])
+    turns = [("user", f"text {i}") for i in range(80)]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    rows = sorted(chat.format_conversations(df, window).collect(), key=lambda r: r.position)
+    whole = ""
+    for r in rows:
+        whole = whole[:r.start] + r.piece
+        assert whole == window(turns[:r.position + 1]) and r.rewrites == (r.position >= 60)
+        assert whole[r.text_start:r.text_end] == turns[r.position][1]
