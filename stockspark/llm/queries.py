@@ -120,3 +120,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged records of a replica of the archive of all pages."""
     records = warc.archive(read(spark, sf_dir, "pages"))
     return warc.audit(records, warc.damaged(records))
+
+
+# ----------------------------------------------------------------- operator 13
+@register("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the distribution of the benchmark texts."""
+    from stockspark.llm.importance import importance
+    return importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
