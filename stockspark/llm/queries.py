@@ -128,3 +128,13 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the distribution of the benchmark texts."""
     from stockspark.llm.importance import importance
     return importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+# ----------------------------------------------------------------- operator 12
+from stockspark.llm import negatives  # noqa: E402
+
+
+@register("op12_hard_negatives", negatives.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    return negatives.hard_negatives(negatives.relabelled(read(spark, sf_dir, "embeddings")))
