@@ -138,3 +138,11 @@ from stockspark.llm import negatives  # noqa: E402
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth vector."""
     return negatives.hard_negatives(negatives.relabelled(read(spark, sf_dir, "embeddings")))
+
+
+# ----------------------------------------------------------------- operator 11
+@register("op11_html_extraction")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the winning paths of its host."""
+    from stockspark.llm.extract import extract
+    return extract(read(spark, sf_dir, "pages"))
