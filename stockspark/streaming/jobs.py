@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockspark.operators.velocity import snapshot_build
-from stockspark.sources.ingest import decoded, ingest_lines, with_line_order
+from stockspark.sources.ingest import ingest_files
 
 
 def raw_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark_ = batch.sparkSession
         # a file without a required column is left out of its batch, it does not stop the stream
-        mapped = ingest_lines(with_line_order(decoded(batch)), on_missing="drop").withColumn(
+        mapped = ingest_files(batch).rows.drop("received_text").withColumn(
             "import_id", F.sha1(F.col("file"))).withColumn("batch_id", F.lit(batch_id))
         mapped = mapped.checkpoint(eager=True) if spark_.sparkContext.getCheckpointDir() else mapped
         mapped.drop("_ord").write.mode("overwrite").option(

@@ -27,7 +27,7 @@ def test_missing_required_column_raises(spark):
     d = tempfile.mkdtemp(prefix="ingest-", dir="/tmp")
     with open(os.path.join(d, "a.csv"), "w") as f:
         f.write("Title line\nBrand,Product Name,METRC Code,Room\nB,P,1A4000000000000000000001,Vault\n")
-    with pytest.raises(Exception, match="Missing required column"):
+    with pytest.raises(ValueError, match="Missing required column"):
         ig.ingest_raw(spark, d).collect()
 
 
@@ -42,6 +42,66 @@ def test_header_after_title_lines(spark):
         [("P 1", "1A4000000000000000000001", "Vault", 3)]
 
 
+def test_splits_and_broadcast_do_not_matter(spark, tmp_path):
+    """The same rows, line numbers included, whatever the split size and the joins; a file of many splits."""
+    head = "Report, of the store\n\nType,Brand,Product Name,METRC Code,Room,Qty\n"
+    for f in range(3):
+        (tmp_path / f"f{f}.csv").write_text(head + "".join(
+            f'Flower,B{i % 7},"P {i}{chr(10) + "second line" if f == 1 and i % 50 == 0 else ""}",'
+            f"1A400000000000000{f}{i:06d},Vault,{i}\n" for i in range(4000)))
+    want = None
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold",
+                                             "spark.sql.shuffle.partitions")}
+    try:
+        for size, limit, parts in (("64k", "-1", "16"), ("128m", "10m", "4"), ("7k", "10m", "4")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            lines = sorted((r.file, r._ord, r.value) for r in ig.read_lines(spark, str(tmp_path)).collect())
+            rows = sorted((r.file, r._ord, r.product_name, r.qty_on_hand) for r in ig.ingest_raw(spark, str(tmp_path)).collect())
+            want = want or (lines, rows)
+            assert (lines, rows) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 12000 and [x[1] for x in lines if x[0].endswith("f0.csv")] == list(range(4003))
+    assert sorted(x[1] for x in rows if x[0].endswith("f2.csv")) == list(range(3, 4003))
+
+
+def test_files_that_cannot_be_mapped_are_named(spark, tmp_path):
+    good = "\ufeffType,Brand,Product Name,METRC Code,Room,Qty\nF,B,P,1A4000000000000000000001,Vault,2\n"
+    (tmp_path / "a.csv").write_text(good, encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Brand,Product Name,METRC Code\nB,P,1A4000000000000000000001\n")
+    (tmp_path / "c.csv").write_text("just one line")
+    got = ig.ingest_files(ig.scan_text(spark, str(tmp_path)))
+    assert [(r.type, r.qty_on_hand, r._ord) for r in got.rows.collect()] == [("F", 2, 1)]
+    assert {r.file[-5:]: r.reason for r in got.rejected.collect()} == {
+        "b.csv": "Missing required column(s) after mapping: type, room, qty_on_hand",
+        "c.csv": "Missing required column(s) after mapping: type, brand, product_name, package_barcode, room, qty_on_hand"}
+
+
+def test_overrides_of_one_file(spark, tmp_path):
+    body = "Kind,Maker,Label,Code,Place,N,When\nF,B,P,,Vault,2,1/2/2024\n,,,,,9,\n"
+    for f in "abcdef":
+        (tmp_path / f"{f}.csv").write_text(body)
+    path = {r.file[-5]: r.file for r in ig.scan_text(spark, str(tmp_path)).select("file").distinct().collect()}
+    full = {"type": "Kind", "brand": " maker ", "product_name": "LABEL", "package_barcode": "Code", "room": "Place",
+            "qty_on_hand": "N", "received_date": "When", "size": None}
+    maps = {"a": full, "b": {**full, "room": ""}, "c": {**full, "size": "Code"}, "d": {**full, "colour": "When"},
+            "e": {**full, "brand": "Nowhere"}, "none.csv": full}
+    rows = [(path.get(f, f), t, s) for f, m in maps.items() for t, s in m.items()]
+    over = spark.createDataFrame(rows, "file string, target string, source string")
+    got = ig.ingest_files(ig.scan_text(spark, str(tmp_path)), over)
+    # the summary line stays and the date stays text on this path
+    assert sorted((r.file[-5:], r.brand or "", r.qty_on_hand, r.received_date, r.received_text)
+                  for r in got.rows.collect()) == [("a.csv", "", 9, None, None), ("a.csv", "B", 2, None, "1/2/2024")]
+    reasons = {r.file[-5:]: r.reason for r in got.rejected.collect()}
+    assert reasons.pop("f.csv").startswith("Missing required")
+    assert reasons == {"b.csv": "no source for: room", "c.csv": "source column used for more than one target: code",
+                       "d.csv": "source column used for more than one target: when; unknown target: colour",
+                       "e.csv": "no such column: nowhere"}
+
+
 def test_stream_velocity_equals_batch(spark):
     from __spark_entry__ import queries
     from stockspark.operators import velocity as vl
@@ -82,9 +142,10 @@ def test_quote_states_across_blocks(spark):
         text = "".join(rnd.choices(['"', '"', ",", "\n", "a", "b", '""'], k=120)) + '\nend,"x"\n,,'
         got = []
         for size in (3, 1000):
-            rows = [(v, "f.csv", i // size, (i // size, i)) for i, v in enumerate(text.split("\n"))]
-            df = spark.createDataFrame(rows, "value string, file string, _block long, _ord struct<_block long, _mid long>")
-            got.append([r.value for r in ig.stitched(df).orderBy("_ord").collect()])
+            rows = [(v, "f.csv", i // size, i, ",") for i, v in enumerate(text.split("\n"))]
+            df = spark.createDataFrame(rows, "value string, file string, _block long, _ord long, delim string")
+            found = ig.stitched(df)
+            got.append([r.value for r in (df if found is None else found[1]).orderBy("_ord").collect()])
         want, left = [], text.split("\n")
         for n in range(len(left)):
             if not left:

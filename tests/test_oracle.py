@@ -14,7 +14,7 @@ from .test_plans import FORBIDDEN
 TABLES = ["lineitem", "part", "supplier", "events", "orders"]
 SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
                  "date": "DATE", "timestamp": "TIMESTAMP", "boolean": "BOOLEAN"}
-SLOW = {"ingest_raw", "stream_ingest", "stream_snapshots", "scan_text", "header_row", "column_map"}
+SLOW = {"ingest_raw", "stream_ingest", "stream_snapshots"}
 
 
 def _norm(v):
@@ -64,6 +64,5 @@ def test_entry_smoke(spark):
     assert "package_barcode" in df.columns
 
 
-def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only <= {"scan_text", "header_row", "column_map"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
