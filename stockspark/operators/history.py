@@ -78,20 +78,29 @@ def snapshot_order(history: DataFrame, snap: str = SNAP, keys: Sequence[str] = (
     return snaps.withColumn("snap_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(snap)))
 
 
+def last_rooms(history: DataFrame, by: Sequence[str], aliases: dict | None = None) -> DataFrame:
+    """``*by, barcode, room``: each barcode's last room per snapshot, aliased and lower-cased."""
+    return history.groupBy(*by, "barcode").agg(
+        F.lower(alias_room(F.max_by("room", "entry_idx"), aliases)).alias("room"))
+
+
+def arrived(prev_room: str, room: str, floor_rooms: Sequence[str] = FLOOR_SET) -> Column:
+    """Off the floor before, on it now."""
+    floor = [r.strip().lower() for r in floor_rooms]
+    return F.col(prev_room).isNotNull() & ~F.col(prev_room).isin(floor) & F.col(room).isin(floor)
+
+
 def floor_arrivals(history: DataFrame, floor_rooms: Sequence[str] = FLOOR_SET,
                    aliases: dict | None = None, snap: str = SNAP, keys: Sequence[str] = ()) -> DataFrame:
     """Per snapshot, barcodes whose room was off the floor in the
     previous snapshot and is on it now (rooms aliased, lower-cased; last
     entry per barcode wins). ``snap`` identifies a snapshot within ``keys``."""
-    floor = [r.strip().lower() for r in floor_rooms]
-    last = history.groupBy(*keys, "barcode", snap).agg(
-        F.lower(alias_room(F.max_by("room", "entry_idx"), aliases)).alias("room"))
+    last = last_rooms(history, (*keys, snap), aliases)
     last = last.join(snapshot_order(history, snap, keys), [*keys, snap])
     prev = last.select(*keys, "barcode", (F.col("snap_pos") + 1).alias("snap_pos"),
                        F.col("room").alias("prev_room"))
     j = last.join(prev, [*keys, "barcode", "snap_pos"], "left")
-    arrived = F.col("prev_room").isNotNull() & ~F.col("prev_room").isin(floor) & F.col("room").isin(floor)
-    return j.groupBy(*keys, snap).agg(F.count_if(arrived).alias("floor_arrivals"))
+    return j.groupBy(*keys, snap).agg(F.count_if(arrived("prev_room", "room", floor_rooms)).alias("floor_arrivals"))
 
 
 SUMMARY = ["total_rows", "mapped_rows", "move_up_count", "unique_brands", "unique_types", "unique_rooms",
@@ -129,18 +138,23 @@ DIAGNOSTICS = ["total_loaded", "after_dropna", "after_brand", "after_type", "can
 
 
 def import_log(raw: DataFrame, candidate_rooms: Sequence[str], order: Column, aliases: dict | None = None,
-               floor_rooms: Sequence[str] = FLOOR_SET) -> DataFrame:
+               floor_rooms: Sequence[str] = FLOOR_SET, arrivals: bool = True) -> DataFrame:
     """M5: one log row per import of ``raw`` (inventory rows with the ``IMPORT``
     columns): summary, move-up diagnostics, and barcodes that came to the floor
-    since the store's import before."""
+    since the store's import before (0 without ``arrivals``, for imports whose
+    earlier ones are stored elsewhere)."""
     inv = drop_incomplete(raw)
     summary = import_summary(inv, move_up(raw, candidate_rooms, aliases, keys=IMPORT), raw, IMPORT)
     diag = move_up_diag(raw, candidate_rooms, aliases, keys=IMPORT).select(
         *IMPORT, F.create_map(*[x for c in DIAGNOSTICS for x in (F.lit(c), F.col(c))]).alias("diag"))
-    entries = snapshot_build(inv.withColumn("entry_idx", order), keep=(*IMPORT, "entry_idx"))
-    arrived = floor_arrivals(entries, floor_rooms, aliases, "import_ts", ["store"])
     zero = F.lit(0).cast("long")
-    return (summary.join(diag, IMPORT, "left").join(arrived, ["store", "import_ts"], "left").select(
+    log = summary.join(diag, IMPORT, "left")
+    if arrivals:
+        entries = snapshot_build(inv.withColumn("entry_idx", order), keep=(*IMPORT, "entry_idx"))
+        log = log.join(floor_arrivals(entries, floor_rooms, aliases, "import_ts", ["store"]), ["store", "import_ts"], "left")
+    else:
+        log = log.withColumn("floor_arrivals", zero)
+    return (log.select(
         F.col("import_ts").alias("timestamp"), "store", "import_id",
         F.concat("import_id", F.lit(".csv")).alias("file_name"), *SUMMARY, "diag",
         F.coalesce("floor_arrivals", zero).alias("floor_move_ups")))

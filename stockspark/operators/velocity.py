@@ -107,7 +107,14 @@ def barcode_history(history: DataFrame, segment_rows: int = SEGMENT_ROWS, snap:
     last qty, unchanged-qty streak (W4), first snapshot. Windows here run
     over the segment summaries of one barcode (bounded by snapshots x
     blocks), never over its raw entries."""
-    s = snapshot_summaries(history, segment_rows, snap, keys)
+    return merge_summaries(snapshot_summaries(history, segment_rows, snap, keys), snap, keys)
+
+
+def merge_summaries(s: DataFrame, snap: str = SNAP, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Step 2 over summaries, those just made or those kept in storage import by import.
+
+    A summary says all that later ones need of its entries (first and last room and qty, changes, trailing run), so
+    velocity after a new import reads that import and the summaries, not the history."""
     w = Window.partitionBy(*keys, "barcode").orderBy("_seg")
     wall = Window.partitionBy(*keys, "barcode")
     s = (s.withColumn("_prev_last_room", F.lag("last_room_s").over(w))
@@ -150,7 +157,7 @@ LAST_ENTRY = ["room", "last_qty", "last_seen"]
 
 def velocity_metrics(current: DataFrame, history: DataFrame, as_of, slow_threshold: int =
                      VELOCITY_SLOW_THRESHOLD, order: str = "entry_idx", snap: str = SNAP,
-                     keys: tuple[str, ...] = (), last_entry: bool = False) -> DataFrame:
+                     keys: tuple[str, ...] = (), last_entry: bool = False, summarised: bool = False) -> DataFrame:
     """Per barcode room_changes, qty_delta, sell_rate, stock_age_days,
     qty_unchanged_streak, velocity_score, velocity_label.
 
@@ -158,11 +165,12 @@ def velocity_metrics(current: DataFrame, history: DataFrame, as_of, slow_thresho
     per barcode supplies the current qty); ``received_date`` is optional. With
     ``keys`` (``("store",)``) every group has its own history and its own span
     of days. ``last_entry`` adds room, qty and snapshot of the last entry.
+    ``summarised``: ``history`` holds the rows of ``snapshot_summaries`` instead of entries.
     """
     if "received_date" not in current.columns:
         current = current.withColumn("received_date", F.lit(None).cast("date"))
     cur = _first_per_barcode(current.select(*keys, "barcode", "qty", "received_date", order), order, keys)
-    hist = barcode_history(history, snap=snap, keys=keys)
+    hist = merge_summaries(history, snap, keys) if summarised else barcode_history(history, snap=snap, keys=keys)
     j = cur.withColumn("_in_cur", F.lit(True)).join(hist, [*keys, "barcode"], "full_outer")
     if keys:
         j = j.join(history.groupBy(*keys).agg(_elapsed_days(snap).alias("_days")), list(keys), "left")

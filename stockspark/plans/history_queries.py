@@ -154,14 +154,18 @@ def _log(spark, sf_dir):
     return hs.import_log(fx.import_inventory(spark, sf_dir), CANDIDATE_ROOMS, fx.ord_key(), fx.ROOM_ALIASES)
 
 
-def _flat_log(log):
+IMPORT_LOG_SQL = _isql("select * from log")
+
+
+def import_log_columns(log):
+    """The log with the two counts of its diagnostics as columns."""
     return log.select("*", F.col("diag")["candidate_pool"].alias("candidate_pool"),
                       F.col("diag")["removed_as_on_sf"].alias("removed_as_on_sf")).drop("diag")
 
 
-@register("import_timeline", _isql("select * from log"))
+@register("import_timeline", IMPORT_LOG_SQL)
 def q_import_timeline(spark, sf_dir):
-    return _flat_log(_log(spark, sf_dir)).orderBy("timestamp", "store")
+    return import_log_columns(_log(spark, sf_dir)).orderBy("timestamp", "store")
 
 
 _TRENDS = " union all ".join(
@@ -227,7 +231,7 @@ def q_import_log(spark, sf_dir):
     log = _log(spark, sf_dir)
     for _ in range(2):
         hio.append_import_log(log, path)
-    return _flat_log(hio.read_import_log(spark, path, "import_id")).drop("timestamp")
+    return import_log_columns(hio.read_import_log(spark, path, "import_id")).drop("timestamp")
 
 
 @register("retention_default", _isql("""

@@ -2,121 +2,291 @@
 
 T1 ``stream_ingest``: a file stream over a folder of raw exports; every new
    file is taken exactly once (the checkpoint records processed files) and
-   mapped with the batch ingest inside ``foreachBatch``.
-T2 ``stream_snapshots``: each micro-batch's imports append their snapshot
-   entries and import-log rows; the Parquet target is partitioned by import
-   and written with dynamic partition overwrite, so a replayed batch
-   replaces its own rows instead of adding a second copy.
-T3 ``stream_velocity``: running per-barcode velocity state (entries, first
-   qty, last room / qty, room changes, trailing unchanged run) with
-   ``applyInPandasWithState``. Entries of one key inside a batch are folded
-   in (snapshot, entry) order; entries older than the newest snapshot already
-   folded are late: they are counted, not folded (the batch recompute over
-   the stored history is the source of truth for them).
+   mapped with the batch ingest inside ``foreachBatch``. Files that cannot be
+   mapped are named with the reason in a side table.
+T2 the same batch appends the snapshot entries of its imports and one log row
+   an import, with floor arrivals against the stored rooms of the store's
+   import before. Every target is partitioned by import and written with
+   dynamic partition overwrite, so a replayed batch replaces its own rows
+   instead of adding a second copy. An import that arrives late also renews
+   the arrivals in the log row of the import after it.
+T3 ``stream_summaries`` reduces new snapshot entries to mergeable summaries, and
+   ``stream_velocity`` folds those into running state per barcode
+   (``transformWithStateInPandas`` on RocksDB): entries, first qty, last room
+   and qty, room changes, trailing unchanged run. A hot barcode reaches the
+   state as a few summaries a batch, each of at most ``SEGMENT_ROWS`` entries.
+   Event-time timers remove barcodes not seen for ``expire_days``. Entries that
+   are not newer than what their group already has are late: they go to a
+   side table, and ``running_state`` recomputes the barcodes they touch, and
+   only those, from the stored history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from stockspark.operators.velocity import snapshot_build
+from stockspark.operators import history as hs
+from stockspark.operators.velocity import barcode_history, snapshot_build, snapshot_summaries
+from stockspark.session import scratch_path
 from stockspark.sources.ingest import ingest_files
 
 
+def _stored(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """A Parquet table, empty as long as nothing has been written to it."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _replace(df: DataFrame, path: str, by: str) -> None:
+    """Write ``df`` so that partitions it has replace those of an earlier run."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def _once(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def raw_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """T1 source: lines of new files under ``path`` with file and offset."""
     r = spark.readStream.format("text").option("recursiveFileLookup", True)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.load(path).select("value", F.col("_metadata.file_path").alias("file"),
-                               F.col("_metadata.file_block_start").alias("_block"))
+                               F.col("_metadata.file_block_start").alias("_block"),
+                               F.col("_metadata.file_modification_time").alias("_modified"))
+
+
+def file_import(file: Column, modified: Column) -> dict[str, Column]:
+    """What identifies a file's import if nothing else does: its path, and when it was written."""
+    return {"import_id": F.sha1(file.cast("binary")), "import_ts": modified}
+
+
+# stored as partitioned tables: the partition column comes last
+LOG_SCHEMA = ("timestamp timestamp, store string, file_name string, "
+              + ", ".join(f"{c} long" for c in hs.SUMMARY) + ", diag map<string,bigint>, floor_move_ups long, import_id string")
+ENTRY_SCHEMA = ("store string, import_ts timestamp, entry_idx long, complete boolean, barcode string, room string, "
+                "qty int, received_date date, import_id string")
+
+
+def log_imports(rows: DataFrame, snapshots: str, log: str, candidate_rooms: Sequence[str], aliases: dict | None = None,
+                floor_rooms: Sequence[str] = hs.FLOOR_SET) -> None:
+    """Log rows of the imports in ``rows`` (inventory with ``store, import_id, import_ts, _ord``).
+
+    Their snapshot entries are already in ``snapshots``. Floor arrivals compare an import with the stored rooms of the
+    store's import before it; the row of an import that follows one of ``rows`` is written again. Only the
+    partitions of these imports and of those before them are read.
+    """
+    spark = rows.sparkSession
+    key = ["store", "import_id"]
+    new = _once(hs.import_log(rows, candidate_rooms, F.col("_ord"), aliases, floor_rooms, arrivals=False), "log-new")
+    old = _stored(spark, log, LOG_SCHEMA).join(new.select("import_id"), "import_id", "left_anti")
+    known = new.select(*key, "timestamp", F.lit(True).alias("is_new")).unionByName(
+        old.select(*key, "timestamp", F.lit(False).alias("is_new")))
+    before = Window.partitionBy("store").orderBy("timestamp", "import_id")         # one row an import
+    pairs = known.select("*", F.lag("import_id").over(before).alias("previous"),
+                         F.lag("is_new").over(before).alias("after_new"))
+    pairs = _once(pairs.where("is_new or after_new").select(*key, "previous"), "log-pairs")
+    wanted = pairs.select("import_id").union(pairs.select("previous")).where("import_id is not null").distinct()
+    entries = _stored(spark, snapshots, ENTRY_SCHEMA).where("complete").join(wanted, "import_id", "left_semi")
+    rooms = hs.last_rooms(entries, key, aliases)
+    then = rooms.select("store", F.col("import_id").alias("previous"), "barcode", F.col("room").alias("prev_room"))
+    met = rooms.join(pairs, key).join(then, ["store", "previous", "barcode"]).where(
+        hs.arrived("prev_room", "room", floor_rooms))
+    counts = met.groupBy(*key).agg(F.count(F.lit(1)).alias("_arrived"))
+    # an import's rows share a partition: those of other stores in it are written again too
+    again = old.join(pairs.select("import_id"), "import_id", "left_semi").join(counts, key, "left").join(
+        pairs.select(*key, F.lit(True).alias("_touched")), key, "left").withColumn(
+        "floor_move_ups", F.when(F.col("_touched"), F.coalesce("_arrived", F.lit(0).cast("long"))).otherwise(
+            F.col("floor_move_ups")))
+    out = new.join(counts, key, "left").withColumn("floor_move_ups", F.coalesce("_arrived", F.lit(0).cast("long")))
+    # written apart first: the log is read while its partitions are worked out
+    _replace(_once(out.select(*new.columns).unionByName(again.select(*new.columns)), "log-out"), log, "import_id")
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str,
                   available_now: bool = True, snapshots_target: str | None = None,
-                  processing_time: str = "5 seconds"):
-    """T1 (+T2 when ``snapshots_target`` is given): ingest every new export."""
+                  processing_time: str = "5 seconds", log_target: str | None = None,
+                  rejected_target: str | None = None, candidate_rooms: Sequence[str] = (),
+                  aliases: dict | None = None, max_files: int | None = None,
+                  identify: Callable[[Column, Column], dict[str, Column]] = file_import):
+    """T1 (+T2 when the other targets are given): ingest every new export.
+
+    ``identify(file, modified)`` gives ``import_id`` and ``import_ts`` of a file, and
+    ``store`` if the files do not name one per row. A file that cannot be mapped does not stop the stream:
+    it is left out and named in ``rejected_target``.
+    """
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        spark_ = batch.sparkSession
-        # a file without a required column is left out of its batch, it does not stop the stream
-        mapped = ingest_files(batch).rows.drop("received_text").withColumn(
-            "import_id", F.sha1(F.col("file"))).withColumn("batch_id", F.lit(batch_id))
-        mapped = mapped.checkpoint(eager=True) if spark_.sparkContext.getCheckpointDir() else mapped
-        mapped.drop("_ord").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("import_id").parquet(target)
-        if snapshots_target:
-            snap = snapshot_build(mapped, keep=("import_id",))
-            snap.select("import_id", "barcode", "room", "qty", "received_date").write.mode(
-                "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import_id").parquet(snapshots_target)
-
-    w = (raw_line_stream(spark, source).writeStream.foreachBatch(per_batch)
+        found = ingest_files(batch.select("value", "file", "_block"))
+        if rejected_target:
+            _replace(found.rejected.withColumn("import_id", F.sha1(F.col("file").cast("binary"))), rejected_target, "import_id")
+        times = batch.groupBy("file").agg(F.max("_modified").alias("_modified"))
+        named = times.select("file", *[c.alias(n) for n, c in identify(F.col("file"), F.col("_modified")).items()])
+        rows = found.rows.drop("received_text")
+        if "store" in named.columns:
+            rows = rows.drop("store")
+        mapped = _once(rows.join(named, "file").withColumn("batch_id", F.lit(batch_id)), "stream-mapped")
+        _replace(mapped.drop("_ord", "import_ts"), target, "import_id")
+        if not snapshots_target:
+            return
+        mapped = mapped.withColumn("store", F.coalesce("store", F.lit("")))
+        required = [F.col(c).isNotNull() for c in ("product_name", "brand", "package_barcode", "room")]
+        entries = snapshot_build(
+            mapped.withColumn("entry_idx", F.col("_ord")).withColumn("complete", reduce(Column.__and__, required)),
+            keep=("store", "import_id", "import_ts", "entry_idx", "complete"))
+        _replace(entries, snapshots_target, "import_id")
+        if log_target:
+            log_imports(mapped, snapshots_target, log_target, candidate_rooms, aliases)
+
+    w = (raw_line_stream(spark, source, max_files).writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
 
 
-STATE_SCHEMA = ("n long, first_qty long, last_room string, last_qty long, changes long, "
-                "run long, last_snapshot date")
-OUT_SCHEMA = ("barcode string, n_entries long, room_changes long, first_qty long, last_qty long, "
-              "qty_unchanged_streak long, last_snapshot date, late_entries long")
-
-
-def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (barcode,) = key
-    if state.exists:
-        n, first_qty, last_room, last_qty, changes, run, last_snap = state.get
-    else:
-        n, first_qty, last_room, last_qty, changes, run, last_snap = 0, None, None, None, 0, 0, None
-    late = 0
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["snapshot_date", "entry_idx"], kind="stable")
-    for snap, room, qty in zip(batch["snapshot_date"], batch["room"], batch["qty"]):
-        if last_snap is not None and snap < last_snap:
-            late += 1
-            continue
-        qty = int(qty)
-        if n == 0:
-            first_qty, run = qty, 1
-        else:
-            if room != last_room:
-                changes += 1
-            run = run + 1 if qty == last_qty else 1
-        n += 1
-        last_room, last_qty, last_snap = room, qty, snap
-    state.update((n, first_qty, last_room, last_qty, changes, run, last_snap))
-    yield pd.DataFrame([{
-        "barcode": barcode, "n_entries": n, "room_changes": changes, "first_qty": first_qty,
-        "last_qty": last_qty, "qty_unchanged_streak": run - 1 if n >= 2 else 0,
-        "last_snapshot": last_snap, "late_entries": late}])
-
-
-def running_velocity(entries: DataFrame) -> DataFrame:
-    """Per-barcode running state over a stream of snapshot entries
-    (``barcode, snapshot_date, entry_idx, room, qty``); one output row per
-    barcode touched in a micro-batch (update mode)."""
-    return (entries.groupBy("barcode")
-            .applyInPandasWithState(_fold, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
-
-
-def stream_velocity(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str):
-    """T3 job: snapshot-entry files under ``source`` -> running velocity rows
-    appended (with their batch id) to ``target``; run with availableNow."""
+# ------------------------------------------------------------------------ T3
+
+EXPIRE_DAYS = 90
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ENTRIES = "barcode string, snapshot_date date, entry_idx long, room string, qty int"
+_STATE = ("n long, first_qty long, last_room string, last_qty long, changes long, run long, last_snapshot date")
+_UPDATE = ("barcode string, n_entries long, room_changes long, first_qty long, last_qty long, "
+           "qty_unchanged_streak long, last_snapshot date, expired boolean")
+
+
+def stream_summaries(spark: SparkSession, source: str, target: str, late: str, checkpoint: str,
+                     schema: str = ENTRIES, expire_days: int = EXPIRE_DAYS, max_files: int | None = None):
+    """T3, first half: files of snapshot entries under ``source`` -> summaries under ``target``, late entries under ``late``.
+
+    A snapshot is late if it is not newer than the newest one of an earlier batch. Both targets are
+    partitioned by batch, so a replayed batch replaces its own rows.
+    """
+    table = snapshot_summaries(spark.createDataFrame([], schema)).schema
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        earlier = _stored(spark, target, StructType(table.fields).add("batch_id", "long")).where(F.col("batch_id") < batch_id)
+        newest = earlier.agg(F.max("snapshot_date").alias("d")).first().d          # one value
+        on_time = F.lit(True) if newest is None else F.coalesce(F.col("snapshot_date") > F.lit(newest), F.lit(False))
+        number = F.lit(batch_id).cast("long")
+        _replace(batch.where(~on_time).withColumn("batch_id", number), late, "batch_id")
+        _replace(snapshot_summaries(batch.where(on_time)).withColumn("batch_id", number), target, "batch_id")
+
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return (r.parquet(source).writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+class RunningVelocity(StatefulProcessor):
+    """State of one barcode; its summaries are folded in order, a timer removes it when it is no longer seen."""
+
+    def __init__(self, expire_days: int):
+        self.expire_days = expire_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("velocity", _STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, first_qty, last_room, last_qty, changes, run, last = (
+            self.state.get() if self.state.exists() else (0, None, None, None, 0, 0, None))
+        # one row a snapshot and SEGMENT_ROWS entries
+        some = pd.concat(list(rows), ignore_index=True).sort_values("seg", kind="stable")
+        for s in some.to_dict("records"):
+            if n == 0:
+                first_qty = int(s["first_qty_s"])
+            changes += int(s["changes_s"]) + int(n > 0 and s["first_room_s"] != last_room)
+            unbroken = s["tail_s"] == s["n_s"] and n > 0 and int(s["last_qty_s"]) == last_qty
+            run = int(s["tail_s"]) + (run if unbroken else 0)
+            n += int(s["n_s"])
+            last_room, last_qty, last = s["last_room_s"], int(s["last_qty_s"]), s["snapshot_date"]
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(self._expires(last))
+        self.state.update((n, first_qty, last_room, last_qty, changes, run, last))
+        yield self._row(key, (n, first_qty, last_room, last_qty, changes, run, last), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        got = self.state.get()
+        self.state.clear()
+        yield self._row(key, got, True)
+
+    def _expires(self, last: dt.date) -> int:
+        """Milliseconds of the end of a barcode's last day, ``expire_days`` on."""
+        day = dt.datetime(last.year, last.month, last.day, tzinfo=dt.timezone.utc) + dt.timedelta(days=self.expire_days)
+        return int(day.timestamp() * 1000)
+
+    @staticmethod
+    def _row(key, got: tuple, expired: bool) -> pd.DataFrame:
+        n, first_qty, _, last_qty, changes, run, last = got
+        return pd.DataFrame([{"barcode": key[0], "n_entries": n, "room_changes": changes, "first_qty": first_qty,
+                              "last_qty": last_qty, "qty_unchanged_streak": run - 1 if n >= 2 else 0,
+                              "last_snapshot": last, "expired": expired}])
+
+    def close(self) -> None:
+        pass
+
+
+def running_velocity(summaries: DataFrame, expire_days: int = EXPIRE_DAYS) -> DataFrame:
+    """State per barcode over a stream of summaries; one row per barcode touched or expired in a micro-batch."""
+    timed = (summaries.withColumn("at", F.col("snapshot_date").cast("timestamp")).withWatermark("at", "0 seconds")
+                      .withColumnRenamed("_seg", "seg"))       # the state API renames columns with an underscore in front
+    return timed.groupBy("barcode").transformWithStateInPandas(
+        RunningVelocity(expire_days), _UPDATE, "Update", "EventTime")
+
+
+def stream_velocity(spark: SparkSession, source: str, target: str, checkpoint: str, expire_days: int = EXPIRE_DAYS):
+    """T3, second half: summaries under ``source`` (written by ``stream_summaries``) -> updates under ``target``."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(target)
+        _replace(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), target, "batch_id")
 
-    s = spark.readStream.schema(schema).parquet(source)
-    return (running_velocity(s).writeStream.outputMode("update").foreachBatch(sink)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    schema = snapshot_summaries(spark.createDataFrame([], ENTRIES)).schema
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, ROCKSDB)          # read when a query starts
+    try:
+        s = spark.readStream.schema(schema).parquet(source)
+        return (running_velocity(s, expire_days).writeStream.outputMode("update").foreachBatch(sink)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        if before is None:
+            spark.conf.unset(conf)
+        else:
+            spark.conf.set(conf, before)
 
 
 def latest_state(updates: DataFrame) -> DataFrame:
-    """Newest emitted row per barcode."""
+    """Newest emitted row per barcode, without expired ones."""
     cols = [c for c in updates.columns if c not in ("barcode", "batch_id")]
-    agg = updates.groupBy("barcode").agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
-    return agg.select("barcode", "s.*")
+    newest = F.struct("batch_id", "last_snapshot", F.col("expired").cast("int").alias("_e"))
+    agg = updates.groupBy("barcode").agg(F.max_by(F.struct(*cols), newest).alias("s"))
+    return agg.select("barcode", "s.*").where("not expired")
+
+
+def running_state(updates: DataFrame, late: DataFrame, history: DataFrame) -> DataFrame:
+    """Running state with late entries folded in: barcodes that ``late`` touches are recomputed from ``history``
+    (all stored entries, late ones included), every other barcode keeps its streamed state."""
+    touched = late.select("barcode").distinct()
+    streamed = latest_state(updates).drop("expired")
+    again = barcode_history(history.join(touched, "barcode", "left_semi")).select(
+        "barcode", "n_entries", "room_changes", F.col("first_qty").cast("long").alias("first_qty"),
+        F.col("last_qty").cast("long").alias("last_qty"), "qty_unchanged_streak",
+        F.col("last_snapshot").alias("last_snapshot"))
+    return streamed.join(touched, "barcode", "left_anti").unionByName(again)
