@@ -240,11 +240,19 @@ def slow_movers(vel: DataFrame, current: DataFrame, order: str = "entry_idx") ->
     return velocity_detail(vel.where(F.col("velocity_label").isin("Slow", "Stale")), current, order)
 
 
-def sold_out(vel: DataFrame) -> DataFrame:
-    """Sold Out items with room, qty and snapshot of their last entry;
-    ``vel`` comes from ``velocity_metrics(..., last_entry=True)``, so the
-    history is read once."""
-    return vel.where(F.col("velocity_label") == "Sold Out")
+def sold_out(current: DataFrame, history: DataFrame, snap: str = SNAP) -> DataFrame:
+    """Items of the history that are not current: their velocity columns (W6) with room, qty and snapshot of their
+    last entry. Only the entries of such barcodes are summarised; the history is otherwise read for its span alone."""
+    held = current.select(F.trim("barcode").alias("barcode")).where(F.col("barcode").isNotNull()).distinct()
+    gone = barcode_history(history.join(held, "barcode", "left_anti"), snap=snap)
+    days = history_span_days(history, snap)
+    zero = F.lit(0).cast("long")
+    raw = gone.select("barcode", "room_changes", (-F.col("first_qty")).cast("long").alias("qty_delta"),
+                      (F.col("first_qty") / days).alias("_rate"), F.col("last_room").alias("room"), "last_qty",
+                      F.col("last_snapshot").alias("last_seen"))
+    return raw.select("barcode", "room_changes", "qty_delta", py_round(F.col("_rate"), 2).alias("sell_rate"),
+                      zero.alias("stock_age_days"), zero.alias("qty_unchanged_streak"), F.lit(1.0).alias("velocity_score"),
+                      F.lit("Sold Out").alias("velocity_label"), *LAST_ENTRY)
 
 
 def velocity_labels(items: DataFrame, vel: DataFrame, barcode_col: str = "package_barcode") -> DataFrame:

@@ -223,6 +223,12 @@ def q_low_stock(spark, sf_dir):
     return cp.low_stock(_pm(spark, sf_dir))
 
 
-@register("zero_stock", _sql("select store, brand, product_name, type, rooms, qty from pm where qty = 0"))
+# stock after 40 units of every package line are sold: some products run out
+_SOLD = _BASE.replace("qty_on_hand as qty", "greatest(qty_on_hand - 40, 0) as qty")
+
+
+@register("zero_stock", with_views("select store, brand, product_name, type, rooms, qty from pm where qty = 0", "inventory",
+                                   extra=[("pm_base", _SOLD), ("pm", _PM)]))
 def q_zero_stock(spark, sf_dir):
-    return cp.zero_stock(_pm(spark, sf_dir))
+    inv = fx.inventory(spark, sf_dir).withColumn("qty_on_hand", F.greatest(F.col("qty_on_hand") - 40, F.lit(0)))
+    return cp.zero_stock(cp.product_map(inv, fx.ord_key()))

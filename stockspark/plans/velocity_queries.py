@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from stockspark import fixtures as fx
 from stockspark.operators import velocity as vl
 from stockspark.plans.registry import register
 from stockspark.plans.restock_queries import MU_SQL
 from stockspark.plans.views import IMPORT_ENTRY, py_round_sql, with_views
+from stockspark.session import scratch_path
+from stockspark.sources import history_io as hio
 
 AS_OF = fx.VELOCITY_AS_OF.isoformat()
 T = 3  # slow threshold (fixed fixture parameter)
@@ -145,7 +149,20 @@ where v.velocity_label = 'Sold Out'"""))
 def q_sold_out(spark, sf_dir):
     h = _hist(spark, sf_dir)
     cur = fx.current_items(spark, sf_dir, h)
-    return vl.sold_out(vl.velocity_metrics(cur, h, fx.VELOCITY_AS_OF, T, last_entry=True))
+    return vl.sold_out(cur, h)
+
+
+@register("velocity_incremental", _sql("select * from vel"))
+def q_velocity_incremental(spark, sf_dir):
+    """W1-W6 import by import: earlier snapshots are stored as summaries; the newest import alone is read
+    and summarised, then all summaries are merged."""
+    h = _hist(spark, sf_dir)
+    cur = fx.current_items(spark, sf_dir, h)
+    newest = h.select(F.max("snapshot_date")).scalar()
+    path = scratch_path(spark, "velocity-summaries")
+    hio.append_summaries(vl.snapshot_summaries(h.where(F.col("snapshot_date") < newest)), path)
+    hio.append_summaries(vl.snapshot_summaries(h.where(F.col("snapshot_date") == newest)), path)
+    return vl.velocity_metrics(cur, spark.read.parquet(path), fx.VELOCITY_AS_OF, T, summarised=True)
 
 
 @register("velocity_overview", _sql(f"""
@@ -243,9 +260,21 @@ def q_snapshot_list(spark, sf_dir):
     return vl.snapshot_list(_hist(spark, sf_dir))
 
 
-@register("move_up_velocity", _sql("""
+# packages carry barcodes of the history (by part key), a few in twenty unknown ones
+_TRACKED = "case when cast(right(trim(package_barcode), 1) as int) = 9 then package_barcode else " \
+    "'U' || lpad(cast(cast(substring(trim(package_barcode), 4, 13) as bigint) % {n} + 1 as varchar), 8, '0') end"
+
+
+@register("move_up_velocity", _sql(f"""
 select m.*, coalesce(v.velocity_label, 'New') as velocity
-from mu m left join vel v on trim(m.package_barcode) = v.barcode""", "work", extra=[("mu", MU_SQL)]))
+from (select * replace ({_TRACKED.format(n="(select count(distinct barcode) from snapshot_entry)")} as package_barcode) from mu) m
+left join vel v on trim(m.package_barcode) = v.barcode""", "work", extra=[("mu", MU_SQL)]))
 def q_move_up_velocity(spark, sf_dir):
+    """J2 with every label: the move-up packages carry barcodes of the snapshot history."""
     from stockspark.plans.restock_queries import OUT_COLS, move_up_result
-    return vl.velocity_labels(move_up_result(spark, sf_dir).select(*OUT_COLS), _vel(spark, sf_dir))
+    n = _hist(spark, sf_dir).select(F.countDistinct("barcode")).scalar()
+    bc = F.trim("package_barcode")
+    tracked = F.when(F.right(bc, F.lit(1)) == "9", F.col("package_barcode")).otherwise(F.concat(F.lit("U"), F.lpad(
+        (F.substring(bc, 4, 13).cast("long") % n + 1).cast("string"), 8, "0")))
+    items = move_up_result(spark, sf_dir).select(*OUT_COLS).withColumn("package_barcode", tracked)
+    return vl.velocity_labels(items, _vel(spark, sf_dir))

@@ -44,7 +44,8 @@ def read_snapshot_json(spark: SparkSession, path: str, multiline: bool = False)
 
     Accepts the dict form (``snapshots`` array), the bare-list form (one
     snapshot per element / line) and the chunked lines written below.
-    A record's position is taken from the file order; entries keep their own
+    ``snapshot_idx`` orders snapshots: the record's place in the file order, then the
+    snapshot's position in it, however many a record holds; entries keep their own
     ``entry_idx`` when present, else their position in the record.
     """
     try:
@@ -56,7 +57,7 @@ def read_snapshot_json(spark: SparkSession, path: str, multiline: bool = False)
     own = F.array(F.struct("timestamp", "file_name", "entries"))
     record = doc.select(F.monotonically_increasing_id().alias("_record"), F.coalesce("snapshots", own).alias("s"))
     snaps = record.select("_record", F.posexplode("s").alias("_pos", "s")).select(
-        (F.col("_record") * 4096 + F.col("_pos")).alias("snapshot_idx"), "s.*")
+        F.struct(F.col("_record").alias("record"), F.col("_pos").alias("position")).alias("snapshot_idx"), "s.*")
     flat = snaps.select("snapshot_idx", "timestamp", "file_name",
                         F.posexplode("entries").alias("pos", "e"))
     ts = F.try_to_timestamp(F.col("timestamp"))
@@ -94,6 +95,13 @@ def append_snapshots(entries: DataFrame, path: str) -> None:
             .partitionBy("snapshot_date", "import_id").parquet(path))
 
 
+def append_summaries(summaries: DataFrame, path: str) -> None:
+    """Keep the mergeable summaries of new snapshots (``velocity.snapshot_summaries``), partitioned by day; a
+    replayed snapshot replaces its own."""
+    (summaries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("snapshot_date").parquet(path))
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

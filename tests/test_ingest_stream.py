@@ -42,7 +42,7 @@ def test_header_after_title_lines(spark):
         [("P 1", "1A4000000000000000000001", "Vault", 3)]
 
 
-def test_splits_and_broadcast_do_not_matter(spark, tmp_path):
+def test_splits_and_broadcast_do_not_matter(spark, tmp_path, monkeypatch):
     """The same rows, line numbers included, whatever the split size and the joins; a file of many splits."""
     head = "Report, of the store\n\nType,Brand,Product Name,METRC Code,Room,Qty\n"
     for f in range(3):
@@ -57,6 +57,7 @@ def test_splits_and_broadcast_do_not_matter(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
             spark.conf.set("spark.sql.shuffle.partitions", parts)
+            monkeypatch.setattr(ig, "BROADCAST_SPLITS", 0 if limit == "-1" else 20_000)
             lines = sorted((r.file, r._ord, r.value) for r in ig.read_lines(spark, str(tmp_path)).collect())
             rows = sorted((r.file, r._ord, r.product_name, r.qty_on_hand) for r in ig.ingest_raw(spark, str(tmp_path)).collect())
             want = want or (lines, rows)
@@ -113,6 +114,58 @@ def test_stream_velocity_equals_batch(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def _snapshots(days, rows):
+    import datetime as dt
+    return [(b, dt.date(2024, 1, d), i, r, q) for i, (b, d, r, q) in enumerate(rows) if d in days]
+
+
+def test_state_late_entries_and_expiry(spark, tmp_path):
+    """Late entries go to the side table and are folded in for their barcodes only; unseen barcodes leave the state."""
+    from stockspark.operators import velocity as vl
+    from stockspark.streaming import jobs
+    rows = [("a", d, "vault" if d % 2 else "floor", 5) for d in range(1, 30)]
+    rows += [("b", 1, "vault", 9), ("b", 2, "vault", 9), ("c", 2, "vault", 1), ("c", 28, "floor", 1), ("", 3, "x", 1)]
+    src, sums, late, out, ck1, ck2 = (str(tmp_path / x) for x in ("src", "sums", "late", "out", "ck1", "ck2"))
+
+    def feed(part):
+        spark.createDataFrame(part, jobs.ENTRIES).write.mode("append").parquet(src)
+        jobs.stream_summaries(spark, src, sums, late, ck1).awaitTermination()
+        jobs.stream_velocity(spark, sums, out, ck2, expire_days=20).awaitTermination()
+    held = {4, 5}
+    feed(_snapshots(set(range(1, 11)) - held, rows))
+    feed(_snapshots(set(range(11, 25)) | {4}, rows))            # day 4 comes after day 10
+    feed(_snapshots(set(range(25, 30)) | {5}, rows))
+    feed([("d", __import__("datetime").date(2024, 1, 30), 900, "vault", 2)])
+    history = spark.read.schema(jobs.ENTRIES).parquet(src)
+    updates, late_rows = spark.read.parquet(out), spark.read.parquet(late)
+    assert {(r.barcode, r.snapshot_date.day) for r in late_rows.collect()} == {("a", 4), ("a", 5)}
+    expired = {r.barcode for r in updates.where("expired").collect()}
+    assert expired == {"b", "c"} or expired == {"b"}           # c is unseen from day 2 to 28: a new state after day 22
+    want = {r.barcode: tuple(r) for r in vl.barcode_history(history).select(
+        "barcode", "n_entries", "room_changes", "first_qty", "qty_unchanged_streak").collect()}
+    got = {r.barcode: tuple(r)[:4] + (r.qty_unchanged_streak,) for r in jobs.running_state(
+        updates, late_rows, history).collect()}
+    assert got["a"] == want["a"] and got["d"] == want["d"] and "b" not in got
+    # the summary half alone: nothing of a batch is lost or doubled
+    assert spark.read.parquet(sums).agg(F.sum("n_s")).first()[0] + late_rows.count() == history.where("barcode <> ''").count()
+
+
+def test_summaries_merge_in_any_cut(spark):
+    """Velocity from stored summaries equals velocity from the entries, whatever the segments."""
+    import random
+
+    from stockspark.operators import velocity as vl
+    from stockspark.streaming import jobs
+    rnd = random.Random(3)
+    rows = [(f"u{rnd.randrange(6)}", d, rnd.choice("xy"), rnd.randrange(3)) for d in range(1, 25) for _ in range(12)]
+    h = spark.createDataFrame(_snapshots(set(range(1, 25)), rows), jobs.ENTRIES)
+    cur = h.where("snapshot_date = '2024-01-24'")
+    want = sorted(map(tuple, vl.velocity_metrics(cur, h, "2024-01-31").collect()))
+    for size in (1, 2, 7, 10 ** 6):
+        s = vl.snapshot_summaries(h, size)
+        assert sorted(map(tuple, vl.velocity_metrics(cur, s, "2024-01-31", summarised=True).collect())) == want
+
+
 def test_quotes_inside_unquoted_cells(spark, tmp_path):
     """A lone inch mark is text; line breaks inside quoted cells still are one record."""
     head = "Type,Brand,Product Name,METRC Code,Room,Qty\n"
