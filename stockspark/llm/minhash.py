@@ -12,6 +12,14 @@ links are contracted to components, and buckets that still hold documents of
 different components get a further star around their next centre, until a
 round finds no new link.
 
+A last sweep makes this complete: every pair of documents that shares a bucket and is
+still in different components is looked at, in blocks of ``BLOCK`` members (the block
+pairs of a large bucket are tasks of their own; the bucket's largest component meets the
+others, not itself). Each document has a bitmap of ``BITS`` parities of its set; the bits in which two
+bitmaps differ are at most the elements in which the sets differ, so a pair whose bitmaps
+differ in too many cannot be similar enough, and only the others become rows and are
+confirmed on full sets. So no link between documents that share a bucket is lost.
+
 Copies with equal shingle sets are merged first (grouped by set fingerprint
 with map-side combining), so a group of any size takes part as one node.
 
@@ -38,6 +46,8 @@ from stockspark.llm.flat import U64, RangeHash, lower_ascii, mix64, spans, text_
 
 BINS = 126
 ROWS = 3
+BLOCK = 512                # members of a bucket that one block of the sweep holds
+BITS = 2048                # of a set's parity bitmap
 MAX_PASSES = 64            # label passes of one contraction; star edges need two or three
 
 _NODE = T.StructType([
@@ -243,11 +253,7 @@ def _contract(member: DataFrame, n: int, sets: DataFrame, percent: int) -> DataF
         star = table(star.select("a", "b"), "near-edges", 2 * n)
         if turn > 0 and not star.limit(1).count():
             break
-        pairs = (sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")).join(id_side(star), "b")
-                     .join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
-                     .withColumn("both", F.size(F.array_intersect("hashes_a", "hashes_b"))))
-        either = F.size("hashes_a") + F.size("hashes_b") - F.col("both")
-        new = table(pairs.where(100 * F.col("both") >= percent * either).select("a", "b"), "near-links", 2 * n)
+        new = _confirmed(star, sets, percent, 2 * n)
         found = new.limit(1).count()
         if turn > 1 and not found:
             break
@@ -259,4 +265,103 @@ def _contract(member: DataFrame, n: int, sets: DataFrame, percent: int) -> DataF
             used = centre.select("bucket", F.col("centre").alias("rep"))
             member = table(member.join(id_side(used), ["bucket", "rep"], "left_anti"), "near-members", n)
         turn += 1
+    star = _swept(member, component, sets, percent)
+    if tested is not None:
+        star = star.join(id_side(tested), ["a", "b"], "left_anti")
+    star = table(star, "near-swept")
+    if star.limit(1).count():
+        new = _confirmed(star, sets, percent)
+        if new.limit(1).count():
+            component = components(new if links is None else links.unionByName(new), "near-comp")
     return component
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rows: int | None = None) -> DataFrame:
+    """The ``pairs(a, b)`` that are similar enough on their full sets."""
+    met = (sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")).join(id_side(pairs), "b")
+               .join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+               .withColumn("both", F.size(F.array_intersect("hashes_a", "hashes_b"))))
+    either = F.size("hashes_a") + F.size("hashes_b") - F.col("both")
+    return table(met.where(100 * F.col("both") >= percent * either).select("a", "b"), "near-links", rows)
+
+
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """Which of ``BITS`` parts of the hash range hold an odd number of the hashes."""
+    part = (hashes >> U64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = batch.column("hashes")
+        bits = [parity_bits(hashes[i].values.to_numpy().view(np.uint64)) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(bits, pa.binary())], names=["rep", "bits"])
+
+
+def _block_pairs(rep: np.ndarray, size: np.ndarray, comp: np.ndarray, right: np.ndarray, bits: np.ndarray,
+                 percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the left with the right rows (of all rows, if none is right) that may be similar enough."""
+    left = np.flatnonzero(~right)
+    other = np.flatnonzero(right)
+    a, b = [], []
+    for n, i in enumerate(left):
+        j = other if len(other) else left[n + 1:]
+        near = (comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))
+        j = j[near]
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        j = j[differ * (100 + percent) <= (size[j] + size[i]) * (100 - percent)]
+        a.append(np.minimum(rep[i], rep[j]))
+        b.append(np.maximum(rep[i], rep[j]))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell; a cell is a pair of blocks, or a block with itself."""
+    held = None
+    for batch in _then_none(batches):
+        if batch is not None:
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "cell", "rep", "size", "comp", "right")}
+            flat = b"".join(batch.column("bits").to_pylist())
+            new["bits"] = np.frombuffer(flat, dtype=np.uint64).reshape(batch.num_rows, -1)
+            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+        if held is None:
+            return
+        ends = np.flatnonzero((held["bucket"][1:] != held["bucket"][:-1]) | (held["cell"][1:] != held["cell"][:-1])) + 1
+        cuts = [0, *ends.tolist()] + ([len(held["rep"])] if batch is None else [])
+        found = [_block_pairs(*[held[c][lo:hi] for c in ("rep", "size", "comp", "right", "bits")], percent)
+                 for lo, hi in zip(cuts, cuts[1:])]
+        held = {c: held[c][cuts[-1]:] for c in held}          # the last cell may go on in the next batch
+        if found:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _swept(member: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of different components in a bucket of ``member`` whose bitmaps allow a link."""
+    now = member.join(id_side(component), F.col("rep") == F.col("node"), "left").select(
+        "bucket", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    parts = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    live = parts.groupBy("bucket").agg(F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("big"),
+                                       F.count("*").alias("parts")).where("parts > 1")
+    live = table(live.select("bucket", F.col("big.comp").alias("big"),
+                             F.ceil((F.col("members") - F.col("big.n")) / BLOCK).alias("others"),
+                             F.ceil(F.col("big.n") / BLOCK).alias("bigs")), "near-live")
+    now = table(now.join(id_side(live), "bucket"), "near-open")
+    bits = sets.select(F.col("doc_id").alias("rep"), "hashes").join(
+        id_side(now.select("rep").distinct()), "rep", "left_semi").mapInArrow(_bitmaps, "rep long, bits binary")
+    # blocks of the other components come first, then those of the largest
+    place = F.when(F.col("comp") != F.col("big"), F.pmod(F.xxhash64("rep"), F.col("others"))).otherwise(
+        F.col("others") + F.pmod(F.xxhash64("rep"), F.col("bigs")))
+    now = now.withColumn("x", place).withColumn("blocks", F.col("others") + F.col("bigs"))
+    last = F.when(F.col("x") < F.col("others"), F.col("blocks") - 1).otherwise(F.col("others") - 1)
+    cells = now.join(bits, "rep").withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    cells = cells.select("bucket", (F.least("x", "y") * F.col("blocks") + F.greatest("x", "y")).alias("cell"),
+                         "rep", "size", "comp", (F.col("x") > F.col("y")).alias("right"), "bits")
+    return (cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+                 .mapInArrow(functools.partial(_sweep, percent=percent), "a long, b long").distinct())

@@ -65,6 +65,36 @@ def test_components_equal_brute_force(spark):
         assert got == sorted(brute(rows, width), key=key)
 
 
+def test_hot_group_loses_no_link(spark, monkeypatch):
+    """A group of near copies just around the limit: chains that no star centre meets; small blocks, so cells are split."""
+    rnd = random.Random(7)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(260):
+        t = list(base)
+        for k in rnd.sample(range(160), rnd.randint(2, 9)):
+            t[k] = f"x{rnd.randrange(6)}"
+        rows.append((i, " ".join(t), ""))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = sorted(brute(rows, 4), key=key)
+    assert len({r[2] for r in want}) > 5                          # several components and loners
+    for block in (16, 512):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert sorted((tuple(r) for r in minhash.near_duplicates(df, 4).collect()), key=key) == want
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rnd = np.random.default_rng(5)
+    for n in (1, 3, 40, 3000):
+        a = np.unique(rnd.integers(0, 2 ** 63, n).astype(np.uint64) * np.uint64(2))
+        keep = a[: max(1, int(n * 0.9))]
+        bits = np.stack([np.frombuffer(minhash.parity_bits(x), dtype=np.uint64) for x in (a, keep)])
+        got = minhash._block_pairs(np.array([5, 3]), np.array([len(a), len(keep)]), np.array([5, 3]),
+                                   np.array([False, False]), bits, 80)
+        linked = 100 * len(keep) >= 80 * len(a)
+        assert [x.tolist() for x in got] == ([[3], [5]] if linked else [[], []]) or not linked
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
