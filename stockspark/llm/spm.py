@@ -24,6 +24,7 @@ ignored, an empty table gives an empty result.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -284,11 +285,16 @@ class Codec:
                 hashlib.sha256(surface.encode("utf-8")).hexdigest())
 
 
+def _one_byte(e: UnicodeError) -> tuple[str, int]:
+    return "�", e.start + 1
+
+
+codecs.register_error("stockspark-one-byte", _one_byte)
+
+
 def _utf8(raw: bytes) -> str:
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return raw[:e.start].decode("utf-8") + "�" + _utf8(raw[e.start + 1:])
+    """Text of bytes; every byte that starts no valid character is one replacement character."""
+    return raw.decode("utf-8", "stockspark-one-byte")
 
 
 @functools.lru_cache(maxsize=2)

@@ -76,3 +76,22 @@ def test_dataframe_cases(spark):
     assert spm.encode_digests(docs, MODEL).count() == 5
     assert spm.encode_digests(docs.limit(0), MODEL).count() == 0
     assert spm.decode(encoded.limit(0), MODEL).count() == 0
+
+
+def test_invalid_bytes_decode_one_by_one():
+    from stockspark.llm.spm import _utf8
+    assert _utf8(b"\xff" * 5000) == "\ufffd" * 5000
+    for raw in (b"a\xe4\xb8b", b"\xf0\x9f\x98", "é€😀".encode() + b"\xc3", b"\xed\xa0\x80x"):
+        out, at = "", 0
+        while at < len(raw):
+            for n in (4, 3, 2, 1):
+                try:
+                    piece = raw[at:at + n].decode()
+                    if len(piece) == 1:
+                        break
+                except UnicodeDecodeError:
+                    pass
+            else:
+                piece, n = "\ufffd", 1
+            out, at = out + piece, at + n
+        assert _utf8(raw) == out
