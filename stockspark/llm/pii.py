@@ -275,18 +275,28 @@ def _written() -> Column:
              .when(F.col("kind") == "ip", surrogate).otherwise(same))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to be new."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with entities in ``text`` replaced, plus ``n_entities`` (replaced, repeats counted)."""
-    if "n_entities" in docs.columns:
-        raise ValueError("docs already has a column n_entities")
+    """``docs`` with entities in ``text`` replaced, plus, as the last column, ``n_entities`` (replaced, repeats counted).
+
+    All columns of ``docs`` pass, whatever their names: if one is called ``n_entities``, the new one gets an underscore more.
+    """
     columns = docs.columns
+    counted = free_name("n_entities", columns)
     row = F.struct(*[docs[c] for c in columns])
-    cut = docs.select(row.alias("row"), entities(docs["text"].cast("string")).alias("found"),
-                      F.xxhash64(docs["text"].cast("string")).alias("key"))
-    some = docs["text"].rlike(_HINT) & docs["text"].rlike(PATTERN)       # exactly where ``found`` is not empty
-    plain = docs.where(docs["text"].isNull() | ~some).withColumn(
-        "n_entities", F.lit(0).cast("long"))
-    hit = table(cut.where(F.size("found") > 0), "pii-hits")
+    # texts are searched once; rows and what was found in them are written and read from there
+    cut = table(docs.select(row.alias("row"), entities(docs["text"].cast("string")).alias("found"),
+                            F.xxhash64(docs["text"].cast("string")).alias("key")), "pii-scanned")
+    plain = cut.where(F.coalesce(F.size("found"), F.lit(0)) <= 0).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in columns], F.lit(0).cast("long").alias(counted))
+    hit = cut.where(F.size("found") > 0)
     mention = hit.select("key", F.explode(F.array_distinct("found")).alias("raw")).distinct()
     mention = table(_described(mention), "pii-mentions")
     chosen = surrogates(mention.select("kind", "form"), key)
@@ -299,5 +309,5 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     known = F.col("new").isNotNull()
     changed = hit.join(maps, "key", "left").select(
         *[(F.when(known, text).otherwise(F.col("row.text")) if c == "text" else F.col(f"row.`{c}`")).alias(c)
-          for c in columns], F.when(known, count).otherwise(F.lit(0)).cast("long").alias("n_entities"))
-    return plain.select(*columns, "n_entities").unionByName(changed)
+          for c in columns], F.when(known, count).otherwise(F.lit(0)).cast("long").alias(counted))
+    return plain.unionByName(changed)

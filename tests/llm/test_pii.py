@@ -116,3 +116,13 @@ def test_usual_forms(spark):
     assert all(by[len(texts) + i].text == t for i, t in enumerate(kept))
     assert "abcdefgh" not in by[2].text and by[2].text.endswith(" next") and by[3].text.endswith(", end")
     assert len({re.sub(r"\D", "", by[i].text)[-10:] for i in (4, 5, 6, 7)}) == 1      # one number, four formats
+
+
+def test_clashing_column_names(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.org now", 7, "f", "k"), (2, "nothing", 8, "f", "k"), (3, None, 9, "f", "k")],
+                                 "doc_id long, text string, N_Entities int, found string, `key` string")
+    out = pii.replace_pii(docs)
+    assert out.columns == [*docs.columns, "n_entities_"]
+    by = {r.doc_id: r for r in out.collect()}
+    assert [by[i].N_Entities for i in (1, 2, 3)] == [7, 8, 9] and [by[i].n_entities_ for i in (1, 2, 3)] == [1, 0, 0]
+    assert by[1].text != "mail a.b@c.org now" and by[2].text == "nothing" and by[3].text is None
