@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockspark.llm.common import held_out, id_side, learned, small_batches, table
@@ -50,6 +50,7 @@ BLOCKS_AT_ONCE = 8         # that are scored before the bound is looked at again
 NEAREST = 24               # example entries
 SCALE = 0.15               # of the cosine distance
 SHRINK = 1.0               # votes at the base rate
+ROWS_A_TASK = 8_000        # that are scored
 THRESHOLD = 0.3            # fixed by the contract
 
 _SEPARATOR = np.ones(256, dtype=bool)
@@ -130,11 +131,12 @@ def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Itera
             counts.append(n)
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         off = pa.array(np.concatenate([[0], np.cumsum(cat(lengths))]).astype(np.int32))
+        kept = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"),
+            [*[batch.column(c) for c in kept],
              pa.ListArray.from_arrays(off, pa.array(cat(lists).astype(np.int32))),
              pa.ListArray.from_arrays(off, pa.array(cat(counts).astype(np.int32)))],
-            names=["doc_id", "term", "tf"])
+            names=[*kept, "term", "tf"])
 
 
 def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,19 +250,28 @@ def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
                 got = known[key] = index.score(np.array(t, dtype=np.int64), np.array(n, dtype=float))
             scores.append(got[0])
             nearest.append(got[1])
+        kept = [c for c in batch.schema.names if c not in ("term", "tf")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(nearest, pa.list_(pa.int64()))],
-            names=["doc_id", "score", "nearest"])
+            [*[batch.column(c) for c in kept], pa.array(scores, pa.float64()), pa.array(nearest, pa.list_(pa.int64()))],
+            names=[*kept, "score", "nearest"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def text_key() -> list[Column]:
+    """``text_a, text_b``: 128 bits that stand for a text (null: the empty one)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit("b"), F.reverse(text)).alias("text_b")]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, with_key: bool = False) -> DataFrame:
     """``doc_id, held_out, score, predicted, nearest`` of every row of ``docs(doc_id, text)``.
 
-    ``labels(doc_id, toxic)``; only rows outside the held-out quarter are learned from.
+    ``labels(doc_id, toxic)``; only rows outside the held-out quarter are learned from. ``with_key`` adds
+    ``text_key()``: a score depends on the text alone, so it names rows where ids are null or repeat.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    key = text_key() if with_key else []
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key)
     known = (labels.where(learned(F.col("doc_id")) & F.col("toxic").isNotNull())
                    .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")))
     known = known.select("doc_id", (F.col("toxic") > 0).alias("toxic"))
@@ -290,18 +301,23 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         chosen = counted.where((z >= MIN_Z) & (p1 >= MIN_LIFT * p0)).select("term").collect()
         vocabulary = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
 
+    kept = "doc_id long" + (", text_a long, text_b long" if with_key else "")
     vectors = table(text.mapInArrow(functools.partial(_vectors, vocabulary=vocabulary),
-                                    "doc_id long, term array<int>, tf array<int>"), "toxic-vectors")
+                                    f"{kept}, term array<int>, tf array<int>"), "toxic-vectors")
     df = np.zeros(len(vocabulary))
     for r in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect():
         df[r.t] = r["count"]
-    idf = np.log((1 + vectors.count()) / (1 + df)) + 1
+    rows = vectors.count()
+    idf = np.log((1 + rows) / (1 + df)) + 1
     entries = (vectors.join(F.broadcast(sample), "doc_id").groupBy("term", "tf")
                       .agg(F.sum(F.col("toxic").cast("long")).alias("y"), F.count("*").alias("n"),
                            F.min("doc_id").alias("doc_id")).collect())
     index = build_index([(e.term, e.tf, e.y, e.n - e.y, e.doc_id) for e in entries], idf, clean_weight,
                         toxic_weight)
-    scored = vectors.mapInArrow(functools.partial(_scores, shared=spark.sparkContext.broadcast(index)),
-                                "doc_id long, score double, nearest array<long>")
+    # the vectors are few bytes of much work: spread them over the cores by rows, not by file size
+    spread = vectors.repartition(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK + 1))
+    scored = spread.mapInArrow(functools.partial(_scores, shared=spark.sparkContext.broadcast(index)),
+                               f"{kept}, score double, nearest array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "nearest")
+                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "nearest",
+                         *[c.split()[0] for c in kept.split(", ")[1:]])

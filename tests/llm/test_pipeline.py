@@ -39,3 +39,30 @@ def test_odd_rows(spark):
             if name == "near_dedup" and part is docs:
                 assert now.where("doc_id = 3").count() == 1
         assert now.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_decisions_name_rows_not_ids(spark):
+    """A toxic text goes and a copy goes whatever its id; a clean row that shares an id with either stays."""
+    labels = {r.doc_id for r in read(spark, SF0001, "labels").where("toxic = 1").collect()}
+    docs = read(spark, SF0001, "documents")
+    scored = corpus_pipeline.toxicity(docs, read(spark, SF0001, "labels"))
+    toxic = [r.doc_id for r in scored.where("predicted = 1").orderBy("doc_id").limit(2).collect()]
+    bad = {r.doc_id: r for r in docs.where(docs.doc_id.isin(toxic)).collect()}
+    assert labels and len(bad) == 2
+    one, two = (bad[i] for i in toxic)
+    clean = " ".join(f"plain{i}" for i in range(60))
+    copy = " ".join(f"other{i}" for i in range(60))
+    rows = [(None, one.text, "x", "s", 1), (one.doc_id, clean, "x", "s", 2), (None, copy, "x", "s", 3),
+            (None, copy, "y", "s", 4), (two.doc_id, copy + " end", "z", "s", 5), (two.doc_id, "an unlike text of few words", "z", "s", 6)]
+    # ids that no document has, so that the planted rows bring no labels
+    odd = spark.createDataFrame([tuple(r) for r in docs.collect()] + [
+        (None if i is None else 10 ** 9 + i, *r) for i, *r in rows], docs.schema)
+    kept = table(corpus_pipeline.reject_toxic(spark, odd, SF0001), "rows-toxicity")
+    left = {(r.doc_id, r.text) for r in kept.collect()}
+    assert (None, one.text) not in left and (one.doc_id, one.text) not in left
+    assert {(None if i is None else 10 ** 9 + i, t) for i, t, *_ in rows[1:]} <= left
+    last = corpus_pipeline.drop_near_duplicates(spark, kept, SF0001).collect()
+    names = [(r.doc_id, r.text, r.n_chars) for r in last if r.n_chars is not None and r.n_chars < 10]
+    assert sorted(names, key=str) == sorted([
+        (10 ** 9 + one.doc_id, clean, 2), (10 ** 9 + two.doc_id, copy + " end", 5),
+        (10 ** 9 + two.doc_id, "an unlike text of few words", 6)], key=str)
