@@ -6,7 +6,9 @@ the terms that mark toxic documents are those in at least ``MIN_TOXIC`` toxic
 examples whose document frequency there exceeds that in all clean labelled
 documents by a z-score and a lift. All clean labels count, not the sample, so a
 term without clean occurrences needs no more toxic examples where labels are
-many. One pass over all texts then counts the selected terms of every document; document frequencies for the idf
+many. A toxic example that holds none of them brings its own: its heaviest terms, as many as hold
+half of the square of its length, so no toxic example is left without terms and a text equal to it
+is found at cosine 1. One pass over all texts then counts the selected terms of every document; document frequencies for the idf
 come from all documents.
 
 The examples form an inverted index in blocks: for each term its weights and
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockspark.llm.common import held_out, id_side, learned, small_batches, table
@@ -44,6 +46,7 @@ PER_CLASS = 10_000         # labelled examples of each class that are learned fr
 MIN_Z = 4.0                # of a selected term
 MIN_LIFT = 4.0             # times as frequent in toxic examples as in others
 MIN_TOXIC = 2              # toxic examples that a selected term is in
+HEAVY = 0.5                # of the square of a vector's length: terms taken of a toxic example without marking ones
 BEGINNINGS = (4, 5, 6, 7)  # bytes
 BLOCK = 64                 # examples
 BLOCKS_AT_ONCE = 8         # that are scored before the bound is looked at again
@@ -146,6 +149,48 @@ def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) + (first - np.cumsum(size) + size)[of], of
 
 
+def _unmarked(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All terms of the documents that hold none of the vocabulary's, and how often they occur."""
+    size = max(1, len(vocabulary))
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        docs, found, counts = [], [], []
+        for first, end, data, offsets in text_slices(batch.column("text")):
+            doc, term = terms(data, offsets)
+            at = np.minimum(np.searchsorted(vocabulary, term), size - 1)
+            known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
+            open_ = np.bincount(doc[known], minlength=end - first) == 0
+            for i in np.flatnonzero(open_):
+                t, n = np.unique(term[doc == i], return_counts=True)
+                docs.append(np.full(len(t), ids[first + i], dtype=np.int64))
+                found.append(t.view(np.int64))
+                counts.append(n)
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cat(docs)), pa.array(cat(found)), pa.array(cat(counts))],
+                                         names=["doc_id", "term", "tf"])
+
+
+def heavy_terms(toxic: DataFrame, clean: DataFrame, vocabulary: np.ndarray, n_clean: int) -> np.ndarray:
+    """Of each of the ``toxic`` examples without a term of ``vocabulary`` its heaviest terms (idf by all ``clean`` ones)."""
+    own = table(toxic.select("doc_id", "text").mapInArrow(functools.partial(_unmarked, vocabulary=vocabulary),
+                                                          "doc_id long, term long, tf long"), "toxic-unmarked")
+    if not own.limit(1).count():
+        return vocabulary
+    counted = clean.select("text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(
+        F.sum("n").alias("n")).join(own.select("term").distinct(), "term", "left_semi")
+    idf = F.log((1.0 + n_clean) / (1.0 + F.coalesce("n", F.lit(0)))) + 1.0
+    square = own.join(counted, "term", "left").withColumn("w", F.round(F.pow((1.0 + F.log("tf")) * idf, F.lit(2.0)), 9))
+    # equally heavy terms go together
+    levels = square.groupBy("doc_id", "w").agg(F.sum(F.lit(1.0) * F.col("w")).alias("level"))
+    upto = Window.partitionBy("doc_id").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("before", F.coalesce(F.sum("level").over(upto), F.lit(0.0))).withColumn(
+        "all", F.sum("level").over(Window.partitionBy("doc_id"))).where(F.col("before") < HEAVY * F.col("all"))
+    least = levels.groupBy("doc_id").agg(F.min("w").alias("least"))
+    taken = square.join(least, "doc_id").where(F.col("w") >= F.col("least"))
+    new = np.array([r.term for r in taken.select("term").distinct().collect()], dtype=np.int64).view(np.uint64)
+    return np.union1d(vocabulary, new)
+
+
 @dataclass
 class Index:
     """Block-max inverted index of example vectors with class counts."""
@@ -289,9 +334,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, with_key: bool = False) -> Data
     marked = table(marked, "toxic-terms")
     among = np.sort(np.array([r.term for r in marked.select("term").collect()], dtype=np.int64).view(np.uint64))
     vocabulary = among
+    clean_texts = text.join(id_side(table(known.where("not toxic").select("doc_id"), "clean-labels")), "doc_id")
     if len(among):
-        clean = text.join(id_side(table(known.where("not toxic").select("doc_id"), "clean-labels")), "doc_id")
-        clean = (clean.select("text").mapInArrow(functools.partial(_term_counts, among=among), "term long, n long")
+        clean = (clean_texts.select("text").mapInArrow(functools.partial(_term_counts, among=among), "term long, n long")
                       .groupBy("term").agg(F.sum("n").alias("clean")))
         counted = marked.join(clean, "term", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
         n1, n0 = float(max(1, sampled[True])), float(max(1, totals.get(False, 0)))
@@ -300,6 +345,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, with_key: bool = False) -> Data
         z = (p1 - p0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
         chosen = counted.where((z >= MIN_Z) & (p1 >= MIN_LIFT * p0)).select("term").collect()
         vocabulary = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
+    vocabulary = heavy_terms(examples.where("toxic"), clean_texts, vocabulary, totals.get(False, 0))
 
     kept = "doc_id long" + (", text_a long, text_b long" if with_key else "")
     vectors = table(text.mapInArrow(functools.partial(_vectors, vocabulary=vocabulary),
