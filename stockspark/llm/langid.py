@@ -12,7 +12,9 @@ the penalty saved, ``log(words) / 2`` a language. The prediction is the language
 with the largest proportion (ties: first by name), the score its proportion.
 
 N-grams are hashed into ``SLOTS`` slots, so a language's model has a fixed size
-whatever the corpus, and counts are summed per batch before they are shuffled.
+whatever the corpus, and counts are summed per batch before they are shuffled. With more than
+``CELLS / SLOTS`` languages the slots are folded, so that the model stays within ``CELLS``
+numbers; any number of languages is learned.
 
 Defined cases: null text and texts without a letter give ``und`` with score 0;
 without learned documents every text is ``und``. Null lang and null doc_id rows
@@ -30,21 +32,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import held_out, learned
-from stockspark.llm.flat import U64, RangeHash, spans, text_slices
+from stockspark.llm.common import held_out, learned, table
+from stockspark.llm.flat import SLICE_BYTES, U64, RangeHash, spans, text_slices
 from stockspark.llm.toxicity import _SEPARATOR as NOT_LETTER
 from stockspark.llm.toxicity import lowered
 
 GRAM = 3                  # bytes of an n-gram; shorter words count as one n-gram
 SLOTS = 1 << 16           # of hashed n-grams
 SMOOTH = 0.5              # added to every slot's count
-LANGUAGES = 256           # most languages of a model: bounds the broadcast at 64 MB
+CELLS = 1 << 24           # slots x languages of a model: bounds the broadcast at 64 MB
+LEAST_SLOTS = 1 << 8      # with more languages than CELLS / LEAST_SLOTS the model grows with them
+LIKELIHOODS = 1 << 26     # words x languages of the texts that are worked on at once
 STEPS = 12                # of expectation-maximisation over all languages
 MORE_STEPS = 5            # after a language is dropped, from the proportions before
 SETTLED = 1e-3            # largest change of a proportion at which it stops
 FLOOR = -60.0             # log-likelihoods are taken relative to the best language, down to here
 
 
+def slots_of(languages: int) -> int:
+    """Slots of a language's model: a power of two, fewer where there are many languages."""
+    few = max(LEAST_SLOTS, CELLS // max(1, languages))
+    return min(SLOTS, 1 << (few.bit_length() - 1))
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """``(slots, word of each n-gram, document of each word)`` of one slice.
 
@@ -83,16 +93,18 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Language names and log-probabilities (slots x languages) of ``docs(text, lang)``."""
     counted = (docs.select("text", "lang").mapInArrow(_counts, "lang string, slot long, n long")
                    .groupBy("lang", "slot").agg(F.sum("n").alias("n")))
-    names = sorted(r.lang for r in counted.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    count = np.zeros((SLOTS, len(names)))
-    table = counted.toPandas()           # at most SLOTS x LANGUAGES rows
-    if len(table):
-        number = {x: i for i, x in enumerate(names)}
-        count[table["slot"].to_numpy(), table["lang"].map(number).to_numpy()] = table["n"].to_numpy()
-    count += SMOOTH
-    return names, np.log(count / count.sum(axis=0)).astype(np.float32)
+    counted = table(counted, "language-counts")
+    names = sorted(r.lang for r in counted.select("lang").distinct().collect())       # one row a language
+    slots = slots_of(len(names))
+    number = {x: i for i, x in enumerate(names)}
+    count = np.full((slots, len(names)), SMOOTH, dtype=np.float32 if len(names) > 256 else np.float64)
+    # one row a language: its filled slots, at most ``slots`` of them
+    folded = counted.groupBy("lang", (F.col("slot") % slots).alias("slot")).agg(F.sum("n").alias("n"))
+    for r in folded.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c")).toLocalIterator():
+        at = np.array([(x.slot, x.n) for x in r.c], dtype=np.int64)
+        count[at[:, 0], number[r.lang]] += at[:, 1]
+    total = count.sum(axis=0, dtype=np.float64)
+    return names, np.log(count / total).astype(np.float32)
 
 
 def mixture(like: np.ndarray, words: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +152,13 @@ def select(like: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     names, logs = shared.value
+    # a word is two bytes at least; many languages mean smaller slices
+    bytes_at_once = min(SLICE_BYTES, max(4096, LIKELIHOODS // max(1, len(names)) * 2))
     for batch in batches:
         pred, score, mix = [], [], []
-        for first, end, data, offsets in text_slices(batch.column("text")):
+        for first, end, data, offsets in text_slices(batch.column("text"), bytes_at_once):
             slot, word, doc = grams(data, offsets)
+            slot %= len(logs) if len(names) else SLOTS
             rows = end - first
             lettered = np.bincount(doc, minlength=rows) > 0
             for i in np.flatnonzero(lettered):
