@@ -129,3 +129,99 @@ def test_terms_of_few_toxic_examples_are_found(spark, monkeypatch):
     seen = [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0, 3200, 20) if i // 20 % 40 == k) for k in range(40)]
     assert len(few) == 40 and sum(n >= 2 for n in seen) >= 20
     assert all(r.predicted and r.nearest for r in few if seen[r.doc_id - 10_000] >= 2)
+
+
+def plain_toxicity(rows, labels):
+    """The whole query in plain Python (ASCII texts, no sampling, all examples as neighbours)."""
+    import math
+    import re
+    from collections import Counter
+
+    def tokens(text):
+        out = Counter()
+        for w in re.findall("[a-z]+", (text or "").lower()):
+            out[w] += 1
+            for n in (4, 5, 6, 7):
+                if len(w) > n:
+                    out[(n, w[:n])] += 1
+        return out
+    docs = {i: tokens(t) for i, t in rows}
+    use = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2 and i in docs}
+    toxic, clean = [i for i in use if use[i]], [i for i in use if not use[i]]
+    n1, n0 = len(toxic), len(clean)
+    in_toxic, in_clean = (Counter(t for i in some for t in docs[i]) for some in (toxic, clean))
+    vocabulary = set()
+    for t, x in in_toxic.items():
+        c = in_clean[t]
+        p1, p0, rate = (x + .5) / (n1 + 1), (c + .5) / (n0 + 1), (x + c + 1) / (n1 + n0 + 2)
+        z = (p1 - p0) / math.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
+        if x >= 2 and z >= 4 and p1 >= 4 * p0:
+            vocabulary.add(t)
+    for i in [i for i in toxic if not vocabulary & set(docs[i])]:
+        w = {t: round(((1 + math.log(n)) * (math.log((1 + n0) / (1 + in_clean[t])) + 1)) ** 2, 9) for t, n in docs[i].items()}
+        before, total = 0.0, sum(w.values())
+        for level in sorted(set(w.values()), reverse=True):
+            if before >= total / 2:
+                break
+            some = [t for t in w if w[t] == level]
+            vocabulary.update(some)
+            before += level * len(some)
+    df = Counter(t for d in docs.values() for t in set(d) & vocabulary)
+    vectors = {}
+    for i, d in docs.items():
+        v = {t: (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, n in d.items() if t in vocabulary}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / size for t, x in v.items()}
+    base = n1 / (n1 + n0)
+    out = {}
+    for i, v in vectors.items():
+        near = [(sum(x * vectors[e].get(t, 0) for t, x in v.items()), use[e]) for e in use if vectors[e]]
+        vote = [0.0, 0.0]
+        for cosine, y in near:
+            if cosine > 0:
+                vote[y] += math.exp((min(cosine, 1) - 1) / toxicity.SCALE)
+        if not v:
+            vote = [sum(1 for e in use if not vectors[e] and use[e] == y) for y in (0, 1)]
+        out[i] = (vote[1] + base) / (vote[0] + vote[1] + 1)
+    return out, vectors
+
+
+def test_query_equals_plain_computation(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "NEAREST", 10_000)
+    rnd = random.Random(9)
+    usual = [f"{a}{b}" for a in ("river", "stone", "walking", "sun", "tree") for b in ("", "ly", "side", "ing")]
+    rows = []
+    for i in range(400):
+        words = rnd.choices(usual, k=rnd.randint(1, 14))
+        if i % 5 == 0:
+            words.insert(rnd.randrange(len(words) + 1), rnd.choice(["vile", "hateful", "VILENESS"]))
+        rows.append((i, " ".join(words)))
+    # toxic by label only: no marking word, once in the corpus, and a text without a learned copy that equals it
+    odd = next(i for i in range(500, 600) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows += [(odd, "quietly peculiar utterance river stone"), (901, "quietly peculiar utterance river stone"),
+             (902, "a peculiar tree"), (903, ""), (904, None), (905, "12 !")]
+    labels = [(i, int(i % 5 == 0)) for i in range(400)] + [(odd, 1), (7000, 1)]
+    want, vectors = plain_toxicity(rows, labels)
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in rows], DOCS)
+    got = {r.doc_id: r for r in toxicity.toxicity(
+        docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert vectors[odd] and not vectors[903]
+    for i, r in got.items():
+        assert abs(r.score - want[i]) < 1e-6, (i, r.score, want[i])
+    assert got[901].predicted == 1 and got[901].nearest[0] == odd
+    assert got[902].predicted == 0
+
+
+def test_more_than_256_languages(spark):
+    """Models shrink with the number of languages instead of ending the job."""
+    rnd = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:03d}": ["".join(rnd.choices(letters, k=6)) for _ in range(5)] for k in range(300)}
+    rows = [(n, " ".join(rnd.choices(w, k=25)), lang, "") for n, (lang, w) in enumerate(
+        (x for _ in range(2) for x in own.items()))]
+    rows += [(1000 + k, " ".join(rnd.choices(own[f"l{k:03d}"], k=25)), None, "") for k in range(0, 300, 10)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    learned = {lang for n, _, lang, _ in rows if lang and zlib.crc32(str(n).encode()) % 4 != 2}
+    asked = [(n, f"l{n - 1000:03d}") for n, *_ in rows if n >= 1000]
+    right = [got[n].lang_pred == lang for n, lang in asked if lang in learned]
+    assert len(learned) > 256 and np.mean(right) > 0.95
