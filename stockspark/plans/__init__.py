@@ -2,7 +2,7 @@
 
 from stockspark.plans import (compare_queries, expiry_sample_queries, ingest_queries,  # noqa: F401
                               restock_queries,
-                              history_queries, state_queries, streaming_queries,
+                              history_queries, report_queries, state_queries, streaming_queries,
                               velocity_queries)
 from stockspark.plans.registry import ORACLE, QUERIES
 
