@@ -11,6 +11,7 @@ from stockspark.plans.views import FLOOR_LIST, IMPORT_ENTRY, room_alias_sql, sql
 from stockspark.plans.restock_queries import CANDIDATE_ROOMS, MU_SQL
 from stockspark.session import scratch_path
 from stockspark.sources import history_io as hio
+from stockspark.sources import retention as rt
 
 # ---- fixed values: fixture parameters. In the event-derived history the
 # "purchase" room plays the sales floor; retention keeps the last 14 days.
@@ -255,3 +256,19 @@ def q_retention_removed(spark, sf_dir):
     h = _hist(spark, sf_dir)
     cutoff = F.date_sub(h.select(F.max("snapshot_date")).scalar(), RETAIN_DAYS)
     return hs.purged_count(h, hs.retain_snapshots(h, cutoff))
+
+
+@register("purge_store", "with import_entry as (" + IMPORT_ENTRY + f"""), kept as (
+select * from import_entry where snapshot_date >= (select max(snapshot_date) from import_entry) - {RETAIN_DAYS})
+select store, import_id, snapshot_ts, snapshot_date, entry_idx, barcode, room, qty from kept""")
+def q_purge_store(spark, sf_dir):
+    """T4 on storage: expired days dropped from the stored history, the small files of the others merged, both twice."""
+    path = scratch_path(spark, "retained")
+    h = fx.import_entry(spark, sf_dir)
+    hio.append_snapshots(h.repartition(4), path)
+    as_of = h.select(F.max("snapshot_date").alias("d")).first().d
+    for _ in range(2):
+        rt.purge_store(spark, path, RETAIN_DAYS, as_of)
+        rt.merge_store(spark, path)
+    return hio.read_snapshots(spark, path).select("store", "import_id", "snapshot_ts", "snapshot_date", "entry_idx",
+                                                  "barcode", "room", "qty")

@@ -55,9 +55,11 @@ def read_snapshot_json(spark: SparkSession, path: str, multiline: bool = False)
             raise
         doc = spark.createDataFrame([], DOCUMENT)          # no history yet
     own = F.array(F.struct("timestamp", "file_name", "entries"))
+    # a record's numbers start behind those of the longest record before it could have used
+    longest = doc.select(F.coalesce(F.max(F.greatest(F.size("snapshots"), F.lit(1))), F.lit(1)).cast("long")).scalar()
     record = doc.select(F.monotonically_increasing_id().alias("_record"), F.coalesce("snapshots", own).alias("s"))
     snaps = record.select("_record", F.posexplode("s").alias("_pos", "s")).select(
-        F.struct(F.col("_record").alias("record"), F.col("_pos").alias("position")).alias("snapshot_idx"), "s.*")
+        (F.col("_record") * longest + F.col("_pos")).alias("snapshot_idx"), "s.*")
     flat = snaps.select("snapshot_idx", "timestamp", "file_name",
                         F.posexplode("entries").alias("pos", "e"))
     ts = F.try_to_timestamp(F.col("timestamp"))

@@ -42,3 +42,49 @@ def test_replayed_append_does_not_duplicate(spark):
     hio.append_snapshots(h, path)
     hio.append_snapshots(h.where("snapshot_date = date'2024-01-05'"), path)
     assert hio.read_snapshots(spark, path).count() == h.count()
+
+
+def test_purge_and_merge_stored_snapshots(spark, tmp_path):
+    """Files of expired days are gone, the rest reads back equal from fewer files, also after a stopped merge."""
+    import datetime as dt
+    import os
+
+    from stockspark.sources import history_io as hio
+    from stockspark.sources import retention as rt
+    path = str(tmp_path / "store")
+    assert rt.purge_store(spark, path, 5, dt.date(2024, 1, 20)) == [] and rt.merge_store(spark, path) == 0
+    rows = [(dt.date(2024, 1, d), f"A-{d}{k}", i, f"b{i}", "vault", i % 5) for d in range(1, 13) for k in "xy" for i in range(40)]
+    df = spark.createDataFrame(rows, "snapshot_date date, import_id string, entry_idx long, barcode string, room string, qty int")
+    hio.append_snapshots(df.repartition(4, "entry_idx"), path)
+    want = sorted(map(tuple, df.where("snapshot_date >= '2024-01-06'").select(sorted(df.columns)).collect()))
+
+    def back():
+        return sorted(map(tuple, spark.read.parquet(path).select(sorted(df.columns)).collect()))
+
+    def files():
+        return [os.path.join(a, f) for a, _, c in os.walk(path) for f in c if f.endswith(".parquet")]
+    assert rt.purge_store(spark, path, 0, dt.date(2024, 1, 12)) == []
+    gone = rt.purge_store(spark, path, 6, dt.date(2024, 1, 12))
+    assert gone == [dt.date(2024, 1, d) for d in range(1, 6)] and back() == want
+    assert rt.purge_store(spark, path, 6, dt.date(2024, 1, 12)) == []
+    many = len(files())
+    # a merge that was stopped after the first folder had been moved away
+    day = f"{path}/snapshot_date=2024-01-07"
+    os.makedirs(f"{path}/_replaced/snapshot_date=2024-01-07")
+    os.rename(f"{day}/import_id=A-7x", f"{path}/_replaced/snapshot_date=2024-01-07/import_id=A-7x")
+    assert rt.merge_store(spark, path) == 14 and back() == want
+    assert len(files()) == 14 < many and rt.merge_store(spark, path) == 0 and back() == want
+    assert not any(n.startswith("_") and n != "_SUCCESS" for n in os.listdir(path))
+    assert rt.purge_store_all(spark, path) == 7
+
+
+def test_many_snapshots_in_a_document(spark, tmp_path):
+    """Numbers stay distinct and in order beyond 4,096 snapshots a document, over several documents."""
+    for k in range(2):
+        snaps = [{"timestamp": "2024-01-01T10:00:00", "file_name": f"{k}-{i}", "entries": [{"barcode": f"{i}", "qty": 1}]}
+                 for i in range(5000)]
+        (tmp_path / f"{k}.json").write_text(json.dumps({"version": 1, "snapshots": snaps}))
+    rows = hio.read_snapshot_json(spark, str(tmp_path), multiline=True).orderBy("snapshot_idx").collect()
+    assert len({r.snapshot_idx for r in rows}) == 10000
+    for k in range(2):
+        assert [int(r.barcode) for r in rows if r.file_name.startswith(f"{k}-")] == list(range(5000))
