@@ -44,7 +44,7 @@ from stockspark.llm.balltree import matrix
 from stockspark.llm.common import table
 from stockspark.operators.listing import number_rows
 
-SHARD_ROWS = 8_192
+SHARD_ROWS = 4_096        # at most; the shards of a vector length have equal sizes
 DEPTH = 64                # rows read of every list before the threshold is looked at again
 
 _SENT = "shard long, kind int, id long, label long, vec array<long>, windows array<struct<low:long,high:long>>"
@@ -168,11 +168,11 @@ def hard_negatives(embeddings: DataFrame, scale: int = 256, every: int = 50, pos
     spark, begin, parts = embeddings.sparkSession, 0, []
     for dim, a, b in lengths:
         n = (b - a) // SHARD_ROWS + 1
-        parts.append((dim, a, begin, begin + n))
+        parts.append((dim, a, -(-(b - a + 1) // n), begin, begin + n))
         begin += n
-    parts = spark.createDataFrame(parts, "dim int, _first long, _from long, _to long")
+    parts = spark.createDataFrame(parts, "dim int, _first long, _size long, _from long, _to long")
     rows = placed.join(F.broadcast(parts), "dim").select(
-        "dim", (F.col("_from") + F.floor((F.col("_place") - F.col("_first")) / SHARD_ROWS)).alias("shard"),
+        "dim", (F.col("_from") + F.floor((F.col("_place") - F.col("_first")) / F.col("_size"))).alias("shard"),
         "id", "label", "vec", "_from", "_to")
     rows = table(rows, "negative-shards")
 
