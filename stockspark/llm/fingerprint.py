@@ -37,6 +37,7 @@ from stockspark.llm.flat import U64, RangeHash, lower_ascii, mix64, spans, text_
 SAMPLES = 64
 FINGERPRINT_BYTES = 4 << 20 # of texts whose words are drawn for together
 RANGES_A_PARTITION = 2     # ranges of doc_id for each shuffle partition
+TASK_BYTES = 8 << 20       # of texts a task
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
 
@@ -165,7 +166,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row of ``docs(doc_id, text)``, of its edited text, and their likeness."""
     spark = docs.sparkSession
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    # tasks follow the bytes of the texts, so a task's share does not grow with the corpus
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     ranges = partitions * RANGES_A_PARTITION
     bounds = np.unique(np.array(ids.where("doc_id is not null").approxQuantile(
