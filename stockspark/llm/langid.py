@@ -14,7 +14,8 @@ with the largest proportion (ties: first by name), the score its proportion.
 N-grams are hashed into ``SLOTS`` slots, so a language's model has a fixed size
 whatever the corpus, and counts are summed per batch before they are shuffled. With more than
 ``CELLS / SLOTS`` languages the slots are folded, so that the model stays within ``CELLS``
-numbers; any number of languages is learned.
+numbers; any number of languages is learned. A text longer than a slice is worked off in pieces: its
+distinct words with their counts give the same mixture as its words one by one.
 
 Defined cases: null text and texts without a letter give ``und`` with score 0;
 without learned documents every text is ``und``. Null lang and null doc_id rows
@@ -56,7 +57,7 @@ def slots_of(languages: int) -> int:
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(slots, word of each n-gram, document of each word)`` of one slice.
+    """``(slots, word of each n-gram, document and hash of each word)`` of one slice.
 
     A word is taken with one byte around it as its end marks.
     """
@@ -69,8 +70,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     word = np.repeat(np.arange(len(starts)), n)
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
     stop = np.minimum(at + GRAM, ends[word]) if len(word) else at
-    h = RangeHash(marked)(at, stop)
-    return (h >> U64(48)).astype(np.int64) % SLOTS, word, doc
+    hashed = RangeHash(marked)
+    return (hashed(at, stop) >> U64(48)).astype(np.int64) % SLOTS, word, doc, lambda: hashed(starts, ends)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +82,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_row = np.array([number[x] for x in langs], dtype=np.int64)
         total = np.zeros(len(names) * SLOTS, dtype=np.int64)
         for first, _, data, offsets in text_slices(batch.column("text")):
-            slot, word, doc = grams(data, offsets)
+            slot, word, doc, _ = grams(data, offsets)
             total += np.bincount(of_row[first + doc[word]] * SLOTS + slot, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -107,32 +108,37 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.log(count / total).astype(np.float32)
 
 
-def mixture(like: np.ndarray, words: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+def mixture(like: np.ndarray, words: np.ndarray, share: np.ndarray, steps: int, times: np.ndarray | None = None
+            ) -> tuple[np.ndarray, np.ndarray]:
     """EM proportions (documents x languages) and log-likelihoods, all documents at once.
 
     ``like``: likelihoods of each word, document by document, scaled so the best
     language has 1. ``words``: words of each document, none empty. ``share``:
-    proportions to start from; a language at 0 stays out.
+    proportions to start from; a language at 0 stays out. ``times``: how often each word occurs (once, if not given).
     """
     first = np.cumsum(words) - words
+    size = words if times is None else np.add.reduceat(times, first)
     for _ in range(steps):
         joint = like * np.repeat(share, words, axis=0)
         joint /= joint.sum(axis=1, keepdims=True)
-        new = np.add.reduceat(joint, first, axis=0) / words[:, None]
+        if times is not None:
+            joint *= times[:, None]
+        new = np.add.reduceat(joint, first, axis=0) / size[:, None]
         moved = np.abs(new - share).max()
         share = new.astype(np.float32)
         if moved < SETTLED:
             break
-    total = (like * np.repeat(share, words, axis=0)).sum(axis=1, dtype=np.float64)
-    return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)), first)
+    total = np.log(np.maximum((like * np.repeat(share, words, axis=0)).sum(axis=1, dtype=np.float64), 1e-300))
+    return share, np.add.reduceat(total if times is None else total * times, first)
 
 
-def select(like: np.ndarray, words: np.ndarray) -> np.ndarray:
+def select(like: np.ndarray, words: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
     """Proportions of each document over its selected languages."""
     docs, languages = len(words), like.shape[1]
-    penalty = np.log(np.maximum(words, 2)) / 2
+    size = words if times is None else np.add.reduceat(times, np.cumsum(words) - words)
+    penalty = np.log(np.maximum(size, 2)) / 2
     start = np.full((docs, languages), 1 / languages, dtype=np.float32)
-    best, best_like = mixture(like, words, start, STEPS)
+    best, best_like = mixture(like, words, start, STEPS, times)
     active = np.arange(docs)
     while True:
         active = active[(best[active] > 0).sum(axis=1) > 1]
@@ -144,12 +150,51 @@ def select(like: np.ndarray, words: np.ndarray) -> np.ndarray:
         trial /= trial.sum(axis=1, keepdims=True)
         chosen = np.zeros(docs, dtype=bool)
         chosen[active] = True
-        got, got_like = mixture(like[np.repeat(chosen, words)], words[active], trial, MORE_STEPS)
+        here = np.repeat(chosen, words)
+        got, got_like = mixture(like[here], words[active], trial, MORE_STEPS, None if times is None else times[here])
         better = best_like[active] - got_like < penalty[active]
         active = active[better]
         best[active], best_like[active] = got[better], got_like[better]
 
 
+def word_likelihoods(slot: np.ndarray, word: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Likelihoods (words x languages) relative to each word's best language; n-grams come word by word."""
+    begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    like = np.add.reduceat(logs[slot], begin, axis=0)
+    return np.exp(np.maximum(like - like.max(axis=1, keepdims=True), FLOOR))
+
+
+def long_text(data: np.ndarray, logs: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihoods and counts of the distinct words of one text, worked out in pieces of about ``piece`` bytes.
+
+    Memory is one piece and the distinct words, however long the text.
+    """
+    seen, like, times = np.zeros(0, np.uint64), np.zeros((0, logs.shape[1]), logs.dtype), np.zeros(0, np.int64)
+    at = 0
+    while at < len(data):
+        end = min(at + piece, len(data))
+        if end < len(data):                      # cut behind a separator: an ASCII byte that is in no word
+            gap = np.flatnonzero(NOT_LETTER[lowered(data[at:end])])
+            if len(gap):
+                end = at + int(gap[-1]) + 1
+            else:
+                while end < len(data) and not NOT_LETTER[lowered(data[end:end + 1])][0]:
+                    end += 1
+        slot, word, doc, hashes = grams(data[at:end], np.array([0, end - at]))
+        at = end
+        if not len(word):
+            continue
+        slot %= len(logs)
+        new, first, n = np.unique(hashes(), return_index=True, return_counts=True)
+        both, index = np.unique(np.concatenate([seen, new]), return_index=True)
+        like = np.concatenate([like, word_likelihoods(slot, word, logs)[first]])[index]
+        count = np.zeros(len(both), np.int64)
+        count[np.searchsorted(both, seen)] += times
+        count[np.searchsorted(both, new)] += n
+        seen, times = both, count
+    return like, times
+
+
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     names, logs = shared.value
     # a word is two bytes at least; many languages mean smaller slices
@@ -157,21 +202,25 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     for batch in batches:
         pred, score, mix = [], [], []
         for first, end, data, offsets in text_slices(batch.column("text"), bytes_at_once):
-            slot, word, doc = grams(data, offsets)
-            slot %= len(logs) if len(names) else SLOTS
             rows = end - first
+            if len(names) and rows == 1 and len(data) > 2 * bytes_at_once:
+                like, times = long_text(data, logs, bytes_at_once)
+                doc, word = np.zeros(len(times), np.int64), times
+            else:
+                like, times = None, None
+                slot, word, doc, _ = grams(data, offsets)
+                slot %= len(logs) if len(names) else SLOTS
             lettered = np.bincount(doc, minlength=rows) > 0
             for i in np.flatnonzero(lettered):
                 raw = data[offsets[i]:offsets[i + 1]]
                 if not (((raw | 32) >= 97) & ((raw | 32) <= 122)).any():     # only bytes beyond ASCII
                     lettered[i] = any(c.isalpha() for c in raw.tobytes().decode("utf-8", "ignore"))
             if len(names) and len(word):
-                begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                like = np.add.reduceat(logs[slot], begin, axis=0)
-                like = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), FLOOR))
+                if like is None:
+                    like = word_likelihoods(slot, word, logs)
                 words = np.bincount(doc, minlength=rows)
                 share = np.zeros((rows, len(names)))
-                share[words > 0] = select(like, words[words > 0])
+                share[words > 0] = select(like, words[words > 0], times)
             else:
                 share = np.zeros((rows, max(1, len(names))))
                 lettered[:] = False

@@ -225,3 +225,17 @@ def test_more_than_256_languages(spark):
     asked = [(n, f"l{n - 1000:03d}") for n, *_ in rows if n >= 1000]
     right = [got[n].lang_pred == lang for n, lang in asked if lang in learned]
     assert len(learned) > 256 and np.mean(right) > 0.95
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces of any size give a long text the mixture that it has as a whole."""
+    docs = mixed_docs()[:60] + [
+        (200, "alpha beta " * 700 + "και λογος, " * 300, None, ""), (201, "12 34 " * 3000, None, ""),
+        (202, "λ" * 9000 + " alpha", None, ""), (203, "Γamma" * 4000, None, "")]
+    df = spark.createDataFrame(docs, DOCS).repartition(2)
+    whole = {r.doc_id: r for r in langid.identify(df).collect()}
+    for size in (300, 4096):
+        monkeypatch.setattr(langid, "SLICE_BYTES", size)
+        got = {r.doc_id: r for r in langid.identify(df).collect()}
+        assert all(got[i].lang_pred == whole[i].lang_pred and abs(got[i].score - whole[i].score) < 2e-3 for i in whole)
+    assert whole[200].lang_pred == "aa" and abs(whole[200].score - 0.7) < 0.05 and whole[201].lang_pred == "und"
