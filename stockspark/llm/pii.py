@@ -1,7 +1,7 @@
 """PII surrogates (operator 6), DataFrame functions only.
 
 Entities are found by one pattern: e-mail addresses, phone numbers
-(international, or ten digits in the North American form),  IPv4 addresses, payment cards (Luhn-valid numbers only), US social
+(international, or ten digits in the North American form),  IPv4 addresses, payment cards (Luhn-valid numbers in an issuer's range), US social
 security numbers, secrets of 16 or more characters after a key word, quoted or
 not, and names after a title.
 Each distinct entity gets one surrogate from a keyed digest, so equal entities
@@ -12,7 +12,7 @@ get equal surrogates in every document (coreference), and of the same type:
 * phone, social security number, secret: digits and letters replaced, country
   code, punctuation and case kept; one number written in two ways gets one
   surrogate;
-* card: first digit, length and grouping kept, valid check digit;
+* card: issuer's digits, length and grouping kept, valid check digit;
 * IPv4: address of the same kind (private ranges stay private);
 * name: a name of the same script and gender after the same title.
 
@@ -70,6 +70,9 @@ _PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\d-]|\.\d)"
+# ---- fixed values: first digits that card issuers use (public ranges); American Express has 15 digits
+_ISSUER = (r"^(?:4|5[0-8]|2(?:2(?:2[1-9]|[3-9]\d)|[3-6]\d\d|7[01]\d|720)|220[0-4]|3[47]\d{13}$"
+           r"|3(?:0[0-5]|[689]|5(?:2[89]|[3-8]\d))|6(?:011|2|304|4[4-9]|5|759|76[1-3])|81)")
 _SECRET = rf"""["'](?<=(?i:{SECRET_WORDS})["']? ?[=:] ?["'])[A-Za-z0-9_+/=.-]{{16,}}+["']"""
 # without quotes; a call or an index is code
 _BARE_SECRET = rf"""(?<=(?i:{SECRET_WORDS})["']? ?[=:] ?)(?=[A-Za-z0-9_+/=.-])(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/=.-]{{16,}}+(?![(\[])"""
@@ -123,6 +126,12 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+def _issuer_digits() -> Column:
+    """How many first digits of a card's ``form`` its issuer is known by; any others may follow them."""
+    return F.when(F.col("form").startswith("4"), 1).when(
+        F.col("form").rlike("^(?:5|3[4789]|36|6[25]|81|2[3-6])"), 2).otherwise(4)
+
+
 def _described(rows: DataFrame) -> DataFrame:
     """Add kind and canonical form of each ``raw`` entity; drop candidates that are none."""
     raw = F.col("raw")
@@ -143,7 +152,7 @@ def _described(rows: DataFrame) -> DataFrame:
              .when(F.col("kind") == "name", F.concat_ws("|", script, gender, name))
              .when(F.col("kind") == "ip", raw).otherwise(F.lower(raw)))
     return (rows.withColumn("kind", kind).withColumn("form", form)
-                .where((F.col("kind") != "card") | (_luhn_sum(digits) % 10 == 0))
+                .where((F.col("kind") != "card") | ((_luhn_sum(digits) % 10 == 0) & digits.rlike(_ISSUER)))
                 # nothing to replace in e-mails and secrets of punctuation only
                 .where(~F.col("kind").isin("email", "secret")
                        | F.regexp_replace(raw, r"(?<=@.{0,256})\.\p{L}+$", "").rlike(r"[\p{L}\p{N}]")))
@@ -170,8 +179,9 @@ def _surrogate(key: str) -> Column:
     code = F.when(form.startswith("+1"), 2).otherwise(3)
     phone = F.concat(F.substr(form, F.lit(1), code),
                      _scramble(F.substr(form, code + 1, F.length(form)), own))
-    body = F.concat(F.substr(form, F.lit(1), F.lit(1)),
-                    _scramble(F.substr(form, F.lit(2), F.length(form) - 2), own))
+    issuer = _issuer_digits()
+    body = F.concat(F.substr(form, F.lit(1), issuer),
+                    _scramble(F.substr(form, issuer + 1, F.length(form) - issuer - 1), own))
     card = F.concat(body, F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)),
                                  F.lit(10)).cast("string"))
     part = F.split(form, r"\.")
@@ -213,7 +223,7 @@ def _space() -> Column:
                                              F.split_part(form, F.lit("@"), F.lit(2))))
              .when(kind == "phone", F.concat(F.substr(form, F.lit(1), F.when(form.startswith("+1"), 2).otherwise(3)),
                                              F.length(form).cast("string")))
-             .when(kind == "card", F.concat(F.substr(form, F.lit(1), F.lit(1)), F.length(form).cast("string")))
+             .when(kind == "card", F.concat(F.substr(form, F.lit(1), _issuer_digits()), F.length(form).cast("string")))
              .otherwise(shape))
 
 
