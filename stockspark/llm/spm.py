@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from stockspark.llm.common import small_batches
 
 SPACE = "▁"
-KEPT_SEGMENTS = 1 << 19      # remembered segments a worker, some 150 MB
-KEPT_PAIRS = 1 << 19         # remembered compatibility checks a worker
+KEPT_SEGMENTS = 1 << 18      # remembered segments a worker, some 60 MB
+KEPT_PAIRS = 1 << 18         # remembered compatibility checks a worker
 KEPT_LENGTH = 48             # longer segments are encoded each time
 
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -99,7 +99,7 @@ class Codec:
         self._matcher.make_automaton()
         self._pair: dict[int, bool] = {}
         self._segment: dict[str, tuple[str, int, str]] = {}
-        self._arrays: dict[str, np.ndarray] = {}
+        self._arrays: dict[str, bytes] = {}
 
     # ------------------------------------------------------------ encoding
     def merge(self, text: str) -> list[str]:
@@ -204,10 +204,11 @@ class Codec:
                 self._segment[segment] = got
         return got
 
-    def _array(self, segment: str) -> np.ndarray:
+    def _array(self, segment: str) -> bytes:
+        """Ids of a segment as the bytes of 32-bit numbers."""
         got = self._arrays.get(segment)
         if got is None:
-            got = np.array([i for p in self._parts(segment) for i in self._ids(p)], dtype=np.int32)
+            got = np.array([i for p in self._parts(segment) for i in self._ids(p)], dtype=np.int32).tobytes()
             if len(segment) <= KEPT_LENGTH:
                 if len(self._arrays) >= KEPT_SEGMENTS:
                     self._arrays.clear()
@@ -238,7 +239,7 @@ class Codec:
     def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        return np.concatenate([self._array(s) for s in self._segments(text)])
+        return np.frombuffer(b"".join([self._array(s) for s in self._segments(text)]), dtype=np.int32)
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_array(text).tolist()

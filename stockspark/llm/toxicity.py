@@ -54,6 +54,7 @@ NEAREST = 24               # example entries
 SCALE = 0.15               # of the cosine distance
 SHRINK = 1.0               # votes at the base rate
 ROWS_A_TASK = 8_000        # that are scored
+KEPT_SCORES = 20_000       # remembered scores of a task, some 10 MB
 THRESHOLD = 0.3            # fixed by the contract
 
 _SEPARATOR = np.ones(256, dtype=bool)
@@ -286,13 +287,17 @@ def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     index, known = shared.value, {}
     for batch in batches:
         scores, nearest = [], []
-        for t, n in zip(batch.column("term").to_pylist(), batch.column("tf").to_pylist()):
-            key = (tuple(t), tuple(n))
+        terms_, counts = batch.column("term"), batch.column("tf")
+        off = terms_.offsets.to_numpy() - terms_.offsets[0].as_py()
+        term, tf = terms_.flatten().to_numpy(), counts.flatten().to_numpy()
+        for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
+            t, n = term[lo:hi], tf[lo:hi]
+            key = t.tobytes() + n.tobytes()                 # equal vectors are scored once
             got = known.get(key)
             if got is None:
-                if len(known) >= 50_000:
+                if len(known) >= KEPT_SCORES:
                     known.clear()
-                got = known[key] = index.score(np.array(t, dtype=np.int64), np.array(n, dtype=float))
+                got = known[key] = index.score(t.astype(np.int64), n.astype(float))
             scores.append(got[0])
             nearest.append(got[1])
         kept = [c for c in batch.schema.names if c not in ("term", "tf")]
