@@ -14,6 +14,7 @@ import functools
 import hashlib
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # ---- fixed values: element kinds of the HTML standard
@@ -136,6 +137,7 @@ def read_page(source: str) -> Page:
     stack: list[tuple[int, str, bool, int]] = [(0, "#page", False, KEEP)]
     pieces: list[str] = []
     state = {"linked": 0, "links": 0, "open_links": 0}
+    open_tags: Counter[str] = Counter()         # a tag that is not open is not looked for, however deep the page
 
     def flush() -> None:
         if pieces:
@@ -164,11 +166,13 @@ def read_page(source: str) -> Page:
     def cut(to: int) -> None:
         if any(not x[2] for x in stack[to:]):
             flush()
-        state["open_links"] -= sum(x[1] == "a" for x in stack[to:])
+        for x in stack[to:]:
+            open_tags[x[1]] -= 1
+        state["open_links"] = open_tags["a"]
         del stack[to:]
 
     def start(tag: str, attrs: str) -> None:
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][1] == "p":
                     cut(i)
@@ -178,7 +182,7 @@ def read_page(source: str) -> Page:
         if tag in ENDS:
             ended, boundary = ENDS[tag]
             last = 0
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in ended) else ():
                 if stack[i][1] in boundary:
                     break
                 if stack[i][1] in ended:
@@ -224,6 +228,7 @@ def read_page(source: str) -> Page:
         elif own != KEEP:
             own = GONE                            # an inline advert or share button; its neighbours stay
         stack.append((parent, tag, inline, max(level, own)))
+        open_tags[tag] += 1
         if tag == "a":
             state["open_links"] += 1
             state["links"] += 1
@@ -234,6 +239,8 @@ def read_page(source: str) -> Page:
             return
         if tag in ("body", "html") or tag in VOID:
             return
+        if not (any(open_tags[h] for h in HEADINGS) if tag in HEADINGS else open_tags[tag]):
+            return
         inline = tag in INLINE
         for i in range(len(stack) - 1, 0, -1):
             name = stack[i][1]

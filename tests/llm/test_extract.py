@@ -67,6 +67,10 @@ def test_deep_and_long_pages():
     deep = "<div class=a>" * 3000 + "<p>" + A + "</p>"
     assert own(deep) == A
     assert max(map(len, read_page(deep).path)) < 700
+    import time
+    began = time.time()
+    unclosed = own("<div>" * 30000 + "<section>" + "</i></b></h2></main>" * 30000 + f"<p>{A}" + "<span>" * 30000 + "</em>" * 30000)
+    assert unclosed == A and time.time() - began < 20              # linear, also where nothing is closed
     long = "<article>" + "".join(f"<p>Paragraph {i}, with words.</p>" for i in range(20000)) + "</article>"
     assert own(long).count("\n\n") == 19999
     assert own("<a " * 50000) == "" and own('<a href="' * 20000 + ">x") != ""
