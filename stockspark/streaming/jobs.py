@@ -128,13 +128,13 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
 
     ``identify(file, modified)`` gives ``import_id`` and ``import_ts`` of a file, and
     ``store`` if the files do not name one per row. A file that cannot be mapped does not stop the stream:
-    it is left out and named in ``rejected_target``.
+    it is left out and named with the reason in ``rejected_target`` (by default beside ``target``).
     """
+    rejected_target = rejected_target or target.rstrip("/") + "_rejected"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         found = ingest_files(batch.select("value", "file", "_block"))
-        if rejected_target:
-            _replace(found.rejected.withColumn("import_id", F.sha1(F.col("file").cast("binary"))), rejected_target, "import_id")
+        _replace(found.rejected.withColumn("import_id", F.sha1(F.col("file").cast("binary"))), rejected_target, "import_id")
         times = batch.groupBy("file").agg(F.max("_modified").alias("_modified"))
         named = times.select("file", *[c.alias(n) for n, c in identify(F.col("file"), F.col("_modified")).items()])
         rows = found.rows.drop("received_text")

@@ -81,6 +81,21 @@ def test_files_that_cannot_be_mapped_are_named(spark, tmp_path):
         "c.csv": "Missing required column(s) after mapping: type, brand, product_name, package_barcode, room, qty_on_hand"}
 
 
+def test_stream_names_the_files_it_leaves_out(spark, tmp_path):
+    from stockspark.streaming import jobs
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.csv").write_text(
+        "Type,Brand,Product Name,METRC Code,Room,Qty\nF,B,P,1A4000000000000000000001,Vault,2\n")
+    (tmp_path / "src" / "b.csv").write_text("Brand,Product Name,METRC Code\nB,P,1A4000000000000000000001\n")
+    out = str(tmp_path / "out")
+    for ck in ("ck1", "ck2"):                                   # the second run replays the batch
+        jobs.stream_ingest(spark, str(tmp_path / "src"), out, str(tmp_path / ck)).awaitTermination()
+    assert [(r.product_name, r.qty_on_hand) for r in spark.read.parquet(out).collect()] == [("P", 2)]
+    left = spark.read.parquet(out + "_rejected").collect()
+    assert [(r.file[-5:], r.reason) for r in left] == [
+        ("b.csv", "Missing required column(s) after mapping: type, room, qty_on_hand")]
+
+
 def test_overrides_of_one_file(spark, tmp_path):
     body = "Kind,Maker,Label,Code,Place,N,When\nF,B,P,,Vault,2,1/2/2024\n,,,,,9,\n"
     for f in "abcdef":
