@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,11 +60,26 @@ def parse_received_date(c: Column) -> Column:
 
     Fractions of a second and a zone after the time do not change the day.
     """
-    s = F.trim(F.regexp_replace(F.trim(c.cast("string")), r"^'+", ""))
-    s = F.regexp_replace(s, r"(:\d{2})[.,]\d+", "$1")
-    s = F.regexp_replace(s, r"(:\d{2}) ?(?:Z|UTC|[+-]\d{2}:?\d{2})$", "$1")
-    tries = [F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in RECEIVED_FORMATS]
-    return F.when(is_empty_text(s), F.lit(None).cast("date")).otherwise(F.coalesce(*tries))
+    s = F.trim(F.ltrim(F.trim(c.cast("string")), F.lit("'")))
+    cut = F.regexp_replace(s, r"(:\d{2})[.,]\d+", "$1")
+    cut = F.regexp_replace(cut, r"(:\d{2}) ?(?:Z|UTC|[+-]\d{2}:?\d{2})$", "$1")
+    s = F.when(s.contains(":"), cut).otherwise(s)
+
+    def day(t: Column) -> Column:
+        # a format that fails costs an exception: those the text cannot have are left out
+        tries = [F.when(_may_have(t, f), F.to_date(F.try_to_timestamp(t, F.lit(f)))) for f in RECEIVED_FORMATS]
+        return F.when(is_empty_text(t), F.lit(None).cast("date")).otherwise(F.coalesce(*tries))
+    # as a lambda: the text is worked out once, not once a format
+    return F.transform(F.array(s), day)[0]
+
+
+def _may_have(t: Column, fmt: str) -> Column:
+    """False only for texts that ``fmt`` cannot match: its signs all occur, and no field of any format takes "/" or ":"."""
+    signs = sorted(set(re.sub(r"[A-Za-z']", "", fmt)))
+    out = F.lit(True)
+    for sign in sorted({*signs, "/", ":"}):
+        out = out & (t.contains(sign) if sign in signs else ~t.contains(sign))
+    return out
 
 
 def parse_expiry(c: Column) -> Column:
