@@ -21,3 +21,32 @@ def test_received_date_prepares_its_text_once(spark):
     got = df.select("t", parse_received_date(F.col("t")).alias("d"))
     assert {(r.t, r.d) for r in got.collect()} == {(t, day) for t in same} | {(t, None) for t in bad}
     assert _plan(got).count("regexp_replace") <= 2
+
+
+def test_exports_read_their_rows_twice(spark, tmp_path):
+    from stockspark import fixtures as fx
+    from stockspark.sources.raw_export import write_expiring_exports, write_raw_exports
+    from .conftest import SF0001
+    inv = fx.inventory(spark, SF0001).limit(300).localCheckpoint()
+    for write, most in ((write_raw_exports, 2), (write_expiring_exports, 2)):
+        calls = spark.sparkContext.accumulator(0)
+
+        @F.udf("boolean")
+        def seen(_, calls=calls):
+            calls.add(1)
+            return True
+        write(inv.where(seen("ord_2")), str(tmp_path / write.__name__))
+        assert 0 < calls.value <= most * 300
+
+
+def test_records_are_split_once(spark, tmp_path):
+    from stockspark.sources import ingest as ig
+    (tmp_path / "a.csv").write_text('Type,Brand,Product,Metrc Tag,Room,Qty,Store\n'
+                                    'Flower,B,"P, ""1""",1A4000000000000001,Vault,2,A\n'
+                                    'Flower,,P2,1A4000000000000002,"",3,A\n\nTOTAL,,,,,5,\n')
+    raw = ig.scan_text(spark, str(tmp_path)).withColumn("_modified", F.lit(dt.datetime(2024, 1, 2)))
+    got = ig.ingest_files(raw, identify=lambda f, m: {"store": F.lit("Z"), "import_id": F.lit("i"), "import_ts": m}).rows
+    assert _plan(got).count("regexp_extract_all") <= len(ig.DELIMITERS)
+    assert {(r.brand, r.product_name, r.room, r.qty_on_hand, r.store, r.import_id, r.import_ts) for r in got.collect()} == {
+        ("B", 'P, "1"', "Vault", 2, "Z", "i", dt.datetime(2024, 1, 2)),
+        (None, "P2", None, 3, "Z", "i", dt.datetime(2024, 1, 2))}
