@@ -151,8 +151,20 @@ def _isql(body: str) -> str:
     return with_views(body, "inventory", extra=_IVIEWS)
 
 
+_IMPORT_COLS = ["store", "import_id", "import_ts", "type", "brand", "product_name", "package_barcode", "room", "qty_on_hand",
+                "received_date", *fx.ORD_COLS]
+
+
+def _written(df, name):
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _log(spark, sf_dir):
-    return hs.import_log(fx.import_inventory(spark, sf_dir), CANDIDATE_ROOMS, fx.ord_key(), fx.ROOM_ALIASES)
+    # the log reads its rows in many branches: the tables are joined for them once
+    raw = _written(fx.import_inventory(spark, sf_dir).select(*_IMPORT_COLS), "import-rows")
+    return hs.import_log(raw, CANDIDATE_ROOMS, fx.ord_key(), fx.ROOM_ALIASES)
 
 
 IMPORT_LOG_SQL = _isql("select * from log")
@@ -229,7 +241,7 @@ def q_snapshot_store(spark, sf_dir):
 def q_import_log(spark, sf_dir):
     """Import-log rows appended to the shared folder twice (a replay) and read back."""
     path = scratch_path(spark, "import-log")
-    log = _log(spark, sf_dir)
+    log = _written(_log(spark, sf_dir), "import-log-rows")
     for _ in range(2):
         hio.append_import_log(log, path)
     return import_log_columns(hio.read_import_log(spark, path, "import_id")).drop("timestamp")
