@@ -7,8 +7,8 @@ carries the in-partition position in its low 33 bits), and adds the running
 total of the per-partition counts. The counts table has one row per
 partition, so its size is bounded by the partition count and it is broadcast.
 
-The tagged rows are materialised once with a reliable ``checkpoint()`` (in
-the shared ``spark.checkpoint.dir``): the counts and the numbering must see
+The tagged rows are written once as a table (in the shared
+``spark.checkpoint.dir``): the counts and the numbering must see
 the very same partitioning, and a lost executor must not re-sample the range
 bounds differently.
 """
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockspark.session import checkpoint_dir
+from stockspark.session import scratch_path
 
 
 def _c(c) -> Column:
@@ -31,14 +31,16 @@ def number_rows(df: DataFrame, order: Sequence, name: str = "pos",
                 partitions: int | None = None) -> DataFrame:
     """1-based position of every row in ``order`` (which must be a total order)."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [_c(c) for c in order]
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_local", F.monotonically_increasing_id()
-                            - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-                .checkpoint(eager=True))
+                            - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    # written once, compressed; an RDD checkpoint's files are several times as large
+    path = scratch_path(spark, "numbered")
+    ranged.write.option("compression", "zstd").parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",

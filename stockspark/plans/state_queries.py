@@ -339,11 +339,14 @@ union all
 select 'group_all_numeric', package_barcode, row_number() over (
          order by type, {_NUM} desc nulls last, lower(trim(size)) desc, {_ORD}) from inventory"""))
 def q_smart_sort(spark, sf_dir):
-    inv = _inv(spark, sf_dir)
-    variants = {"numeric": ls.smart_sort_keys(inv, "size"),
-                "text_desc": ls.smart_sort_keys(inv, "brand", descending=True),
-                "group_all_numeric": ls.smart_sort_keys(inv, "size", True, "type", all_numeric=True)}
-    rows = inv.select("package_barcode", "size", "brand", "type", *fx.ORD_COLS)
+    # each variant samples and sorts the rows: the tables are joined for them once
+    path = scratch_path(spark, "sort-rows")
+    rows = _inv(spark, sf_dir).select("package_barcode", "size", "brand", "type", *fx.ORD_COLS)
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    variants = {"numeric": ls.smart_sort_keys(rows, "size"),
+                "text_desc": ls.smart_sort_keys(rows, "brand", descending=True),
+                "group_all_numeric": ls.smart_sort_keys(rows, "size", True, "type", all_numeric=True)}
     out = [ls.number_rows(rows, [*keys, *fx.ORD_COLS], "pos").select(F.lit(v).alias("variant"), "package_barcode", "pos")
            for v, keys in variants.items()]
     return reduce(DataFrame.unionByName, out)

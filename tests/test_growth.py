@@ -50,3 +50,10 @@ def test_records_are_split_once(spark, tmp_path):
     assert {(r.brand, r.product_name, r.room, r.qty_on_hand, r.store, r.import_id, r.import_ts) for r in got.collect()} == {
         ("B", 'P, "1"', "Vault", 2, "Z", "i", dt.datetime(2024, 1, 2)),
         (None, "P2", None, 3, "Z", "i", dt.datetime(2024, 1, 2))}
+
+
+def test_numbered_rows_are_a_written_table(spark):
+    from stockspark.plans import QUERIES
+    from .conftest import SF0001
+    plan = _plan(QUERIES["smart_sort"](spark, SF0001))
+    assert "lineitem" not in plan and "LogicalRDD" not in plan and "ExistingRDD" not in plan
