@@ -56,4 +56,10 @@ def test_numbered_rows_are_a_written_table(spark):
     from stockspark.plans import QUERIES
     from .conftest import SF0001
     plan = _plan(QUERIES["smart_sort"](spark, SF0001))
-    assert "lineitem" not in plan and "LogicalRDD" not in plan and "ExistingRDD" not in plan
+    assert "l_orderkey" not in plan and "LogicalRDD" not in plan and "ExistingRDD" not in plan
+
+
+def test_import_log_joins_the_tables_once(spark):
+    from stockspark.plans import QUERIES
+    from .conftest import SF0001
+    assert "l_orderkey" not in _plan(QUERIES["import_timeline"](spark, SF0001))
