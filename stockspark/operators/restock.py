@@ -176,8 +176,14 @@ def split_packages(df: DataFrame, order: Column, extra: Sequence[str] | None = N
 
     Group (barcode, room, type, brand, product) after trimming, sum the
     quantity, take the first non-null value of every other column in arrival
-    ``order``; blank barcodes are dropped. Partial aggregation (sum, min_by)
-    runs before the shuffle, so a hot package only ships one row per task.
+    ``order``; blank barcodes are dropped.
+
+    The sorted list is cut into ranges of its leading columns before the merge: they
+    are part of the merge key, so one shuffle of the rows serves both, and no
+    row is widened to one state per column on its way. Within a range rows
+    are merged in the order of a hash of the key; text keys with a common
+    beginning compare slowly. Unsorted, partial aggregation runs before
+    the shuffle.
     """
     if extra is None:
         extra = [c for c in df.columns if c not in SPLIT_KEY and c != "qty_on_hand"
@@ -188,10 +194,14 @@ def split_packages(df: DataFrame, order: Column, extra: Sequence[str] | None = N
         *[F.col(c) for c in extra],
         order.alias("_ord"),
     ).where(F.col("package_barcode") != "")
+    leading = ["_place", "type", "brand", "product_name"]
+    norm = norm.withColumn("_place", backstock_first(F.col("room")))
+    if sort:
+        norm = norm.repartitionByRange(*leading)
     aggs = [F.sum("qty_on_hand").cast("long").alias("qty_on_hand")]
     aggs += [F.expr(f"min_by(`{c}`, _ord) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in extra]
     aggs.append(F.min("_ord").alias("_first"))
-    out = norm.groupBy(*SPLIT_KEY).agg(*aggs)
+    out = norm.groupBy(F.xxhash64(*SPLIT_KEY).alias("_hash"), "_place", *SPLIT_KEY).agg(*aggs)
     if sort:
-        out = backstock_sort(out, F.col("_first"))
-    return out.drop("_first")
+        out = out.orderBy(*leading, "_first")
+    return out.drop("_hash", "_place", "_first")

@@ -63,3 +63,24 @@ def test_import_log_joins_the_tables_once(spark):
     from stockspark.plans import QUERIES
     from .conftest import SF0001
     assert "l_orderkey" not in _plan(QUERIES["import_timeline"](spark, SF0001))
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_split_packages_shuffles_its_rows_once(spark):
+    from stockspark.operators import restock as mu
+    rows = [(" T1", "Vault", "A", "B", "P", 1, None, "s1", 1), ("T1", "Vault ", "A", "B", "P", 2, "d", None, 2),
+            ("T1", "Vault", "A", "B", "P", 4, "e", "s2", 0), ("T2", "backstock", "Z", None, "P", 8, "f", "s3", 3),
+            ("T0", "Vault", "A", "B", "P", 16, None, None, -1), ("", "Vault", "A", "B", "P", 32, "g", "s4", 4)]
+    df = spark.createDataFrame(rows, "package_barcode string, room string, type string, brand string, "
+                                     "product_name string, qty_on_hand int, distributor string, store string, ord int").repartition(3)
+    for sort, most in ((True, 1), (False, 1)):
+        got = mu.split_packages(df.localCheckpoint(), F.col("ord"), ["distributor", "store"], sort)
+        assert _exchanges(got) == most
+        want = [("T2", "backstock", "Z", "", "P", 8, "f", "s3"), ("T0", "Vault", "A", "B", "P", 16, None, None),
+                ("T1", "Vault", "A", "B", "P", 7, "e", "s2")]
+        rows = [tuple(r) for r in got.collect()]
+        assert (rows if sort else sorted(rows)) == (want if sort else sorted(want))
