@@ -12,7 +12,7 @@ T2 the same batch appends the snapshot entries of its imports and one log row
    the arrivals in the log row of the import after it.
 T3 ``stream_summaries`` reduces new snapshot entries to mergeable summaries, and
    ``stream_velocity`` folds those into running state per barcode
-   (``transformWithStateInPandas`` on RocksDB): entries, first qty, last room
+   (``transformWithState`` on RocksDB): entries, first qty, last room
    and qty, room changes, trailing unchanged run. A hot barcode reaches the
    state as a few summaries a batch, each of at most ``SEGMENT_ROWS`` entries.
    Event-time timers remove barcodes not seen for ``expire_days``. Entries that
@@ -27,9 +27,8 @@ import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -198,27 +197,34 @@ class RunningVelocity(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("velocity", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, first_qty, last_room, last_qty, changes, run, last = (
-            self.state.get() if self.state.exists() else (0, None, None, None, 0, 0, None))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        n, first_qty, last_room, last_qty, changes, run, last = held or (0, None, None, None, 0, 0, None)
+        before = last
         # one row a snapshot and SEGMENT_ROWS entries
-        some = pd.concat(list(rows), ignore_index=True).sort_values("seg", kind="stable")
-        for s in some.to_dict("records"):
+        for s in sorted(rows, key=lambda r: (r["seg"] is None, r["seg"])):
             if n == 0:
-                first_qty = int(s["first_qty_s"])
-            changes += int(s["changes_s"]) + int(n > 0 and s["first_room_s"] != last_room)
-            unbroken = s["tail_s"] == s["n_s"] and n > 0 and int(s["last_qty_s"]) == last_qty
-            run = int(s["tail_s"]) + (run if unbroken else 0)
-            n += int(s["n_s"])
-            last_room, last_qty, last = s["last_room_s"], int(s["last_qty_s"]), s["snapshot_date"]
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(self._expires(last))
+                first_qty = s["first_qty_s"]
+            changes += s["changes_s"] + int(n > 0 and s["first_room_s"] != last_room)
+            unbroken = s["tail_s"] == s["n_s"] and n > 0 and s["last_qty_s"] == last_qty
+            run = s["tail_s"] + (run if unbroken else 0)
+            n += s["n_s"]
+            last_room, last_qty, last = s["last_room_s"], s["last_qty_s"], s["snapshot_date"]
+        # a timer that is there stays: it looks at the newest day when it goes off
+        if before is not None and last < before:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+        if before is None or last < before:
+            self.handle.registerTimer(self._expires(last))
         self.state.update((n, first_qty, last_room, last_qty, changes, run, last))
         yield self._row(key, (n, first_qty, last_room, last_qty, changes, run, last), False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         got = self.state.get()
+        due = self._expires(got[-1])
+        if due >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)          # seen again since the timer was set
+            return
         self.state.clear()
         yield self._row(key, got, True)
 
@@ -228,11 +234,10 @@ class RunningVelocity(StatefulProcessor):
         return int(day.timestamp() * 1000)
 
     @staticmethod
-    def _row(key, got: tuple, expired: bool) -> pd.DataFrame:
+    def _row(key, got: tuple, expired: bool) -> Row:
         n, first_qty, _, last_qty, changes, run, last = got
-        return pd.DataFrame([{"barcode": key[0], "n_entries": n, "room_changes": changes, "first_qty": first_qty,
-                              "last_qty": last_qty, "qty_unchanged_streak": run - 1 if n >= 2 else 0,
-                              "last_snapshot": last, "expired": expired}])
+        return Row(barcode=key[0], n_entries=n, room_changes=changes, first_qty=first_qty, last_qty=last_qty,
+                   qty_unchanged_streak=run - 1 if n >= 2 else 0, last_snapshot=last, expired=expired)
 
     def close(self) -> None:
         pass
@@ -242,7 +247,7 @@ def running_velocity(summaries: DataFrame, expire_days: int = EXPIRE_DAYS) -> Da
     """State per barcode over a stream of summaries; one row per barcode touched or expired in a micro-batch."""
     timed = (summaries.withColumn("at", F.col("snapshot_date").cast("timestamp")).withWatermark("at", "0 seconds")
                       .withColumnRenamed("_seg", "seg"))       # the state API renames columns with an underscore in front
-    return timed.groupBy("barcode").transformWithStateInPandas(
+    return timed.groupBy("barcode").transformWithState(
         RunningVelocity(expire_days), _UPDATE, "Update", "EventTime")
 
 

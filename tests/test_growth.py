@@ -84,3 +84,46 @@ def test_split_packages_shuffles_its_rows_once(spark):
                 ("T1", "Vault", "A", "B", "P", 7, "e", "s2")]
         rows = [tuple(r) for r in got.collect()]
         assert (rows if sort else sorted(rows)) == (want if sort else sorted(want))
+
+
+def test_seen_barcodes_keep_their_timer():
+    from pyspark.sql import Row
+
+    from stockspark.streaming.jobs import RunningVelocity
+
+    class Held:
+        value, calls = None, []
+        def get(self): self.calls.append("get"); return self.value
+        def exists(self): self.calls.append("exists"); return self.value is not None
+        def update(self, v): self.calls.append("update"); self.value = v
+        def clear(self): self.value = None
+
+    class Handle:
+        timers, calls = [], []
+        def getValueState(self, *_): return held
+        def registerTimer(self, t): self.calls.append("register"); self.timers.append(t)
+        def deleteTimer(self, t): self.calls.append("delete"); self.timers.remove(t)
+        def listTimers(self): self.calls.append("list"); return list(self.timers)
+
+    class Clock:
+        def __init__(self, ms): self.ms = ms
+        def getCurrentWatermarkInMs(self): return self.ms
+
+    held, handle, p = Held(), Handle(), RunningVelocity(10)
+    p.init(handle)
+
+    def day(d, room, qty):
+        return Row(barcode="a", seg=d, snapshot_date=dt.date(2024, 1, d), n_s=1, changes_s=0, first_room_s=room,
+                   last_room_s=room, first_qty_s=qty, last_qty_s=qty, tail_s=1)
+
+    def ms(d):
+        return int(dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    list(p.handleInputRows(("a",), iter([day(2, "x", 5), day(1, "y", 7)]), Clock(0)))
+    out, = p.handleInputRows(("a",), iter([day(5, "x", 5)]), Clock(0))
+    assert out.asDict() == {"barcode": "a", "n_entries": 3, "room_changes": 1, "first_qty": 7, "last_qty": 5,
+                            "qty_unchanged_streak": 1, "last_snapshot": dt.date(2024, 1, 5), "expired": False}
+    assert held.calls == ["get", "update"] * 2 and handle.calls == ["register"] and handle.timers == [ms(12)]
+    # the first timer goes off: the barcode has been seen since, and stays
+    assert list(p.handleExpiredTimer(("a",), Clock(ms(13)), None)) == [] and handle.timers[-1] == ms(15) and held.value
+    gone, = p.handleExpiredTimer(("a",), Clock(ms(16)), None)
+    assert gone.expired and gone.n_entries == 3 and held.value is None
