@@ -43,7 +43,11 @@ def ratio_tenths(num: Column, den: Column) -> Column:
 
 def ratio_text(num: Column, den: Column, suffix: str = "x") -> Column:
     """f"{num/den:.1f}{suffix}" with Python's rounding."""
-    t = ratio_tenths(num, den)
+    return tenths_text(ratio_tenths(num, den), suffix)
+
+
+def tenths_text(t: Column, suffix: str = "x") -> Column:
+    """A number of tenths as text with one decimal."""
     return F.concat(_idiv(t, F.lit(10)).cast("string"), F.lit("."),
                     (t % 10).cast("string"), F.lit(suffix))
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockspark.functions.numeric import ratio_text
+from stockspark.functions.numeric import ratio_tenths, ratio_text, tenths_text
 from stockspark.functions.parse import to_qty
 
 
@@ -34,6 +34,9 @@ def product_map(df: DataFrame, order: Column, keys: Sequence[str] = ("store",))
     Repeated rooms never change the fold, so rows are first reduced to one
     row per (product, room) with its first arrival; the per-product room list
     is then bounded by the number of distinct rooms, never by the row count.
+    These few rows are shuffled on the product alone, which also serves a
+    comparison of stores. Every step sorts by a hash of the product first:
+    text keys with a common beginning compare slowly.
     """
     base = df.select(*keys,
                      F.trim(F.coalesce("brand", F.lit(""))).alias("brand"),
@@ -42,11 +45,12 @@ def product_map(df: DataFrame, order: Column, keys: Sequence[str] = ("store",))
                      F.trim(F.coalesce("room", F.lit(""))).alias("room"),
                      to_qty(F.col("qty_on_hand")).alias("qty"),
                      order.alias("_ord"))
-    per_room = base.groupBy(*keys, "brand", "product_name", "room").agg(
+    base = base.withColumn("_hash", F.xxhash64("brand", "product_name"))
+    per_room = base.groupBy("_hash", *keys, "brand", "product_name", "room").agg(
         F.min("_ord").alias("_first"),
         F.min_by("type", "_ord").alias("_type"),
         F.sum("qty").alias("_qty"))
-    per_prod = per_room.groupBy(*keys, "brand", "product_name").agg(
+    per_prod = per_room.repartition("brand", "product_name").groupBy("_hash", *keys, "brand", "product_name").agg(
         F.min_by("_type", "_first").alias("type"),
         F.array_sort(F.collect_list(F.struct("_first", "room"))).alias("_rooms"),
         F.sum("_qty").cast("long").alias("qty"))
@@ -61,9 +65,10 @@ def store_comparison(pm: DataFrame, a: str = "A", b: str = "B", store_col: str =
     def side(store: str, c: str) -> Column:
         return F.max(F.when(F.col(store_col) == store, F.col(c)))
 
-    return pm.groupBy("brand", "product_name").agg(
+    by_hash = F.xxhash64("brand", "product_name").alias("_hash")
+    return pm.groupBy(by_hash, "brand", "product_name").agg(
         side(a, "type").alias("type_a"), side(a, "rooms").alias("rooms_a"), side(a, "qty").alias("qty_a"),
-        side(b, "type").alias("type_b"), side(b, "rooms").alias("rooms_b"), side(b, "qty").alias("qty_b"))
+        side(b, "type").alias("type_b"), side(b, "rooms").alias("rooms_b"), side(b, "qty").alias("qty_b")).drop("_hash")
 
 
 def only_in(cmp: DataFrame, side: str) -> DataFrame:
@@ -128,11 +133,13 @@ def transfer_recs(cmp: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
     to_store = F.when(only_a, b).when(only_b, a).when(qa > qb, b).otherwise(a)
     qty = F.when(~both, one_qty).otherwise(_half(diff))
     reason = (F.when(only_a, F.lit(f"Not at {b}")).when(only_b, F.lit(f"Not at {a}"))
-               .otherwise(F.concat(F.lit("Imbalanced ("), ratio_text(bigger, smaller, ""), F.lit("x)"))))
+               .otherwise(F.concat(F.lit("Imbalanced ("), tenths_text(F.col("_tenths"), ""), F.lit("x)"))))
     sort_rank = (F.when(~both, F.when(one_qty >= 3, 0).otherwise(1))
                   .when((ratio >= 3.0) & (diff >= 5), 1).otherwise(2))
     sort_qty = F.when(~both, one_qty).otherwise(diff)
-    return (cmp.where(keep).select(
+    # the ratio is a column of its own: inside the chain it would be written out at each use
+    rated = cmp.where(keep).withColumn("_tenths", ratio_tenths(bigger, smaller))
+    return (rated.select(
         priority.alias("priority"), F.coalesce("type_a", "type_b").alias("type"), "brand",
         "product_name", from_store.alias("from_store"), to_store.alias("to_store"),
         qty.cast("long").alias("qty"), reason.alias("reason"),

@@ -127,3 +127,20 @@ def test_seen_barcodes_keep_their_timer():
     assert list(p.handleExpiredTimer(("a",), Clock(ms(13)), None)) == [] and handle.timers[-1] == ms(15) and held.value
     gone, = p.handleExpiredTimer(("a",), Clock(ms(16)), None)
     assert gone.expired and gone.n_entries == 3 and held.value is None
+
+
+def test_comparison_shuffles_twice_and_works_out_ratios_once(spark):
+    from stockspark.operators import compare as cp
+    rows = [("A", "B", "P", "t1", "Vault", 9, 1), ("A", " B", "P", "t2", "Back", 1, 0), ("B", "B", "P", "t3", "Vault", 4, 2),
+            ("B", None, "Q", "t4", "Floor", 3, 3), ("A", "B", "R", "t5", "Floor", 2, 4), ("C", "B", "S", "t6", "Floor", 2, 5)]
+    df = spark.createDataFrame(rows, "store string, brand string, product_name string, type string, room string, "
+                                     "qty_on_hand int, ord int").repartition(3).localCheckpoint()
+    cmp = cp.store_comparison(cp.product_map(df, F.col("ord")))
+    assert _exchanges(cmp) == 2
+    assert {tuple(r) for r in cmp.collect()} == {("B", "P", "t2", "Back, Vault", 10, "t3", "Vault", 4),
+                                                 ("", "Q", None, None, None, "t4", "Floor", 3),
+                                                 ("B", "R", "t5", "Floor", 2, None, None, None)}
+    recs = cp.transfer_recs(cmp)
+    assert _plan(recs).count("_tenths") > 1
+    assert {(r.product_name, r.priority, r.qty, r.reason) for r in recs.collect()} == {
+        ("P", "Low", 3, "Imbalanced (2.5x)"), ("Q", "High", 3, "Not at A"), ("R", "Medium", 2, "Not at B")}
