@@ -19,7 +19,7 @@ _COLS = ["type", "brand", "product_name", "package_barcode", "room", "qty_on_han
 
 def _exports(spark, sf_dir) -> str:
     path = scratch_path(spark, "raw-exports")
-    write_raw_exports(fx.inventory(spark, sf_dir), path)
+    write_raw_exports(fx.inventory(spark, sf_dir), path, compression="gzip")
     return path
 
 

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from stockspark.functions.parse import parse_expiry, parse_number
 from stockspark.functions.text import barcode_tail
-from stockspark.sources.ingest import Exports, Ingested, _written_once, detect_header_row_exact
+from stockspark.session import written_once
+from stockspark.sources.ingest import Exports, Ingested, detect_header_row_exact
 
 # ---- fixed values: per role its patterns, in order (any case, anywhere in the header)
 PATTERNS = {
@@ -57,7 +58,7 @@ def ingest_expiring(raw: DataFrame, patterns: dict[str, list[str]] = PATTERNS) -
     subcategory, brand, location, available_qty, metrc, metrc6``) and ``rejected`` (``file, reason``)."""
     files = Exports(raw)
     found = detect_header_row_exact(files.first, files.delims).join(files.delims, "file")
-    found = _written_once(found, "expiring-headers")
+    found = written_once(found, "expiring-headers")
     names = found.select("file", F.posexplode("header").alias("idx", "name"))
     # columns without any value do not count; only those that some pattern would take are looked at
     any_pattern = F.exists(pattern_table(patterns), lambda p: F.regexp_like(F.coalesce("name", F.lit("")), p["pattern"]))
@@ -67,7 +68,7 @@ def ingest_expiring(raw: DataFrame, patterns: dict[str, list[str]] = PATTERNS) -
         "wanted", lambda i: F.trim(F.coalesce(F.try_element_at("cells", i + 1), F.lit(""))) != "")).alias("idx")).distinct()
     roles = pick_columns(names.join(full, ["file", "idx"]), patterns)
     lacking = F.filter(F.array(*[F.lit(r) for r in REQUIRED_ROLES]), lambda r: F.try_element_at("roles", r).isNull())
-    settings = _written_once(files.delims.select("file").join(found.select("file", "delim", "header_line"), "file", "left")
+    settings = written_once(files.delims.select("file").join(found.select("file", "delim", "header_line"), "file", "left")
                              .join(roles, "file", "left").withColumn("roles", F.coalesce(
                                  "roles", F.create_map().cast("map<string,int>"))), "expiring-settings")
     reason = F.when(F.col("header_line").isNull(), F.lit("no header line with Product Name and Expiration Date")).when(

@@ -144,3 +144,63 @@ def test_comparison_shuffles_twice_and_works_out_ratios_once(spark):
     assert _plan(recs).count("_tenths") > 1
     assert {(r.product_name, r.priority, r.qty, r.reason) for r in recs.collect()} == {
         ("P", "Low", 3, "Imbalanced (2.5x)"), ("Q", "High", 3, "Not at A"), ("R", "Medium", 2, "Not at B")}
+
+
+def _on_disk(*tops):
+    import os
+    return sorted(os.path.join(d, f) for top in tops for d, _, names in os.walk(top) for f in names)
+
+
+def _inventory(spark, orders):
+    """``orders`` rows of the inventory's columns, one per order."""
+    o = F.col("id")
+    text = {"type": "Flower", "room": "Vault", "distributor": "D", "size": "1"}
+    return spark.range(orders).select(
+        *[o.alias(f"ord_{k}") for k in range(1, 7)], *[F.lit(v).alias(c) for c, v in text.items()],
+        F.concat(F.lit("B"), o % 7).alias("brand"), F.concat(F.lit('P "'), o, F.lit('"')).alias("product_name"),
+        F.concat(F.lit("1A4"), F.lpad(o.cast("string"), 21, "0")).alias("package_barcode"),
+        (o % 50).cast("int").alias("qty_on_hand"), F.when(o % 2 == 0, "A").otherwise("B").alias("store"),
+        F.date_add(F.lit(dt.date(2024, 1, 1)), (o % 300).cast("int")).alias("received_date"),
+        (o * 0.5).alias("wholesale_cost"), (o * 1.5).alias("unit_price"))
+
+
+def test_packed_exports_in_slices_read_back_the_same(spark, tmp_path):
+    """Written in slices and gzipped or at once and plain: the same lines, numbers and rows; lock files stay out."""
+    from stockspark.sources import ingest as ig
+    from stockspark.sources.raw_export import write_raw_exports
+    inv = _inventory(spark, 900)
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    write_raw_exports(inv, plain, 50)
+    write_raw_exports(inv, packed, 50, compression="gzip", slice_rows=200)
+    names = [f for f in _on_disk(packed) if "part-" in f and not f.endswith(".crc")]
+    assert len(names) == 18 and all(f.endswith(".txt.gz") for f in names)
+
+    def lines(path):
+        return sorted((r.k, r._ord, r.value) for r in ig.read_lines(spark, path).withColumn(
+            "k", F.regexp_extract("file", r"file_key=(\d+)", 1)).collect())
+    assert lines(plain) == lines(packed) and len(lines(packed)) == 900 + 18 * 2 + sum(k % 4 for k in range(18))
+    columns = ["product_name", "package_barcode", "qty_on_hand", "received_date", "unit_price", "_ord"]
+    want = sorted(map(tuple, ig.ingest_raw(spark, plain).select(columns).collect()))
+    assert sorted(map(tuple, ig.ingest_raw(spark, packed).select(columns).collect())) == want and len(want) == 900
+    taken = spark.createDataFrame([("a/~$b.csv.gz",), ("a/b.csv.gz",), ("a/b.pdf.gz",), ("b.TSV",)], "f string")
+    assert [r[0] for r in taken.select(ig.supported_file(F.col("f"))).collect()] == [False, True, False, True]
+
+
+def test_written_tables_leave_no_shuffle_and_the_session_as_it_was(spark):
+    import time
+
+    from stockspark.session import WRITING, written_once
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+
+    def shuffles():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(b.toString().startswith("shuffle_") for b in [s.apply(i) for s in [manager.getAllBlocks()]
+                                                                 for i in range(s.size())])
+    start = shuffles()
+    got = written_once(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "no-shuffle")
+    for _ in range(50):
+        if shuffles() <= start:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= start and got.count() == 10
+    assert {k: spark.conf.get(k, None) for k in WRITING} == before
