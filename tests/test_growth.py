@@ -204,3 +204,18 @@ def test_written_tables_leave_no_shuffle_and_the_session_as_it_was(spark):
         time.sleep(0.1)
     assert shuffles() <= start and got.count() == 10
     assert {k: spark.conf.get(k, None) for k in WRITING} == before
+
+
+def test_stream_batches_are_bounded_and_leave_no_scratch(spark, tmp_path, monkeypatch):
+    from stockspark.session import checkpoint_dir
+    from stockspark.sources.raw_export import write_raw_exports
+    from stockspark.streaming import jobs
+    src, out, snaps = (str(tmp_path / x) for x in ("src", "out", "snaps"))
+    write_raw_exports(_inventory(spark, 120), src, 20, compression="gzip")
+    monkeypatch.setattr(jobs, "BATCH_BYTES", 1200)
+    before = _on_disk(checkpoint_dir(spark))
+    jobs.stream_ingest(spark, src, out, str(tmp_path / "ck"), snapshots_target=snaps).awaitTermination()
+    assert set(_on_disk(checkpoint_dir(spark))) <= set(before)
+    got = spark.read.parquet(out)
+    assert got.select("batch_id").distinct().count() > 1 and got.select("import_id").distinct().count() == 6
+    assert got.count() == got.select("package_barcode").distinct().count() == 120 == spark.read.parquet(snaps).count()
