@@ -219,3 +219,26 @@ def test_stream_batches_are_bounded_and_leave_no_scratch(spark, tmp_path, monkey
     got = spark.read.parquet(out)
     assert got.select("batch_id").distinct().count() > 1 and got.select("import_id").distinct().count() == 6
     assert got.count() == got.select("package_barcode").distinct().count() == 120 == spark.read.parquet(snaps).count()
+
+
+def test_imports_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """Few partitions a task: written side by side, so rows are not sorted by import; the session is as before."""
+    from pyspark.sql import DataFrameWriter
+
+    from stockspark.sources.raw_export import _field
+    from stockspark.streaming import jobs
+    name, seen, plain = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    before = spark.conf.get(name, None)
+
+    def spied(self, path, *a, **b):
+        seen.append(int(spark.conf.get(name)))
+        return plain(self, path, *a, **b)
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    df = spark.range(700).select("id", F.concat(F.lit("i"), F.col("id") % 7).alias("import_id")).repartition(2)
+    for _ in range(2):                                          # the second run replaces
+        jobs._replace(df, str(tmp_path / "t"), "import_id")
+    assert all(n > 1 for n in seen) and len(seen) == 2 and spark.conf.get(name, None) == before
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == sorted(map(tuple, df.collect()))
+    quoted = _field(F.col("t"), True)
+    assert "regexp" not in str(quoted)
+    assert spark.createDataFrame([('a"b""',), (None,)], "t string").select(quoted).collect() == [('"a""b"""""',), ('""',)]
